@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import contamination, packing
+from plenum.llm import contamination, licenses, packing, pii
 from plenum.llm.tables import table
 
 
@@ -22,12 +22,32 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    counts = [F.size(pii.of_kind(F.col("spans"), k)).cast("long").alias(f"n_{k}") for k in pii.BASE_KINDS]
+    score = F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0))
+    return found.select("doc_id", *counts, F.sha2(pii.listing(base), 256).alias("base_sha256"), pii.listing(F.col("spans")).alias("spans"), score.alias("score"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base, both = F.transform("base", lambda b: b["label"]), F.concat(F.transform("base", lambda b: b["label"]), F.transform("detections", lambda d: d["label"]))
+    listed = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+    weight = F.coalesce(F.array_max(F.transform("detections", lambda d: d["weight"])), F.lit(0.0))
+    return found.select(
+        "doc_id", F.col("n_words").cast("long").alias("n_words"), F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda b: b["start"])).cast("long").alias("first_word"), F.array_max(F.transform("base", lambda b: b["start"])).cast("long").alias("last_word"),
+        listed(base).alias("base_labels"), listed(both).alias("labels"), F.greatest(weight, F.when(F.size("base") > 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontamination, op9_packing)}
+    return {f.__name__: f for f in (op4_decontamination, op5_pii, op9_packing, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
