@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import contamination, licenses, packing, pii
+from plenum.llm import contamination, licenses, near_dedup, packing, pii
 from plenum.llm.tables import table
 
 
@@ -30,6 +30,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listing(base), 256).alias("base_sha256"), pii.listing(F.col("spans")).alias("spans"), score.alias("score"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -47,7 +51,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontamination, op5_pii, op9_packing, op10_licenses)}
+    return {f.__name__: f for f in (op4_decontamination, op5_pii, op8_near_dedup, op9_packing, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
