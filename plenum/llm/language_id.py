@@ -28,8 +28,8 @@ DIMENSIONS = 16
 GRAMS = (2, 3, 4)
 PER_LANGUAGE = 800
 LANGUAGES = 100
-WORDS = 96
-EPOCHS = 4
+WORDS = 64
+STEPS = 320
 REJECT_SHARE = 0.001
 REJECT_MOST = 0.5
 UNKNOWN = "und"
@@ -102,7 +102,7 @@ def sample(docs: DataFrame) -> list[tuple[str, str]]:
     return [(r["lang"], r["words"]) for r in rows]
 
 
-def train(rows: list[tuple[str, str]], *, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def train(rows: list[tuple[str, str]], *, steps: int = STEPS, seed: int = 7) -> Model:
     """Fits a model to (lang, text) rows; every fifth row is set aside for calibration."""
     languages = sorted({lang for lang, _ in rows})
     if not languages:
@@ -130,21 +130,17 @@ def train(rows: list[tuple[str, str]], *, epochs: int = EPOCHS, seed: int = 7) -
         shares = np.bincount(doc * len(used) + place, minlength=len(ids) * len(used)).reshape(len(ids), len(used)).astype(float)
         return used, shares / np.maximum(shares.sum(axis=1, keepdims=True), 1)
 
-    steps, done = epochs * (len(learn) // 32 + 1), 0
-    for _ in range(epochs):
-        rng.shuffle(learn)
-        for at in range(0, len(learn), 32):
-            ids = learn[at : at + 32]
-            used, shares = batch(ids)
-            rate = 20.0 * (1 - done / steps) + 0.1
-            hidden = shares @ embedding[used]
-            wrong = softmax(hidden @ layer + bias)
-            wrong[np.arange(len(ids)), label[ids]] -= 1
-            wrong /= len(ids)
-            embedding[used] -= rate * (shares.T @ (wrong @ layer.T))
-            layer -= rate * 0.1 * (hidden.T @ wrong)
-            bias -= rate * 0.02 * wrong.sum(axis=0)
-            done += 1
+    for step in range(steps):
+        ids = rng.choice(learn, min(32, len(learn)), replace=False)
+        used, shares = batch(ids)
+        rate = 25.0 * (1 - step / steps) + 0.1
+        hidden = shares @ embedding[used]
+        wrong = softmax(hidden @ layer + bias)
+        wrong[np.arange(len(ids)), label[ids]] -= 1
+        wrong /= len(ids)
+        embedding[used] -= rate * (shares.T @ (wrong @ layer.T))
+        layer -= rate * 0.1 * (hidden.T @ wrong)
+        bias -= rate * 0.02 * wrong.sum(axis=0)
     check = np.flatnonzero(aside) if aside.any() else learn
     logits = np.concatenate([(lambda b: b[1] @ embedding[b[0]] @ layer + bias)(batch(check[i : i + 64])) for i in range(0, len(check), 64)])
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(check)), label[check]] + 1e-12).mean()

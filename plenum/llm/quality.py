@@ -100,13 +100,13 @@ def _votes_of(patterns: np.ndarray) -> np.ndarray:
 
 
 def expectation_maximisation(given: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each vote pattern, tables P(vote | class) of labeller x class x vote, and the prior of good.
+    """Posterior of good for each vote pattern, tables P(vote | class, voted) of labeller x class x vote, and the prior of good.
 
     It begins from the share of good among the votes given, which also fixes which class is the good one.
     """
     cast = np.maximum((given >= 0).sum(axis=1), 1)
     good = ((given == 1).sum(axis=1) + 0.5) / (cast + 1)
-    held = np.stack([given == v for v in (-1, 0, 1)], axis=2).astype(float)  # pattern x labeller x vote
+    held = np.stack([given == v for v in (0, 1)], axis=2).astype(float)  # pattern x labeller x vote; no vote says nothing
     for _ in range(rounds):
         weights = np.stack([1 - good, good], axis=1) * counts[:, None]
         tables = np.einsum("pc,plv->lcv", weights, held) + 1.0
