@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import contamination, language_id, licenses, near_dedup, packing, pii, quality
+from plenum.llm import contamination, language_id, licenses, line_dedup, near_dedup, packing, pii, quality
 from plenum.llm.tables import table
 
 
@@ -42,6 +42,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = line_dedup.repeated_lines(docs).withColumnRenamed("doc_id", "of")
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("of"), "left")
+    gone = F.coalesce("gone", F.array().cast("array<int>"))
+    return joined.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(gone).cast("long").alias("n_gone"), F.array_join(gone.cast("array<string>"), ",").alias("gone_lines"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -63,7 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_pii, op6_quality, op8_near_dedup, op9_packing, op10_licenses)}
+    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_pii, op6_quality, op7_line_dedup, op8_near_dedup, op9_packing, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
