@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import contamination, language_id, licenses, line_dedup, near_dedup, packing, pii, quality
+from plenum.llm import contamination, language_id, licenses, line_dedup, near_dedup, neighbours, packing, passages, pii, quality
 from plenum.llm.tables import table
 
 
@@ -25,6 +25,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -71,7 +80,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op4_decontamination, op5_pii, op6_quality, op7_line_dedup, op8_near_dedup, op9_packing, op10_licenses)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_neighbours, op4_decontamination, op5_pii, op6_quality, op7_line_dedup, op8_near_dedup, op9_packing, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
