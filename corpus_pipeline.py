@@ -1,12 +1,55 @@
-"""Corpus pipeline: STAGES are applied in order to the documents; each stage's rows are written and read by the next."""
+"""Corpus pipeline over ``documents``: each stage's rows are written as Parquet and read by the next.
+
+Language ID drops what it rejects; line dedup drops repeated lines, and documents of which nothing is left; near dedup
+keeps one document of each group; decontamination drops documents that share a window with the benchmark; packing
+returns the pieces of token sequences. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
-ORACLE_SQL = None  # tokenisation, edit-distance joins and a fitted classifier are beyond SQL; tested stage by stage
+from plenum.llm import contamination, language_id, line_dedup, near_dedup, packing
+from plenum.llm.queries import tokenizer_path
+from plenum.llm.tables import shared_folder, table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; the model learns from the labelled documents of the stage's input."""
+    found = language_id.identify(docs, language_id.train(language_id.sample(docs)))
+    return found.filter("NOT lang_rejected").select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [("language_id", language_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("decontamination", benchmark_stage), ("packing", packing_stage)]
+
+#: A fitted classifier, an edit join, components and tokenisation are beyond SQL; every stage is tested by brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
