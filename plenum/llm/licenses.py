@@ -17,54 +17,54 @@ from plenum.llm.regex_spans import no_spans, running
 #: Phrases and labels that are always reported, wherever their words stand.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, keyword that a text must hold, pattern of the name in normalised words.
+#: Label, keywords of which a text must hold one (each begins a word), pattern of the name in normalised words.
 NAMES = (
-    ("apache-2.0", "apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
-    ("apache", "apache", "apache(?: software)? license"),
-    ("mit", "mit", "mit(?: x11)?(?: style)? licen[cs]e"),
-    ("isc", "isc", "isc licen[cs]e"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|simplified bsd|2 clause bsd|freebsd)(?: licen[cs]e)?"),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|new bsd|revised bsd|3 clause bsd|modified bsd)(?: licen[cs]e)?"),
-    ("bsd", "bsd", "bsd(?: style)? licen[cs]e"),
-    ("gpl-3.0", "g", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?v?3(?: 0)?(?: or(?: any)? later| only)?"),
-    ("gpl-2.0", "g", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?v?2(?: 0)?(?: or(?: any)? later| only)?"),
-    ("gpl", "g", "gnu (?:general public licen[cs]e|gpl)"),
-    ("lgpl-3.0", "l", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v)? ?v?3(?: 0)?"),
-    ("lgpl-2.1", "l", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v)? ?v?2 1"),
-    ("lgpl", "l", "(?:gnu )?(?:lesser|library) general public licen[cs]e"),
-    ("agpl-3.0", "a", "(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: version| v)? ?v?3(?: 0)?"),
-    ("agpl", "affero", "affero general public licen[cs]e"),
-    ("gfdl", "documentation", "gnu free documentation licen[cs]e"),
-    ("mpl-2.0", "m", "(?:mozilla public licen[cs]e|mpl)(?: version| v)? ?v?2(?: 0)?"),
-    ("mpl-1.1", "m", "(?:mozilla public licen[cs]e|mpl)(?: version| v)? ?v?1 1"),
-    ("mpl", "mozilla", "mozilla public licen[cs]e"),
-    ("epl-2.0", "e", "(?:eclipse public licen[cs]e|epl)(?: version| v)? ?v?2(?: 0)?"),
-    ("epl-1.0", "e", "(?:eclipse public licen[cs]e|epl)(?: version| v)? ?v?1(?: 0)?"),
-    ("cddl-1.0", "c", "(?:common development and distribution licen[cs]e|cddl)"),
-    ("cpl-1.0", "common public", "common public licen[cs]e"),
-    ("cc0-1.0", "c", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?"),
-    ("cc-by-sa", "c", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nc", "c", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
-    ("cc-by-nd", "c", "(?:cc by nd|creative commons attribution no ?deriv(?:s|atives?))(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "c", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "c", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives?))(?: [1-4] [05])?"),
-    ("cc-by-4.0", "c", "(?:cc by|creative commons attribution)(?: international)? 4 0"),
-    ("cc-by-3.0", "c", "(?:cc by|creative commons attribution)(?: unported)? 3 0"),
-    ("cc-by", "creative", "creative commons attribution"),
-    ("artistic-2.0", "artistic", "artistic licen[cs]e(?: version)?(?: 2 0)?"),
-    ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e"),
-    ("unlicense", "unlicen", "(?:the )?unlicen[cs]e"),
-    ("bsl-1.0", "boost", "boost software licen[cs]e(?: version)?(?: 1 0)?"),
-    ("wtfpl", "wtf", "(?:wtfpl|do what the fuck you want to public licen[cs]e)"),
-    ("odc-by", "o", "(?:odc by|open data commons attribution)(?: licen[cs]e)?"),
-    ("odbl-1.0", "o", "(?:odbl|open database licen[cs]e)"),
-    ("ofl-1.1", "font", "(?:sil )?open font licen[cs]e"),
-    ("python-2.0", "python", "python software foundation licen[cs]e"),
-    ("eupl-1.2", "eu", "(?:eupl|european union public licen[cs]e)(?: version| v)? ?v?(?:1 2)?"),
-    ("ms-pl", "m", "(?:ms pl|microsoft public licen[cs]e)"),
-    ("public-domain", "public domain", "public domain"),
-    ("proprietary", "confidential", "proprietary and confidential"),
+    ("apache-2.0", " apache", "apache(?: software)?(?: license)?(?: version)? 2(?: 0)?"),
+    ("apache-1.1", " apache", "apache(?: software)?(?: license)?(?: version)? 1 1"),
+    ("apache", " apache", "apache(?: software)? license"),
+    ("mit", " mit ", "mit(?: x11)?(?: style)? licen[cs]e"),
+    ("isc", " isc ", "isc licen[cs]e"),
+    ("bsd-2-clause", " bsd; simplified bsd; freebsd; clause bsd", "(?:bsd 2 clause|simplified bsd|2 clause bsd|freebsd)(?: licen[cs]e)?"),
+    ("bsd-3-clause", " bsd; simplified bsd; freebsd; clause bsd", "(?:bsd 3 clause|new bsd|revised bsd|3 clause bsd|modified bsd)(?: licen[cs]e)?"),
+    ("bsd", " bsd", "bsd(?: style)? licen[cs]e"),
+    ("gpl-3.0", " general public; gpl", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?v?3(?: 0)?(?: or(?: any)? later| only)?"),
+    ("gpl-2.0", " general public; gpl", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: as published by the free software foundation)?(?: either)?(?: version| v)? ?v?2(?: 0)?(?: or(?: any)? later| only)?"),
+    ("gpl", " gnu general; gnu gpl", "gnu (?:general public licen[cs]e|gpl)"),
+    ("lgpl-3.0", " lesser general; lgpl", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v)? ?v?3(?: 0)?"),
+    ("lgpl-2.1", " lesser general; lgpl", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v)? ?v?2 1"),
+    ("lgpl", " lesser general; library general", "(?:gnu )?(?:lesser|library) general public licen[cs]e"),
+    ("agpl-3.0", " affero; agpl", "(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: version| v)? ?v?3(?: 0)?"),
+    ("agpl", " affero", "affero general public licen[cs]e"),
+    ("gfdl", " free documentation", "gnu free documentation licen[cs]e"),
+    ("mpl-2.0", " mozilla; mpl", "(?:mozilla public licen[cs]e|mpl)(?: version| v)? ?v?2(?: 0)?"),
+    ("mpl-1.1", " mozilla; mpl", "(?:mozilla public licen[cs]e|mpl)(?: version| v)? ?v?1 1"),
+    ("mpl", " mozilla", "mozilla public licen[cs]e"),
+    ("epl-2.0", " eclipse; epl", "(?:eclipse public licen[cs]e|epl)(?: version| v)? ?v?2(?: 0)?"),
+    ("epl-1.0", " eclipse; epl", "(?:eclipse public licen[cs]e|epl)(?: version| v)? ?v?1(?: 0)?"),
+    ("cddl-1.0", " common development; cddl", "(?:common development and distribution licen[cs]e|cddl)"),
+    ("cpl-1.0", " common public", "common public licen[cs]e"),
+    ("cc0-1.0", " cc0; cc zero; creative commons", "(?:cc0|cc zero|creative commons zero)(?: 1 0)?(?: universal)?"),
+    ("cc-by-sa", " cc by; creative commons", "(?:cc by sa|creative commons attribution share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nc", " cc by; creative commons", "(?:cc by nc|creative commons attribution non ?commercial)(?: [1-4] [05])?"),
+    ("cc-by-nd", " cc by; creative commons", "(?:cc by nd|creative commons attribution no ?deriv(?:s|atives?))(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", " cc by; creative commons", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", " cc by; creative commons", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|atives?))(?: [1-4] [05])?"),
+    ("cc-by-4.0", " cc by; creative commons", "(?:cc by|creative commons attribution)(?: international)? 4 0"),
+    ("cc-by-3.0", " cc by; creative commons", "(?:cc by|creative commons attribution)(?: unported)? 3 0"),
+    ("cc-by", " creative commons", "creative commons attribution"),
+    ("artistic-2.0", " artistic licen", "artistic licen[cs]e(?: version)?(?: 2 0)?"),
+    ("zlib", " zlib", "zlib(?: libpng)? licen[cs]e"),
+    ("unlicense", " unlicen", "(?:the )?unlicen[cs]e"),
+    ("bsl-1.0", " boost software", "boost software licen[cs]e(?: version)?(?: 1 0)?"),
+    ("wtfpl", " wtfpl; do what the fuck", "(?:wtfpl|do what the fuck you want to public licen[cs]e)"),
+    ("odc-by", " odc by; open data commons", "(?:odc by|open data commons attribution)(?: licen[cs]e)?"),
+    ("odbl-1.0", " odbl; open database", "(?:odbl|open database licen[cs]e)"),
+    ("ofl-1.1", " open font; sil open", "(?:sil )?open font licen[cs]e"),
+    ("python-2.0", " python software", "python software foundation licen[cs]e"),
+    ("eupl-1.2", " eupl; european union public", "(?:eupl|european union public licen[cs]e)(?: version| v)? ?v?(?:1 2)?"),
+    ("ms-pl", " ms pl; microsoft public", "(?:ms pl|microsoft public licen[cs]e)"),
+    ("public-domain", " public domain", "public domain"),
+    ("proprietary", " proprietary and confidential", "proprietary and confidential"),
 )
 
 #: Priority, weight, and the phrasing around a name.
@@ -79,17 +79,21 @@ PHRASINGS = (
 )
 #: Notices without a license name.
 NOTICES = (
-    ("copyright", "copyright", 20, 0.5, "(?:copyright|copr)(?: c| ©)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
-    ("reserved", "reserved", 20, 0.5, "(?:no|some|all) rights reserved"),
-    ("warranty-disclaimer", "warranty", 15, 0.4, "without (?:any )?warranty(?: of any kind)?"),
-    ("as-is", "as is", 15, 0.4, "provided as is"),
-    ("no-redistribution", "without", 15, 0.5, "(?:may not be|do not) (?:copied|copy|redistributed?|reproduced?) without (?:prior )?(?:written )?permission"),
+    ("copyright", " copyright; copr ", 20, 0.5, "(?:copyright|copr)(?: c| ©)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
+    ("reserved", " rights reserved", 20, 0.5, "(?:no|some|all) rights reserved"),
+    ("warranty-disclaimer", " warranty", 15, 0.4, "without (?:any )?warranty(?: of any kind)?"),
+    ("as-is", " provided as is", 15, 0.4, "provided as is"),
+    ("no-redistribution", " may not be; do not", 15, 0.5, "(?:may not be|do not) (?:copied|copy|redistributed?|reproduced?) without (?:prior )?(?:written )?permission"),
 )
-PREFILTER = "licen[cs]|copyright|copr |spdx|reserved|warranty|public domain|apache|bsd|gpl|mpl|epl|cddl|cc by|cc0|creative commons|as is|odbl|odc by|eupl|wtfpl|confidential|permission"
+
+
+def keywords(told: str) -> list[str]:
+    """The strings of a rule's keyword list, each with the blank before its first word."""
+    return [" " + k.lstrip() for k in told.split(";")]
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
-    """(label, keyword, priority, weight, pattern) of every signature, by falling priority."""
+    """(label, keywords, priority, weight, pattern) of every signature, by falling priority."""
     found = [(label, keyword, priority, weight, phrasing.format(name)) for label, keyword, name in NAMES for priority, weight, phrasing in PHRASINGS]
     return sorted([*found, *NOTICES], key=lambda r: -r[2])
 
@@ -128,8 +132,10 @@ def scan(docs: DataFrame) -> DataFrame:
     for rule in rules():
         families.setdefault(rule[1], []).append(rule)
     detection = "array<struct<label:string,priority:int,weight:double,start:int,end:int>>"
-    table = F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*(F.struct(F.lit(r[0]).alias("label"), F.lit(r[2]).alias("priority"), F.lit(r[3]).alias("weight"), F.lit(r[4]).alias("pattern")) for r in own)).alias("rules")) for k, own in families.items()))
-    tried = F.flatten(F.transform(F.filter(table, lambda f: F.contains(padded, f["keyword"])), lambda f: f["rules"]))
+    table = F.array(*(F.struct(F.array(*map(F.lit, keywords(k))).alias("keywords"), F.array(*(F.struct(F.lit(r[0]).alias("label"), F.lit(r[2]).alias("priority"), F.lit(r[3]).alias("weight"), F.lit(r[4]).alias("pattern")) for r in own)).alias("rules")) for k, own in families.items()))
+    # Every keyword of every rule begins a word: one pattern over the words tells the few texts on which rules are tried.
+    prefilter = " (?:" + "|".join(sorted({k[1:] for f in families for k in keywords(f)})) + ")"
+    tried = F.flatten(F.transform(F.filter(table, lambda f: F.exists(f["keywords"], lambda k: F.contains(padded, k))), lambda f: f["rules"]))
     places = F.transform(
         F.filter(tried, lambda r: F.rlike(padded, F.concat(F.lit("(?<= )(?:"), r["pattern"], F.lit(")(?= )")))),
         lambda r: F.transform(_word_spans(padded, r["pattern"]), lambda s: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["weight"].alias("weight"), s["start"].alias("start"), s["end"].alias("end"))),
@@ -138,7 +144,7 @@ def scan(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.when(F.trim(padded) == "", 0).otherwise(_blanks(padded) - 1).alias("n_words"),
         F.concat(*base).alias("base"),
-        F.when(padded.rlike(PREFILTER), F.flatten(places)).otherwise(F.array().cast(detection)).alias("all_detections"),
+        F.when(padded.rlike(prefilter), F.flatten(places)).otherwise(F.array().cast(detection)).alias("all_detections"),
     )
     every = F.col("all_detections")
 
