@@ -68,9 +68,9 @@ def t9_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", X.clock_seconds(told).alias("seconds"), X.is_clock_heading(told).alias("heading"))
 
 
-@query("""WITH s AS (SELECT event_id, epoch_ms(ts) / 1000.0 - epoch(DATE '2024-01-01') AS x FROM events)
-SELECT event_id, round((floor(x * 1000) / 1000)::DOUBLE, 3) AS seconds,
-lpad(floor(x / 3600)::BIGINT::VARCHAR, greatest(2, length(floor(x / 3600)::BIGINT::VARCHAR))::INTEGER, '0') || ':' || lpad((floor(x / 60)::BIGINT % 60)::VARCHAR, 2, '0') || ':' || lpad((floor(x)::BIGINT % 60)::VARCHAR, 2, '0') AS clock""")
+@query("""WITH s AS (SELECT event_id, (epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01') // 1000) / 1000.0::DOUBLE AS x FROM events)
+SELECT event_id, round(x, 3) AS seconds,
+lpad(floor(x / 3600)::BIGINT::VARCHAR, greatest(2, length(floor(x / 3600)::BIGINT::VARCHAR))::INTEGER, '0') || ':' || lpad((floor(x / 60)::BIGINT % 60)::VARCHAR, 2, '0') || ':' || lpad((floor(x)::BIGINT % 60)::VARCHAR, 2, '0') AS clock FROM s""")
 def t10_cue_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = (F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.lit("2024-01-01").cast("timestamp"))) / 1000.0
     e = table(spark, sf_dir, "events").select("event_id", x.alias("x"))
