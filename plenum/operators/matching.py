@@ -118,12 +118,27 @@ def exact_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id
 
 
 def _in_order(quote, window):
-    """Most quote words met in order from any start of the window; all skips since a start count against the gap of two."""
-    one = lambda i: F.aggregate(
-        F.sequence(i, F.size(window) - 1), F.struct(F.lit(0).alias("n"), F.lit(False).alias("stop")),
-        lambda s, j: F.when(s["stop"] | (s["n"] >= F.size(quote)), s).when(F.get(window, j) == F.get(quote, s["n"]), F.struct((s["n"] + 1).alias("n"), F.lit(False).alias("stop"))).otherwise(F.struct(s["n"].alias("n"), ((s["n"] > 0) & (j - (i + s["n"]) > 2)).alias("stop"))),
-        lambda s: s["n"])
-    return F.coalesce(F.array_max(F.transform(F.sequence(F.lit(0), F.size(window) - 1), one)), F.lit(0)) / F.size(quote)
+    """Share of quote words met in order from the best start of the window; all skips since a start count against the gap of two.
+
+    A start at the quote's first word does at least as well as one before it, so only those are tried. The arrays are
+    bound once, as the value of a lambda, lest they be computed again at every step.
+    """
+
+    def best(s):
+        quote, window = s["q"], s["w"]
+
+        def one(i):
+            def step(t, j):
+                go_on = t["n"] < F.size(quote)
+                same = F.get(window, j) == F.get(quote, t["n"])
+                return F.when(t["stop"] | ~go_on, t).when(same, F.struct((t["n"] + 1).alias("n"), F.lit(False).alias("stop"))).otherwise(F.struct(t["n"].alias("n"), ((t["n"] > 0) & (j - (i + t["n"]) > 2)).alias("stop")))
+
+            return F.aggregate(F.sequence(i, F.size(window) - 1), F.struct(F.lit(0).alias("n"), F.lit(False).alias("stop")), step, lambda t: t["n"])
+
+        starts = F.filter(F.sequence(F.lit(0), F.size(window) - 1), lambda i: F.get(window, i) == F.get(quote, F.lit(0)))
+        return F.coalesce(F.array_max(F.transform(starts, one)), F.lit(0)) / F.size(quote)
+
+    return F.transform(F.array(F.struct(quote.alias("q"), window.alias("w"))), best)[0]
 
 
 def fuzzy_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id", session: str = "session", most: int = 30, ordered: bool = True) -> DataFrame:
@@ -147,7 +162,7 @@ def fuzzy_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id
     shared = words.join(vocabulary, [session, "word"]).groupBy(quote_id, session, "idx", "_t", "_n").agg(F.count(F.lit(1)).alias("_c"))
     starts = shared.filter((F.col("_c") >= F.col("_n") * F.col("_t") / 0.9 - 1e-9) | (F.col("_c") >= F.col("_n") - 2)).select(quote_id, session, "idx")
     starts = starts.unionByName(asked.filter(F.size("_w") <= 3).join(runs.select(session, "idx"), session).select(quote_id, session, "idx"))
-    tried = starts.join(asked, [quote_id, session]).join(runs, [session, "idx"]).withColumn("_size", F.explode(F.sequence(F.lit(1), F.size("_run"))))
+    tried = starts.distinct().join(asked, [quote_id, session]).join(runs, [session, "idx"]).withColumn("_size", F.explode(F.sequence(F.lit(1), F.size("_run"))))
     text = F.trim(F.array_join(F.filter(F.slice("_run", 1, F.col("_size")), lambda x: x != ""), " "))
     tried = tried.withColumn("_text", text).withColumn("_x", F.split("_text", " "))
     share = F.size(F.filter("_w", lambda x: F.array_contains(F.col("_x"), x))) / F.size("_w")
