@@ -45,7 +45,7 @@ def captions(spark: SparkSession, path: str, *, multi_line: bool = True, strip_t
     ``multi_line``: all text lines of a cue, blank-joined, else the first; ``strip_tags``: inline tags and ``&gt;&gt;`` go.
     Cues without text are dropped. Without ``times`` cues are told apart by blank lines only.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return cues(files, multi_line=multi_line, strip_tags=strip_tags, times=times)
 
 
@@ -60,7 +60,7 @@ def cues(files: DataFrame, *, multi_line: bool = True, strip_tags: bool = True,
         body = F.col("_b")
     if strip_tags:
         body = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"<[^>]+>", ""), "&gt;&gt;", ""), "&amp;", "&")
-    lines = F.filter(F.transform(F.split(body, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     text = F.array_join(lines, " ") if multi_line else F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
     at = lambda i: cue_seconds(F.regexp_extract("_b", arrow, i)) if times else F.lit(None).cast("double")
     rows = blocks.select("file", "_pos", at(1).alias("t_start"), at(2).alias("t_end"), F.trim(F.regexp_replace(text, r"\s+", " ")).alias("text")).filter("text <> ''")
@@ -86,7 +86,7 @@ def playlist(spark: SparkSession, path: str) -> DataFrame:
 
     The place within the file follows the reading of each file's lines in order: files are read whole.
     """
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
     parts = F.split("line", r"\|")
     good = (F.size(parts) >= 2) & parts[0].rlike(r"^[A-Za-z0-9_-]{11}$") & ~parts[1].rlike(r"^\[(?:Private|Deleted) video\]$")
