@@ -192,5 +192,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, item_id: str = "item
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k: int = K) -> DataFrame:
     """``docs`` without the rows that share a window with the benchmark; rows with a null ``doc_id`` stay."""
-    bad = contamination(docs, benchmark, window=window, k=k).filter("contaminated").select(F.col("doc_id").alias("_bad_id"))
-    return docs.join(bad, docs["doc_id"] == bad["_bad_id"], "left_anti")
+    bad = contamination(docs, benchmark, window=window, k=k).filter("contaminated").select(F.col("doc_id").alias("__bad_id"))
+    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")

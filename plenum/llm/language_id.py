@@ -162,7 +162,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_rejected", T.BooleanType())])
     text = F.col("text").cast("string")
-    marked = kept.withColumns({"_text": F.when(text.rlike(r"\p{L}"), text).otherwise(F.lit(None).cast("string"))})
+    name = "_text"
+    while name in docs.columns:
+        name += "_"
+    marked = kept.withColumns({name: F.when(text.rlike(r"\p{L}"), text).otherwise(F.lit(None).cast("string"))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -346,11 +346,11 @@ def repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHAR
 
 def drop_repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """``docs`` without repeated lines; ``n_chars``, if there, follows. A document of which no line but blank ones is left goes, one that lost none stays."""
-    gone = repeated_lines(docs, edits=edits, least=least).filter(F.size("gone") > 0).select(F.col("doc_id").alias("_of"), F.col("gone").alias("_gone"))
+    gone = repeated_lines(docs, edits=edits, least=least).filter(F.size("gone") > 0).select(F.col("doc_id").alias("__gone_of"), F.col("gone").alias("__gone_lines"))
     names = docs.columns
-    joined = docs.join(gone, docs["doc_id"] == gone["_of"], "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    joined = joined.withColumn("text", F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text")))
+    joined = docs.join(gone, docs["doc_id"] == gone["__gone_of"], "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone_lines"), i)), "\n")
+    joined = joined.withColumn("text", F.when(F.col("__gone_lines").isNotNull(), left).otherwise(F.col("text")))
     if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.col("_gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.filter(F.col("_gone").isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != "")).select(*names)
+        joined = joined.withColumn("n_chars", F.when(F.col("__gone_lines").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return joined.filter(F.col("__gone_lines").isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != "")).select(*names)

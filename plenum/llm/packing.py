@@ -101,11 +101,11 @@ class Encoder:
         plain = np.flatnonzero(~strange & (lengths > 0))
         if not len(plain):
             return out
-        if len(slow):
+        if len(plain) < len(texts):
             code = np.concatenate([codes[i] for i in plain])
             kind = self.classes[code]
             offsets = np.concatenate([[0], np.cumsum(lengths[plain])])
-        firsts, n = offsets[:-1], len(code)
+        n = len(code)
         # A piece starts where the class changes; a blank before marks belongs to them; the last character of a longer
         # run of white space before other text stands apart from the run.
         begins = np.ones(n, bool)
