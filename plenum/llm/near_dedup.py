@@ -7,10 +7,12 @@
    instead of all pairs of the group.
 3. Trees: in each of several independent trees a node branches by two minwise values that are chosen by its own path, so
    a document goes to two children. Nodes of one document, or of one label, end. Small nodes are compared exhaustively,
-   between labels; large ones branch on. With two branches, a pair at similarity 0.75 stays together on some path of a
-   tree of any depth with probability 0.88 or more; six trees miss it with 3e-6 at most.
-   Nodes that are still large at the last level are compared in blocks of bounded size.
-4. Pairs whose signatures agree enough are confirmed on the full sets of both texts; components of confirmed links follow.
+   between labels, and pairs whose signatures agree enough are confirmed on the full sets. Large nodes branch on, unless
+   they hold much of the node above, so that branching does not take them apart: those are compared exhaustively on full
+   sets, in blocks of bounded size, within tasks that return only links that join labels. With two branches, a pair at
+   similarity 0.75 stays together on some path of a tree of any depth with probability 0.88 or more, and mostly 0.91 to
+   0.94, where trees are one or two levels deep; four trees miss it with 2e-4 at most.
+4. Components of the confirmed links follow.
 
 Signatures only propose: no link is taken without the full sets.
 """
@@ -18,6 +20,7 @@ Signatures only propose: no link is taken without the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,18 +29,19 @@ from pyspark.sql import functions as F
 
 from plenum.llm.bytetext import gram_hashes, lower_table, mix, not_space_table, signed, span_hashes, text_slices, token_spans
 from plenum.llm.graphs import components
-from plenum.llm.tables import cut
+from plenum.llm.tables import among, cut
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
 SIGNATURE = 128
 STAR_VALUES = 16
 STAR_SHARED = 8
-TREES = 6
+TREES = 4
 BRANCHES = 2
 SMALL_NODE = 24
-LEVELS = 8
-BLOCK = 128
+LEVELS = 6
+ALIKE = 0.3
+BLOCK = 512
 #: A pair at the threshold agrees in fewer signature values than this with probability 4e-5.
 AGREEING = 77
 
@@ -93,7 +97,9 @@ def features(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; ``texts`` has one row (id, text) for each id."""
+    """The pairs (a, b) whose full sets reach the threshold; of ``texts`` (id, text) the least of each id counts."""
+    pairs = cut(pairs)
+    texts = _wanted(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
@@ -113,6 +119,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, perce
     return both.mapInArrow(_small(run), "a long, b long")
 
 
+def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    return among(texts, ids).groupBy("id").agg(F.min("text").alias("text"))
+
+
 def _small(run, rows: int = 256):
     """``run`` over batches of few rows, which bounds what wide rows take."""
     return lambda batches: run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
@@ -127,15 +137,15 @@ def _sized(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *rows])
 
 
-def _chosen(salt: Column | int, branch: int) -> Column:
+def _chosen(node: Column, branch: int) -> Column:
     """The signature value by which a node branches: a function of its path alone."""
-    return F.pmod(F.xxhash64(F.lit(salt) if isinstance(salt, int) else salt, F.lit(branch)), F.lit(SIGNATURE)).cast("int")
+    return F.pmod(F.xxhash64(node, F.lit(branch)), F.lit(SIGNATURE)).cast("int")
 
 
-def _children(rows: DataFrame, node: Column) -> DataFrame:
-    """The two children of each row's node: node, id, label, signature stays out."""
+def _children(rows: DataFrame, node: Column, size: Column | None = None) -> DataFrame:
+    """The children of each row's node: node, id, label, and the size of the node above if given."""
     children = F.array(*(F.xxhash64(node, F.lit(b), F.col("signature")[_chosen(node, b)]) for b in range(BRANCHES)))
-    return rows.select(F.explode(F.array_distinct(children)).alias("node"), "id", "label")
+    return rows.select(F.explode(F.array_distinct(children)).alias("node"), "id", "label", *([] if size is None else [size.alias("parent")]))
 
 
 def _stars(sets: DataFrame) -> DataFrame:
@@ -147,48 +157,112 @@ def _stars(sets: DataFrame) -> DataFrame:
     return met.filter(F.col("n") >= STAR_SHARED).groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b"))
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Pairs between the labels of nodes of bounded size: (a, b), a < b; ``members`` has key, id, label."""
-    held = members.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("id", "label"))).alias("held"))
-    after = F.transform("held", lambda x, i: F.transform(F.filter(F.slice("held", i + 2, F.size("held")), lambda y: y["label"] != x["label"]), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"))))
-    return held.select(F.explode(F.flatten(after)).alias("pair")).select("pair.a", "pair.b")
+def _small_nodes(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, between the labels of nodes of bounded size whose signatures agree enough; ``members`` has node, id, label, signature."""
+    held = members.groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("signature").alias("signatures")).select("ids", "labels", "signatures")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for ids, labels, signatures in zip(*(batch.column(c) for c in range(3)), strict=True):
+                i, own = np.asarray(ids.values), np.asarray(labels.values)
+                values = np.asarray(signatures.values.flatten()).reshape(len(i), SIGNATURE)
+                x, y = np.nonzero(np.triu(own[:, None] != own, 1))
+                good = (values[x] == values[y]).sum(axis=1) >= AGREEING
+                left.append(np.minimum(i[x], i[y])[good])
+                right.append(np.maximum(i[x], i[y])[good])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return held.mapInArrow(run, "a long, b long")
+
 
+def _large_nodes(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of large nodes, in blocks: every two blocks of a node meet under one key of bounded size.
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Large last nodes in blocks: every two blocks of a node meet under one key of bounded size."""
+    Full sets are compared within the task, so that no pair leaves it but links that join labels.
+    """
     blocks = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64(F.col("node"), F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
-    return blocks.select(F.explode(meets).alias("key"), "id", "label")
-
+    rows = blocks.select(F.explode(meets).alias("key"), "id", "label").distinct()
+    rows = rows.join(_wanted(texts, members.select("id")), "id")
+    held = rows.groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("text").alias("texts")).select("ids", "labels", "texts")
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Distinct pairs from all trees; ``sets`` has id, label, signature."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, labels, found in zip(*(batch.column(c) for c in range(3)), strict=True):
+                i, own = np.asarray(ids.values), np.asarray(labels.values)
+                x, y = np.nonzero(np.triu(_linked(*_sized(found.values, shingle), len(i), percent) & (own[:, None] != own), 1))
+                keep = _spanning(own[x], own[y])
+                x, y = i[x[keep]], i[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return held.mapInArrow(run, "a long, b long")
+
+
+def _linked(hashes: np.ndarray, rows: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Matrix of the pairs of n sets that reach the threshold: sizes of all intersections by products over shared elements."""
+    sizes = np.bincount(rows, minlength=n)
+    _, column, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    several = counts > 1
+    place = np.cumsum(several) - 1
+    good = several[column]
+    column, owners = place[column[good]], rows[good]
+    shared = np.zeros((n, n), np.float32)
+    order = np.argsort(column, kind="stable")
+    column, owners = column[order], owners[order]
+    for a in range(0, int(several.sum()), 4096):
+        part = slice(*np.searchsorted(column, [a, a + 4096]))
+        held = np.zeros((n, 4096), np.float32)
+        held[owners[part], column[part] - a] = 1
+        shared += held @ held.T
+    both = shared.astype(np.int64)
+    return (100 * both >= percent * (sizes[:, None] + sizes - both)) & (both > 0)
+
+
+def _spanning(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of links that join labels not joined by those before."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.get(v, v) != v:
+            root[v] = v = root.get(root[v], root[v])
+        return v
+
+    kept = []
+    for k, (u, v) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        u, v = find(u), find(v)
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            kept.append(k)
+    return kept
+
+
+def _links(sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Confirmed links between labels from all trees; ``sets`` has id, label, signature."""
     rows = None
     for tree in range(TREES):
         part = _children(sets, F.xxhash64(F.lit("tree"), F.lit(tree)))
         rows = part if rows is None else rows.unionByName(part)
-    found = []
+    rows = rows.withColumn("parent", F.lit(None).cast("long"))
+    pairs, links = [], []
     for level in range(LEVELS):
         nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
         live = cut(rows.join(nodes.select("node", "n"), "node"))
+        known = sets.select("id", "signature") if level == 0 else among(sets.select("id", "signature"), live.select("id"))
+        small = live.filter(F.col("n") <= SMALL_NODE).select("node", "id", "label").join(known, "id")
+        pairs.append(cut(_small_nodes(small)))
         large = live.filter(F.col("n") > SMALL_NODE)
-        found.append(_pairs(live.filter(F.col("n") <= SMALL_NODE).select(F.col("node").alias("key"), "id", "label")))
-        if large.isEmpty():
+        # A node that holds much of the node above it will not fall apart by branching.
+        alike = F.lit(level > 0) if level in (0, LEVELS - 1) else F.col("n") >= ALIKE * F.col("parent")
+        compared = large.filter(alike)
+        if level and not compared.isEmpty():
+            links.append(cut(_large_nodes(compared, texts, shingle, percent)))
+        rest = large.filter(~alike)
+        if level == LEVELS - 1 or rest.isEmpty():
             break
-        if level == LEVELS - 1:
-            found.append(_pairs(_blocks(large)))
-            break
-        rows = _children(large.join(sets.select("id", "signature"), "id"), F.col("node"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs.distinct()
-
-
-def _agreeing(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    left, right = (sets.select(F.col("id").alias(x), F.col("signature").alias(f"s_{x}")) for x in "ab")
-    agree = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "a").join(right, "b").filter(agree >= AGREEING).select("a", "b")
+        rows = _children(rest.select("node", "id", "label", "n").join(among(sets.select("id", "signature"), rest.select("id")), "id"), F.col("node"), F.col("n"))
+    proposed = reduce(DataFrame.unionByName, pairs).distinct()
+    return reduce(DataFrame.unionByName, [*links, confirm(proposed, texts, shingle=shingle, percent=percent)])
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
@@ -200,23 +274,25 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = T
     """
     made = cut(features(docs, shingle=shingle))
     linked = made.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = linked.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = made.join(classes.select(F.col("set_a").alias("a_"), F.col("set_b").alias("b_"), F.col("n_shingles").alias("n_"), "rep"), (F.col("set_a") == F.col("a_")) & (F.col("set_b") == F.col("b_")) & (F.col("n_shingles") == F.col("n_")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", "set_a", "set_b", "signature", "rep")
-    sets = cut(members.filter("doc_id = rep").groupBy("doc_id").agg(F.min_by(F.struct("signature", "set_a", "set_b"), F.struct("set_a", "set_b")).alias("x")).select(F.col("doc_id").alias("id"), "x.signature"))
-    # A doc_id that repeats with other texts stands for its least set here; its other sets link through their own class.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(sets.select("id"), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    classes = cut(linked.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
+    narrow = classes.select(F.col("set_a").alias("a_"), F.col("set_b").alias("b_"), F.col("n_shingles").alias("n_"), "rep")
+    same = (F.col("set_a") == F.col("a_")) & (F.col("set_b") == F.col("b_")) & (F.col("n_shingles") == F.col("n_")) & F.col("doc_id").isNotNull()
+    members = made.drop("signature").join(narrow, same, "left").select("doc_id", "n_shingles", "rep")
+    repeats = not linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    sets = classes.select(F.col("rep").alias("id"), "signature")
+    if repeats:  # a doc_id with several texts stands for one of its sets here, the one of its least text as below
+        sets = cut(sets.groupBy("id").agg(F.min("signature").alias("signature")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     stars = cut(confirm(_stars(sets), texts, shingle=shingle, percent=percent))
     label = stars.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "id")
     labelled = cut(sets.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "signature"))
     # A star's own document carries its label too, so that it is not compared with its own group again.
-    links = cut(confirm(_agreeing(_candidates(labelled), labelled), texts, shingle=shingle, percent=percent))
+    links = cut(_links(labelled, texts, shingle, percent))
     copies = members.filter("rep < doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
     found = components(stars.unionByName(links).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Copies hang on their representative; where a doc_id repeats with other texts, that can join components.
-    repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not repeated.isEmpty():
+    if repeats:  # copies hang on their representative; where a doc_id repeats with other texts, that can join components
         found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(copies))
-        joined = made.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+        joined = made.drop("signature").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     else:
         joined = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
     return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -224,5 +300,5 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = T
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with one document of each component: the one of least ``doc_id``."""
-    gone = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    gone = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FILTER_BITS = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,3 +30,31 @@ def cut(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def bit_set(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """The bit set of a column ``slot`` of numbers below ``2 ** bits``: 64-bit words, of a fixed size whatever the rows.
+
+    Words are put together in the cluster; the driver gets at most ``2 ** (bits - 6)`` of them, as one Arrow table.
+    """
+    words = slots.groupBy(F.shiftright("slot", 6).alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("word")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["part"].to_numpy()] = words["word"].to_numpy()
+    return out.view(np.uint64)
+
+
+def among(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
+    """The rows whose long ``column`` stands in ``ids`` (a table of that column).
+
+    A bit set of the hashed ids, of a fixed size whatever their number, goes to every task first, so that wide rows that
+    are not wanted stay where they are; the semi-join after it is exact.
+    """
+    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS)
+    shared = rows.sparkSession.sparkContext.broadcast(bit_set(ids.select(column).distinct().select(slot.alias("slot"))))
+
+    @F.pandas_udf("boolean")
+    def likely(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0)
+
+    return rows.filter(F.col(column).isNotNull()).filter(likely(slot)).join(ids.select(column).distinct(), column, "left_semi")
