@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.bytetext import gram_hashes, lower_table, signed, span_hashes, text_slices, token_spans, words_table
+from plenum.llm.tables import bit_set
 
 WINDOW = 10
 K = 5
@@ -96,13 +97,8 @@ def _items(benchmark: DataFrame, item_id: str, window: int, k: int) -> DataFrame
 def _filter(items: DataFrame) -> tuple[dict[int, None], np.ndarray]:
     """The lengths of short items (0: windows), at most ``window`` of them, and the bit set of the fingerprints, of fixed size."""
     slot = F.shiftrightunsigned(F.col("fp").bitwiseXOR((F.col("length") * F.lit(0x9E37)).cast("long")), 64 - FILTER_BITS)
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    parts = items.select("length", slot.alias("slot")).groupBy("length", F.shiftright("slot", 6).alias("part")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits"))
-    lengths: dict[int, None] = {}
-    for length, part, word in parts.toLocalIterator():
-        bits[part] |= word
-        lengths[length] = None
-    return lengths, bits.view(np.uint64)
+    lengths = [r["length"] for r in items.select("length").distinct().collect()]
+    return dict.fromkeys(lengths), bit_set(items.select(slot.alias("slot")), FILTER_BITS)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, item_id: str = "item_id", window: int = WINDOW, k: int = K) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.bytetext import arrow_text, mix, row_slices, signed
-from plenum.llm.tables import cut
+from plenum.llm.tables import bit_set, cut
 
 EDITS = 2
 MIN_CHARS = 20
@@ -296,10 +296,7 @@ def links(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHARS) -> Dat
     needed = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     # A bit set of fixed size lets most other lines stay in their task; the join below is exact.
     slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for part, word in needed.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6)).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))"))).toLocalIterator():
-        bits[part] = word
-    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(needed.select(slot.alias("slot")), FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
