@@ -21,32 +21,38 @@ _QUOTE = f"CASE WHEN {_PIECES} < 10 THEN 0.3 WHEN {_PIECES} < 15 THEN 0.6 + ({_P
 _TONE = f"CASE WHEN {_ANY('source', TONES[0])} THEN 1.0 WHEN {_ANY('source', TONES[1])} THEN 0.6 ELSE 0.3 END::DOUBLE"
 _AI = "(doc_id % 11)::DOUBLE"
 _FINAL = f"least({_AI} * 0.4::DOUBLE + {_JARGON} * 2.0::DOUBLE + CASE WHEN {_CONTRA} THEN 2.0 ELSE 0.0 END::DOUBLE + ({_QUOTE}) + CASE WHEN {_ANY('text', DAILY)} THEN 1.5 ELSE 0.0 END::DOUBLE + ({_TONE}) * 3.0::DOUBLE, 10.0::DOUBLE)"
-_t = F.col("text")
-_ai = (F.col("doc_id") % 11).cast("double")
+
+
+def _text():
+    return F.col("text")
+
+
+def _ai():
+    return (F.col("doc_id") % 11).cast("double")
 
 
 def _final():
-    return S.final_score(_ai, S.jargon_score(_t, JARGON), S.contradicts(_t, PAIRS), S.quotability(_t), S.everyday(_t, DAILY), S.tone_strength(F.col("source"), *TONES))
+    return S.final_score(_ai(), S.jargon_score(_text(), JARGON), S.contradicts(_text(), PAIRS), S.quotability(_text()), S.everyday(_text(), DAILY), S.tone_strength(F.col("source"), *TONES))
 
 
 @query(f"SELECT doc_id, round({_JARGON}, 6) AS jargon FROM documents")
 def k1_jargon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.jargon_score(_t, JARGON), 6).alias("jargon"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.jargon_score(_text(), JARGON), 6).alias("jargon"))
 
 
 @query(f"SELECT doc_id, {_CONTRA} AS contradiction FROM documents")
 def k2_contradiction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.contradicts(_t, PAIRS).alias("contradiction"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.contradicts(_text(), PAIRS).alias("contradiction"))
 
 
 @query(f"SELECT doc_id, {_ANY('text', DAILY)} AS everyday FROM documents")
 def k3_everyday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.everyday(_t, DAILY).alias("everyday"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.everyday(_text(), DAILY).alias("everyday"))
 
 
 @query(f"SELECT conv_id, turn, round({_QUOTE}, 6) AS quotability FROM conversations")
 def k4_quotability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(S.quotability(_t), 6).alias("quotability"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(S.quotability(_text()), 6).alias("quotability"))
 
 
 @query(f"SELECT doc_id, {_TONE} AS tone FROM documents")
@@ -62,12 +68,12 @@ def k6_final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, round(greatest(0::DOUBLE, least({_FINAL} + CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 0 END::DOUBLE - CASE WHEN length(text) > 250 THEN 1.0 ELSE 0 END::DOUBLE, 10::DOUBLE)), 6) AS score FROM documents")
 def k7_adjusted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = F.when(F.col("doc_id") % 3 == 0, "Gen Z and others").otherwise("All")
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.adjusted_score(_final(), group, _t), 6).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(S.adjusted_score(_final(), group, _text()), 6).alias("score"))
 
 
 @query(f"SELECT doc_id, least({_AI} + CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0 END::DOUBLE + CASE WHEN {_CONTRA} THEN 1.5 ELSE 0 END::DOUBLE + CASE WHEN {_ANY('text', DAILY)} THEN 1.0 ELSE 0 END::DOUBLE, 10::DOUBLE) AS score FROM documents")
 def k8_boosted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.boosted_score(_ai, F.col("doc_id") % 2 == 0, S.contradicts(_t, PAIRS), S.everyday(_t, DAILY)).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.boosted_score(_ai(), F.col("doc_id") % 2 == 0, S.contradicts(_text(), PAIRS), S.everyday(_text(), DAILY)).alias("score"))
 
 
 _MARKERS = {"first": ("thation", "ering", "the"), "second": ("que", "ment", "leeau", "eau"), "third": ("und", "lich")}
@@ -101,7 +107,7 @@ SELECT doc_id, concat_ws('|', CASE WHEN n < 80 THEN 'too_few_words' END, CASE WH
 def k11_script_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plenum.functions.text import count_words, plain_seconds
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", count_words(_t).alias("word_count"), plain_seconds(_t).alias("estimated_duration"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", count_words(_text()).alias("word_count"), plain_seconds(_text()).alias("estimated_duration"))
     return S.script_warnings(rows).select("doc_id", F.array_join("warnings", "|").alias("warnings"))
 
 
@@ -136,7 +142,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = table(spark, sf_dir, "conversations")
     none = F.lit(0.0)
-    score = F.round(S.final_score(none, S.jargon_score(_t, JARGON), S.contradicts(_t, PAIRS), S.quotability(_t), S.everyday(_t, DAILY), F.lit(0.3)), 6)
+    score = F.round(S.final_score(none, S.jargon_score(_text(), JARGON), S.contradicts(_text(), PAIRS), S.quotability(_text()), S.everyday(_text(), DAILY), F.lit(0.3)), 6)
     scored = with_context(turns, session="conv_id", order="turn", speaker="role").withColumn("score", score)
     totals = roll_up(turns, session="conv_id", order="turn", speaker="role").select("conv_id", "n_segments", "n_words")
     top = best(scored, group="conv_id", score="score", order="turn", limit=3)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from plenum.functions import text as X
 from plenum.plans.registry import query, table
 
-_DAY = F.to_date("o_orderdate")
+def _day():
+    return F.to_date("o_orderdate")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders""")
@@ -28,7 +29,7 @@ def t2_sitting_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%d-%m-%Y') AS day_key, concat_ws('|', strftime(o_orderdate, '%-d %B %Y'), strftime(o_orderdate, '%-d %b %Y'),
 strftime(o_orderdate, '%d-%m-%Y'), strftime(o_orderdate, '%d/%m/%Y'), strftime(o_orderdate, '%Y-%m-%d')) AS variants FROM orders""")
 def t3_date_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", X.date_key(_DAY).alias("day_key"), F.array_join(X.date_variants(_DAY), "|").alias("variants"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.date_key(_day()).alias("day_key"), F.array_join(X.date_variants(_day()), "|").alias("variants"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate::DATE END AS day FROM orders""")
@@ -82,7 +83,7 @@ def t11_parliament_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plenum.operators.matching import by_ranges
 
     terms = spark.createDataFrame([(7, None, "1995-01-01"), (8, "1995-01-01", "1997-01-03"), (9, "1997-01-03", None)], "parliament long, since string, until string").select("parliament", F.to_date("since").alias("since"), F.to_date("until").alias("until"))
-    return by_ranges(table(spark, sf_dir, "orders").select("o_orderkey", _DAY.alias("day")), terms, "day").select("o_orderkey", "parliament")
+    return by_ranges(table(spark, sf_dir, "orders").select("o_orderkey", _day().alias("day")), terms, "day").select("o_orderkey", "parliament")
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g')) AS plain FROM pages""")
