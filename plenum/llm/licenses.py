@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.regex_spans import no_spans, running
+from plenum.llm.regex_spans import running
 
 #: Phrases and labels that are always reported, wherever their words stand.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
