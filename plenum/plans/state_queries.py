@@ -252,3 +252,55 @@ SELECT user_id, count(*) AS caption_count, epoch_us(min(ts)) AS first_at FROM r
 def w5_caption_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = W.runs_twin(table(spark, sf_dir, "events"), session="user_id", at="ts", gap_seconds=3600)
     return rows.select("user_id", "caption_count", F.unix_micros(F.col("first_at").cast("timestamp")).alias("first_at"))
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 'structured' WHEN 'de' THEN 'old' ELSE 'unknown' END AS route FROM documents")
+def s3_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", F.array("text")).alias("takesSectionVOList"), F.when(F.col("lang") == "de", "old").alias("format"), F.struct(F.lit(None).cast("string").alias("fullText")).alias("cleanedContent"))
+    return readers.routed(rows).select("doc_id", "route")
+
+
+@query("""SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS seq, round(((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) // 1000) / 1000.0::DOUBLE, 3) AS t_start, event_type AS text FROM events""")
+def s4_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions written as files' texts and read back."""
+    start = (F.unix_millis(F.col("ts").cast("timestamp")) - F.unix_millis(F.lit("2024-01-01").cast("timestamp"))) / 1000.0
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), start.alias("t_start"), (start + 2).alias("t_end"), F.col("event_type").alias("text"))
+    files = writers.caption_text(rows, session="user_id").select(F.col("user_id").cast("string").alias("file"), "value")
+    return readers.cues(files).select(F.col("file").cast("long").alias("user_id"), F.col("seq").cast("long").alias("seq"), F.round("t_start", 3).alias("t_start"), "text")
+
+
+@query(r"""SELECT conv_id, turn AS segment_id, unnest(regexp_split_to_array(text, '\s+')) AS word, generate_subscripts(regexp_split_to_array(text, '\s+'), 1)::BIGINT - 1 AS word_no FROM conversations WHERE role = 'user'""")
+def s6_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    timed = F.transform(F.split("text", r"(?U)\s+", -1), lambda w: F.struct(F.concat(F.lit(" "), w).alias("word"), F.lit(0.0).alias("start"), F.lit(1.0).alias("end"), F.lit(0.9).alias("probability")))
+    segment = F.struct(F.col("turn").alias("id"), F.when(F.col("role") == "user", timed).alias("words"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_list(segment).alias("segments"))
+    return readers.words(rows, key="conv_id").select("conv_id", "segment_id", "word", F.col("word_no").cast("long").alias("word_no"))
+
+
+@query("SELECT o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS date, max(o_orderkey)::VARCHAR AS video_id FROM orders GROUP BY o_custkey, strftime(o_orderdate, '%Y-%m-%d')")
+def s8_keyed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = table(spark, sf_dir, "orders").groupBy("o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).agg(F.max("o_orderkey").cast("string").alias("video_id"))
+    objects = held.groupBy("o_custkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("date", F.struct("video_id"))))).alias("j"))
+    entries = objects.select("o_custkey", F.explode(readers.keyed_objects(F.col("j"), "MAP<STRING, STRUCT<video_id: STRING>>")).alias("e"))
+    return entries.select("o_custkey", F.col("e.key").alias("date"), F.col("e.value.video_id").alias("video_id"))
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-03-01'")
+def s9_month_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written by year and month to a shared folder, and two months read back."""
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="spark-")
+    path = f"{folder}/months-{uuid.uuid4().hex}"
+    writers.write_by_month(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("day")), path, day="day")
+    return spark.read.parquet(path).filter("year = 1996 AND month IN (1, 2)").select("o_orderkey", "o_totalprice")
+
+
+@query()
+def s11_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored files of the events table; times differ between copies of the tables, so there is no SQL."""
+    return readers.listing(spark, f"{sf_dir}/events.parquet").select("key", "size")
