@@ -1,0 +1,46 @@
+"""Queries over whole texts and whole tables, beside those whose SQL states a prefix or a part of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plenum.operators import matching as M
+from plenum.operators import parsing as P
+from plenum.operators import ranking as R
+from plenum.plans import chunk_queries, match_queries  # noqa: F401
+from plenum.plans.registry import ORACLES, query, table
+
+
+def _sql(name: str, *parts: tuple[str, str]) -> str:
+    """The SQL of a narrow query with its limits taken out."""
+    sql = ORACLES[name]
+    for old, new in parts:
+        assert old in sql, (name, old)
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query()
+def j14_substring_ratio_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All adjacent turns and their whole texts; tested against a plain pass, as SQL over all substrings is too slow."""
+    rows = table(spark, sf_dir, "conversations")
+    a = rows.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.col("text").alias("a"))
+    b = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return M.substring_ratio(a.join(b, ["conv_id", "turn"]), pair_id="pair_id").select("pair_id", F.round("ratio", 6).alias("ratio"))
+
+
+@query(_sql("d2_overlap_dedup", ("left(text, 8)", "text")))
+def d2_overlap_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("quote"), (F.col("doc_id") % 3 == 0).alias("in_overlap"))
+    return R.overlap_dedup(rows, order="doc_id", overlap="in_overlap").select("first_pos", "doc_id", "n_removed")
+
+
+@query(_sql("p5_repaired_json", ("left(text, 40)", "text")))
+def p5_repaired_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct(F.col("text").alias("quote"), F.col("turn").cast("double").alias("ai_score"), F.col("turn").alias("turn"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"])).alias("j"))
+    kind = F.col("conv_id") % 4
+    told = F.when(kind == 1, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(kind == 3, F.substring("j", F.lit(1), F.length("j") - 6)).otherwise(F.col("j"))
+    found = rows.select("conv_id", F.explode(P.repaired_json(told, "STRUCT<quote: STRING, ai_score: DOUBLE, turn: BIGINT>")).alias("x"))
+    return found.select("conv_id", "x.turn", F.md5("x.quote").alias("quote"), "x.ai_score")
