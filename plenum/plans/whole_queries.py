@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.operators import incremental as I
 from plenum.operators import matching as M
 from plenum.operators import parsing as P
 from plenum.operators import ranking as R
-from plenum.plans import chunk_queries, match_queries  # noqa: F401
+from plenum.plans import chunk_queries, match_queries, state_queries  # noqa: F401
 from plenum.plans.registry import ORACLES, query, table
+from plenum.streaming import state as W
 
 
 def _sql(name: str, *parts: tuple[str, str]) -> str:
@@ -44,3 +46,27 @@ def p5_repaired_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.when(kind == 1, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(kind == 3, F.substring("j", F.lit(1), F.length("j") - 6)).otherwise(F.col("j"))
     found = rows.select("conv_id", F.explode(P.repaired_json(told, "STRUCT<quote: STRING, ai_score: DOUBLE, turn: BIGINT>")).alias("x"))
     return found.select("conv_id", "x.turn", F.md5("x.quote").alias("quote"), "x.ai_score")
+
+
+@query(_sql("j1_best_video", (" AND l_quantity > 25 AND l_partkey % 20 = 0", "")))
+def j1_best_video_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("session"), F.to_date("o_orderdate").alias("day"))
+    videos = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("video"), F.col("l_shipdate").alias("published"), F.col("l_quantity").alias("q")).distinct()
+    days = F.abs(F.datediff(F.to_date("published"), F.col("day")))
+    score = F.when(days == 0, 4.0).when(days == 1, 3.0).when(days == 2, 1.0).otherwise(0.0) + F.col("q") / 25
+    return M.best_in_window(sessions, videos, session="session", day="day", video="video", published="published", score=score).select("session", "video", "confidence")
+
+
+@query(_sql("i2_work_list", (" AND o_orderkey % 20 = 0", ""), (" WHERE o_orderkey % 20 = 1", "")))
+def i2_work_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    stored = o.filter("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("date"))
+    checks = o.select(F.to_date("o_orderdate").alias("date"), F.lit("no_session").alias("status"))
+    return I.work_list(I.calendar(spark, "1996-01-01", "1996-12-31"), stored, checks, as_of="1996-12-31")
+
+
+@query(_sql("w2_attempt_outcomes", (" WHERE user_id < 20", "")))
+def w2_attempt_outcomes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "error", "server_error").otherwise("error")
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), (F.col("user_id") % 4).alias("attempt"), result.alias("result"), F.col("event_id").alias("at"))
+    return W.attempt_outcomes(rows).select("date", "attempts", "status")
