@@ -86,14 +86,16 @@ def j7_valid_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", M.valid_range(F.col("value") - 5, F.col("user_id"), F.lit(100)).alias("valid"))
 
 
-def _quotes_and_cues(spark, sf_dir):
-    """Cues are the lines of a conversation's turns; quotes the first words of every second turn, found back among them."""
+def _quotes_and_cues(spark, sf_dir, whole=False):
+    """Cues are the lines of a conversation's turns; quotes the first words of every second turn, or each whole turn, found back among them."""
     rows = table(spark, sf_dir, "conversations")
     cues = rows.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("p", "text"))
     from pyspark.sql import Window
 
     idx = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "p")) - 1
     cues = cues.select(F.col("conv_id").alias("session"), idx.alias("idx"), (idx * 3.0).alias("t_start"), (idx * 3.0 + 2.5).alias("t_end"), "text")
+    if whole:
+        return rows.select(F.concat_ws("-", "conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("session"), "text"), cues
     quotes = rows.filter("turn % 2 = 1").select(F.concat_ws("-", "conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("session"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
     return quotes, cues
 
@@ -122,7 +124,7 @@ def j9_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def j10_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested against a plain pass over all runs; the in-order count has a state of its own, which SQL lacks."""
-    return M.fuzzy_match(*_quotes_and_cues(spark, sf_dir), most=6).select("quote_id", F.col("at").alias("pos"), "size", F.round("score", 6).alias("score"))
+    return M.fuzzy_match(*_quotes_and_cues(spark, sf_dir, whole=True)).select("quote_id", F.col("at").alias("pos"), "size", F.round("score", 6).alias("score"))
 
 
 @query(rf"""WITH {_QC}, f AS (SELECT session, idx, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM cue), g AS (SELECT quote_id, session, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM quote),

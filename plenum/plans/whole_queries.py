@@ -70,3 +70,24 @@ def w2_attempt_outcomes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "error", "server_error").otherwise("error")
     rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), (F.col("user_id") % 4).alias("attempt"), result.alias("result"), F.col("event_id").alias("at"))
     return W.attempt_outcomes(rows).select("date", "attempts", "status")
+
+
+_QUOTES = (r"array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ') AS text FROM conversations WHERE turn % 2 = 1", "text FROM conversations")
+
+
+@query(_sql("j8_overlap_match", _QUOTES))
+def j8_overlap_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes, cues = match_queries._quotes_and_cues(spark, sf_dir, whole=True)
+    return M.overlap_match(quotes, cues).select("quote_id", F.col("at").alias("pos"), F.round("score", 6).alias("score"))
+
+
+@query(_sql("j9_exact_match", _QUOTES))
+def j9_exact_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes, cues = match_queries._quotes_and_cues(spark, sf_dir, whole=True)
+    return M.exact_match(quotes, cues).select("quote_id", F.col("at").alias("pos"), "size")
+
+
+@query(_sql("j11_single_cue", _QUOTES))
+def j11_single_cue_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quotes, cues = match_queries._quotes_and_cues(spark, sf_dir, whole=True)
+    return M.single_cue_match(quotes, cues).select("quote_id", F.col("at").alias("pos"))

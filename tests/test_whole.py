@@ -30,3 +30,12 @@ def test_attempts_of_all_users(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").selectExpr("event_id", "user_id", "ts::timestamp AS ts", "event_type").write.parquet(f"{tmp_path}/events.parquet")
     got = plans.queries()["w2_attempt_outcomes_whole"](spark, str(tmp_path)).collect()
     assert sorted((str(r.date), r.status) for r in got) == [("2024-01-01", "no_session"), ("2024-01-02", "done")]
+
+
+def test_quotes_are_whole_turns(spark, tmp_path):
+    lines = [f"line{i} has words{i} of its{i} own{i}" for i in range(10)]
+    spark.createDataFrame([(0, 0, "\n".join(lines)), (0, 1, "short end here now")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.quote_id: (r.pos, r["size"], r.score) for r in plans.queries()["j10_fuzzy_match"](spark, str(tmp_path)).collect()}
+    # The first strictly best run, by start and then from long to short, holds both.
+    assert got == {"0-0": (0, 11, 1.0), "0-1": (0, 11, 1.0)}
+    assert {r.quote_id for r in plans.queries()["j9_exact_match_whole"](spark, str(tmp_path)).collect()} == {"0-0", "0-1"}
