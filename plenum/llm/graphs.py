@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.tables import cut
+from plenum.llm.tables import Scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,14 +24,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return to.filter("u != v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the least node reachable of every node that has an edge (u, v); edges hold no nulls."""
-    edges = cut(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
-        edges = cut(_stars(_stars(edges, True), False))
-        # Two sums of edge hashes: the same on both sides of a step only if it changed nothing.
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+    # A count and two sums of edge hashes: the same on both sides of a step only if it changed nothing.
+    sums = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.bit_xor(F.xxhash64("v", "u"))}
+    edges, before = scratch.counted(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **sums)
+    while before["n"]:
+        moved, now = scratch.counted(_stars(_stars(edges, True), False), **sums)
+        scratch.drop(edges)
+        edges = moved
         if now == before:
             break
         before = now

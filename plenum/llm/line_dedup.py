@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.bytetext import arrow_text, mix, row_slices, signed
-from plenum.llm.tables import bit_set, cut
+from plenum.llm.tables import Scratch, bit_set
 
 EDITS = 2
 MIN_CHARS = 20
@@ -182,7 +182,7 @@ def _unsigned(column: pa.Array) -> np.ndarray:
     return np.asarray(column).astype(np.int64).view(np.uint64)
 
 
-def candidates(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+def candidates(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """Distinct pairs (a, b) of line hashes that share a segment and whose sketches allow ``edits``."""
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +218,7 @@ def candidates(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHARS) -
         yield flush(held)
 
     dealt = _keys(docs, edits, least).repartition("key").sortWithinPartitions("key")
-    met = cut(dealt.mapInArrow(grouped, "key long, a long, b long, sketch long"))
+    met = scratch.cut(dealt.mapInArrow(grouped, "key long, a long, b long, sketch long"))
     pairs = met.filter("key IS NULL").select("a", "b")
     members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("h"), "sketch").distinct()
     if members.isEmpty():
@@ -290,9 +290,9 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def links(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
+def links(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """Verified pairs (a, b) of hashes of different lines within ``edits``."""
-    pairs = cut(candidates(docs, edits=edits, least=least))
+    pairs = scratch.cut(candidates(docs, scratch, edits=edits, least=least))
     needed = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     # A bit set of fixed size lets most other lines stay in their task; the join below is exact.
     slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)
@@ -329,9 +329,10 @@ def repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHAR
     Rows that repeat a ``doc_id`` count as one document, whose lines of one number are one place; rows with a null
     ``doc_id``, null or empty texts and short lines take no part. Ties cannot arise: places are distinct.
     """
+    scratch = Scratch(docs.sparkSession)
     places = occurrences(docs, least=least)
-    classes = cut(places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
-    near = links(docs, edits=edits, least=least)
+    classes = scratch.cut(places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
+    near = links(docs, scratch, edits=edits, least=least)
     firsts = classes.select("h", "first")
     told = near.join(firsts.select(F.col("h").alias("a"), F.col("first").alias("first_a")), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("first_b")), "b")
     later = told.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("near", F.lit(True))

@@ -1,19 +1,23 @@
 """Operator 8: near-duplicate documents by a chosen-path set similarity join (Christiani, Pagh and Sivertsen).
 
-1. Texts become sets of hashed word shingles with a minwise signature. Documents with equal sets form one class, and only
-   its least ``doc_id`` goes on: thousands of copies cost one aggregation.
-2. Stars: documents that share many of the first signature values with the least document of those values are paired with
-   it and confirmed. It gives every document of a large group of near copies one label, by one pair for each document
-   instead of all pairs of the group.
-3. Trees: in each of several independent trees a node branches by two minwise values that are chosen by its own path, so
-   a document goes to two children. Nodes of one document, or of one label, end. Small nodes are compared exhaustively,
-   between labels, and pairs whose signatures agree enough are confirmed on the full sets. Large nodes branch on, unless
-   they hold much of the node above, so that branching does not take them apart: those are compared exhaustively on full
-   sets, in blocks of bounded size, within tasks that return only links that join labels. With two branches, a pair at
-   similarity 0.75 stays together on some path of a tree of any depth with probability 0.88 or more, and mostly 0.91 to
-   0.94, where trees are one or two levels deep; four trees miss it with 2e-4 at most.
+1. Texts become sets of hashed word shingles with a minwise signature. Equal sets form one class, and only one document
+   of each goes on: thousands of copies cost one aggregation.
+2. Stars: sets that share many of the first signature values with the least set of those values are paired with it and
+   confirmed. It gives every document of a large group of near copies one label, by one pair for each document instead of
+   all pairs of the group.
+3. Trees: several independent trees begin with nodes of two minwise values, ``ROOT_BRANCHES`` to a tree; a node that is
+   large branches on by one more value, twice, chosen by its own path. Nodes of one label end. Small nodes are compared
+   exhaustively, between labels, and pairs whose signatures agree enough are confirmed on the full sets. Nodes that hold
+   much of the node above, so that branching does not take them apart, and those of the last level are compared
+   exhaustively on full sets, in blocks of bounded size, within tasks that return only links that join labels. Nodes of
+   several paths that hold the same sets are compared once. A pair at similarity 0.75 meets in a tree's first nodes with
+   probability 0.96, and stays together at each further level with 0.94; four trees of all levels miss it with 1e-3 at
+   most, those of the usual one or two levels with 1e-4.
 4. Components of the confirmed links follow.
 
+All sets are compared as sorted 64-bit hashes, made once for those that a stage needs. Each stage's tables are deleted
+when the next one stands.
+
 Signatures only propose: no link is taken without the full sets.
 """
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from plenum.llm.bytetext import gram_hashes, lower_table, mix, not_space_table, signed, span_hashes, text_slices, token_spans
 from plenum.llm.graphs import components
-from plenum.llm.tables import among, cut
+from plenum.llm.tables import Scratch, bit_set, held, slot_of
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 75
@@ -37,11 +41,13 @@ SIGNATURE = 128
 STAR_VALUES = 16
 STAR_SHARED = 8
 TREES = 4
+ROOT_BRANCHES = 4
 BRANCHES = 2
 SMALL_NODE = 24
-LEVELS = 6
+LEVELS = 5
 ALIKE = 0.3
 BLOCK = 512
+BLOCK_HASHES = 1 << 20
 #: A pair at the threshold agrees in fewer signature values than this with probability 4e-5.
 AGREEING = 77
 
@@ -68,8 +74,24 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray
     return hashes[new], owners[new]
 
 
+def _ids(hashes: np.ndarray, owners: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of n rows the set sizes, ids of the sets, and which rows have a set at all; equal sets have one id."""
+    counts = np.bincount(owners, minlength=n)
+    filled = np.flatnonzero(counts)
+    sums, crosses = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    if len(filled):
+        at = np.cumsum(counts)[filled] - counts[filled]
+        sums[filled] = np.add.reduceat(hashes, at)
+        crosses[filled] = np.bitwise_xor.reduceat(mix(hashes + np.uint64(77)), at)
+    return counts, signed(mix(sums + mix(crosses ^ mix(counts.astype(np.uint64))))), filled
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def features(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (hashes of the whole set) and signature of every row of ``docs``."""
+    """doc_id, n_shingles, id (a hash of the whole set; null without one) and signature of every row of ``docs``."""
     seeds = np.random.default_rng(20240601).integers(1, 1 << 32, (2, SIGNATURE), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,126 +99,141 @@ def features(docs: DataFrame, *, shingle: int = SHINGLE) -> DataFrame:
             for i, j, data, offsets in text_slices(batch.column(1)):
                 n = j - i
                 hashes, owners = _shingles(data, offsets, shingle)
-                counts = np.bincount(owners, minlength=n)
-                filled = np.flatnonzero(counts)
-                at = np.cumsum(counts)[filled] - counts[filled]
-                sums = np.zeros((2, n), np.uint64)
+                counts, ids, filled = _ids(hashes, owners, n)
                 signature = np.zeros((n, SIGNATURE), np.uint32)
                 if len(filled):
-                    sums[0, filled] = np.add.reduceat(hashes, at)
-                    sums[1, filled] = np.bitwise_xor.reduceat(mix(hashes + np.uint64(77)), at)
+                    at = np.cumsum(counts)[filled] - counts[filled]
                     short = (hashes >> np.uint64(32)).astype(np.uint32)
                     for v in range(SIGNATURE):
                         values = (short ^ seeds[0, v]) * seeds[1, v]
                         signature[filled, v] = np.minimum.reduceat(values, at)
                 values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * SIGNATURE), pa.array(signature.reshape(-1).view(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(counts.astype(np.int64)), pa.array(signed(sums[0])), pa.array(signed(sums[1])), values], names=["doc_id", "n_shingles", "set_a", "set_b", "signature"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(counts.astype(np.int64)), pa.array(ids, mask=counts == 0), values], names=["doc_id", "n_shingles", "id", "signature"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature array<int>")
+    return _texts(docs).mapInArrow(run, "doc_id long, n_shingles long, id long, signature array<int>")
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, *, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; of ``texts`` (id, text) the least of each id counts."""
-    pairs = cut(pairs)
-    texts = _wanted(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    left, right = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes): the sorted hashes of each set in ``wanted`` (id, doc_id of one document that has it; no row twice).
+
+    A bit set of fixed size lets other texts stay in their task, unread; the join after it is exact.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(wanted.select(slot_of("doc_id").alias("slot"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            parts = [_sized(batch.column(c), shingle) for c in (2, 3)]
-            sizes = [np.bincount(rows, minlength=n) for _, rows in parts]
-            hashes, rows = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.lexsort((hashes, rows))
-            hashes, rows = hashes[order], rows[order]
-            same = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
-            shared = np.bincount(rows[1:][same], minlength=n)
-            good = (100 * shared >= percent * (sizes[0] + sizes[1] - shared)) & (shared > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
+            batch = batch.filter(pa.array(held(shared.value, np.asarray(batch.column(2), np.int64))))
+            for i, j, data, offsets in text_slices(batch.column(1)):
+                hashes, owners = _shingles(data, offsets, shingle)
+                counts, ids, _ = _ids(hashes, owners, j - i)
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32) * 8
+                values = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(hashes)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ids), values], names=["doc_id", "id", "hashes"])
 
-    return both.mapInArrow(_small(run), "a long, b long")
+    found = _texts(docs).filter("doc_id IS NOT NULL").select("doc_id", "text", slot_of("doc_id").alias("slot")).mapInArrow(run, "doc_id long, id long, hashes binary")
+    return found.join(wanted, ["doc_id", "id"], "left_semi").groupBy("id").agg(F.first("hashes").alias("hashes"))
 
 
-def _wanted(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    return among(texts, ids).groupBy("id").agg(F.min("text").alias("text"))
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
+    """The pairs (a, b) whose sets (id, hashes) reach the threshold."""
+    left, right = (sets.select(F.col("id").alias(x), F.col("hashes").alias(f"set_{x}")) for x in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for r, sides in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in sides)
+                shared = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+                good[r] = 100 * shared >= percent * (len(x) + len(y) - shared)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
-def _small(run, rows: int = 256):
-    """``run`` over batches of few rows, which bounds what wide rows take."""
-    return lambda batches: run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+    return both.mapInArrow(run, "a long, b long")
 
 
-def _sized(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes, rows = [], []
-    for i, _, data, offsets in text_slices(column):
-        h, r = _shingles(data, offsets, shingle)
-        hashes.append(h)
-        rows.append(r + i)
-    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *rows])
+def _value(node: Column, branch: int) -> Column:
+    """The signature value by which a node branches: a function of its path alone."""
+    return F.get(F.col("signature"), F.pmod(F.xxhash64(node, F.lit(branch)), F.lit(SIGNATURE)).cast("int"))
 
 
-def _chosen(node: Column, branch: int) -> Column:
-    """The signature value by which a node branches: a function of its path alone."""
-    return F.pmod(F.xxhash64(node, F.lit(branch)), F.lit(SIGNATURE)).cast("int")
+def _roots(sets: DataFrame) -> DataFrame:
+    """The first nodes of all trees, each by two minwise values: node, id, label, size, parent."""
+    nodes = []
+    for tree in range(TREES):
+        for branch in range(ROOT_BRANCHES):
+            path = F.xxhash64(F.lit(tree), F.lit(branch))
+            nodes.append(F.xxhash64(path, _value(path, 0), _value(path, 1)))
+    return sets.select(F.explode(F.array(*nodes)).alias("node"), "id", "label", "size", F.lit(None).cast("long").alias("parent"))
 
 
-def _children(rows: DataFrame, node: Column, size: Column | None = None) -> DataFrame:
-    """The children of each row's node: node, id, label, and the size of the node above if given."""
-    children = F.array(*(F.xxhash64(node, F.lit(b), F.col("signature")[_chosen(node, b)]) for b in range(BRANCHES)))
-    return rows.select(F.explode(F.array_distinct(children)).alias("node"), "id", "label", *([] if size is None else [size.alias("parent")]))
+def _children(rows: DataFrame) -> DataFrame:
+    """The children of each row's node, each by one more minwise value."""
+    node = F.col("node")
+    children = F.array(*(F.xxhash64(node, F.lit(b), _value(node, b)) for b in range(BRANCHES)))
+    return rows.select(F.explode(F.array_distinct(children)).alias("node"), "id", "label", "size", F.col("n").alias("parent"))
 
 
-def _stars(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each document b and the least document a < b with which it meets in enough signature values."""
+def _stars(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of each set b and the least set a < b with which it meets in enough signature values."""
     values = F.transform(F.sequence(F.lit(0), F.lit(STAR_VALUES - 1)), lambda j: F.xxhash64(j, F.get(F.col("signature"), j)))
-    nodes = sets.select(F.explode(values).alias("node"), "id")
-    least = nodes.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most").select("node", "a")
+    nodes = classes.select(F.explode(values).alias("node"), "id")
+    # Written, so that both sides of the join are plain exchanges, of which Spark splits what is skewed.
+    least = scratch.cut(nodes.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most").select("node", "a"))
     met = nodes.join(least, "node").filter(F.col("a") < F.col("id")).groupBy("id", "a").agg(F.count(F.lit(1)).alias("n"))
-    return met.filter(F.col("n") >= STAR_SHARED).groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b"))
+    pairs = scratch.cut(met.filter(F.col("n") >= STAR_SHARED).groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b")))
+    scratch.drop(least)
+    return pairs
 
 
-def _small_nodes(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, between the labels of nodes of bounded size whose signatures agree enough; ``members`` has node, id, label, signature."""
-    held = members.groupBy("node").agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("signature").alias("signatures")).select("ids", "labels", "signatures")
+def _small_nodes(members: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, between the labels of nodes of bounded size whose signatures agree enough; ``members`` has key, id, label."""
+    rows = members.join(signatures, "id")
+    grouped = rows.groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("signature").alias("signatures")).select("ids", "labels", "signatures")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for ids, labels, signatures in zip(*(batch.column(c) for c in range(3)), strict=True):
+            for ids, labels, found in zip(*(batch.column(c) for c in range(3)), strict=True):
                 i, own = np.asarray(ids.values), np.asarray(labels.values)
-                values = np.asarray(signatures.values.flatten()).reshape(len(i), SIGNATURE)
+                values = np.asarray(found.values.flatten()).reshape(len(i), SIGNATURE)
                 x, y = np.nonzero(np.triu(own[:, None] != own, 1))
                 good = (values[x] == values[y]).sum(axis=1) >= AGREEING
                 left.append(np.minimum(i[x], i[y])[good])
                 right.append(np.maximum(i[x], i[y])[good])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
-    return held.mapInArrow(run, "a long, b long")
+    return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
-def _large_nodes(members: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of large nodes, in blocks: every two blocks of a node meet under one key of bounded size.
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members of large nodes (key, n, total, id, label) under the keys of pairs of blocks: every two blocks of a node meet under one.
 
-    Full sets are compared within the task, so that no pair leaves it but links that join labels.
+    Blocks are of bounded size, in sets and in hashes.
     """
-    blocks = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64(F.col("node"), F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
-    rows = blocks.select(F.explode(meets).alias("key"), "id", "label").distinct()
-    rows = rows.join(_wanted(texts, members.select("id")), "id")
-    held = rows.groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("text").alias("texts")).select("ids", "labels", "texts")
+    count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")
+    placed = members.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
+    return placed.select(F.explode(meets).alias("key"), "id", "label")
+
+
+def _large_nodes(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) within pairs of blocks; full sets are compared within the task, so that no pair leaves it but links that join labels."""
+    grouped = blocks.join(sets, "id").groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list("hashes").alias("hashes")).select("ids", "labels", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, labels, found in zip(*(batch.column(c) for c in range(3)), strict=True):
                 i, own = np.asarray(ids.values), np.asarray(labels.values)
-                x, y = np.nonzero(np.triu(_linked(*_sized(found.values, shingle), len(i), percent) & (own[:, None] != own), 1))
+                if (own == own[0]).all():
+                    continue
+                parts = [np.frombuffer(h.as_buffer(), np.uint64) for h in found.values]
+                rows = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+                x, y = np.nonzero(np.triu(_linked(np.concatenate(parts), rows, len(i), percent) & (own[:, None] != own), 1))
                 keep = _spanning(own[x], own[y])
                 x, y = i[x[keep]], i[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
-    return held.mapInArrow(run, "a long, b long")
+    return grouped.mapInArrow(run, "a long, b long")
 
 
 def _linked(hashes: np.ndarray, rows: np.ndarray, n: int, percent: int) -> np.ndarray:
@@ -237,68 +274,75 @@ def _spanning(x: np.ndarray, y: np.ndarray) -> list[int]:
     return kept
 
 
-def _links(sets: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Confirmed links between labels from all trees; ``sets`` has id, label, signature."""
-    rows = None
-    for tree in range(TREES):
-        part = _children(sets, F.xxhash64(F.lit("tree"), F.lit(tree)))
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.withColumn("parent", F.lit(None).cast("long"))
-    pairs, links = [], []
+def _links(labelled: DataFrame, sets_of, scratch: Scratch, percent: int) -> DataFrame:
+    """Confirmed links between labels from all trees; ``labelled`` has id, label, size, signature, and ``sets_of`` gives the sets of ids."""
+    signatures = labelled.select("id", "signature")
+    rows, found = _roots(labelled), []
     for level in range(LEVELS):
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-        live = cut(rows.join(nodes.select("node", "n"), "node"))
-        known = sets.select("id", "signature") if level == 0 else among(sets.select("id", "signature"), live.select("id"))
-        small = live.filter(F.col("n") <= SMALL_NODE).select("node", "id", "label").join(known, "id")
-        pairs.append(cut(_small_nodes(small)))
-        large = live.filter(F.col("n") > SMALL_NODE)
+        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("parent").alias("above"))
         # A node that holds much of the node above it will not fall apart by branching.
-        alike = F.lit(level > 0) if level in (0, LEVELS - 1) else F.col("n") >= ALIKE * F.col("parent")
-        compared = large.filter(alike)
-        if level and not compared.isEmpty():
-            links.append(cut(_large_nodes(compared, texts, shingle, percent)))
-        rest = large.filter(~alike)
-        if level == LEVELS - 1 or rest.isEmpty():
+        branch = F.lit(level < LEVELS - 1) & (F.col("n") > SMALL_NODE) & (F.lit(level == 0) | (F.col("n") < ALIKE * F.col("above")))
+        nodes = nodes.filter("low <> high").select("node", "n", "total", F.xxhash64("n", "total", "who").alias("key"), branch.alias("branch"))
+        live, seen = scratch.counted(rows.drop("parent").join(nodes, "node"), deeper=F.count_if("branch"))
+        found.append(live)
+        if not seen["deeper"]:
             break
-        rows = _children(rest.select("node", "id", "label", "n").join(among(sets.select("id", "signature"), rest.select("id")), "id"), F.col("node"), F.col("n"))
-    proposed = reduce(DataFrame.unionByName, pairs).distinct()
-    return reduce(DataFrame.unionByName, [*links, confirm(proposed, texts, shingle=shingle, percent=percent)])
+        rows = _children(live.filter("branch").select("node", "id", "label", "size", "n").join(signatures, "id"))
+    # Nodes of different paths that hold the same sets have one key, and are compared once.
+    members = reduce(DataFrame.unionByName, [t.filter("NOT branch").select("key", "n", "total", "id", "label") for t in found]).distinct()
+    pairs = scratch.cut(_small_nodes(members.filter(F.col("n") <= SMALL_NODE).select("key", "id", "label"), signatures))
+    blocks, seen = scratch.counted(_blocks(members.filter(F.col("n") > SMALL_NODE)), n=F.count(F.lit(1)))
+    scratch.drop(*found)
+    sets = scratch.cut(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(blocks.select("id"))))
+    links = confirm(pairs, sets, percent)
+    links = scratch.cut(links.unionByName(_large_nodes(blocks, sets, percent)) if seen["n"] else links)
+    scratch.drop(pairs, blocks, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A document without words is linked with nothing.
-    Rows that repeat a ``doc_id`` are one document of the graph and keep their rows; a null ``doc_id`` is linked with
-    nothing and kept. Other columns of ``docs`` are ignored.
+    Rows that repeat a ``doc_id`` are one document of the graph, which has the links of all their texts, and keep their
+    rows; a null ``doc_id`` is linked with nothing and kept. An empty table gives none. Other columns are ignored.
     """
-    made = cut(features(docs, shingle=shingle))
-    linked = made.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = cut(linked.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature")))
-    narrow = classes.select(F.col("set_a").alias("a_"), F.col("set_b").alias("b_"), F.col("n_shingles").alias("n_"), "rep")
-    same = (F.col("set_a") == F.col("a_")) & (F.col("set_b") == F.col("b_")) & (F.col("n_shingles") == F.col("n_")) & F.col("doc_id").isNotNull()
-    members = made.drop("signature").join(narrow, same, "left").select("doc_id", "n_shingles", "rep")
-    repeats = not linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    sets = classes.select(F.col("rep").alias("id"), "signature")
-    if repeats:  # a doc_id with several texts stands for one of its sets here, the one of its least text as below
-        sets = cut(sets.groupBy("id").agg(F.min("signature").alias("signature")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    stars = cut(confirm(_stars(sets), texts, shingle=shingle, percent=percent))
+    scratch = Scratch(docs.sparkSession)
+    made = scratch.cut(features(docs, shingle=shingle))
+    linked = made.filter("doc_id IS NOT NULL AND id IS NOT NULL")
+    classes = scratch.cut(linked.groupBy("id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature")))
+    reps = classes.select("id", "rep")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = scratch.cut(ids.distinct().join(reps, "id").select("id", F.col("rep").alias("doc_id")))
+        return _sets(docs, wanted, shingle)
+
+    proposed = _stars(classes, scratch)
+    sets = scratch.cut(sets_of(proposed.select(F.explode(F.array("a", "b")).alias("id"))))
+    stars = scratch.cut(confirm(proposed, sets, percent))
+    scratch.drop(proposed, sets)
     label = stars.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "id")
-    labelled = cut(sets.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "signature"))
     # A star's own document carries its label too, so that it is not compared with its own group again.
-    links = cut(_links(labelled, texts, shingle, percent))
-    copies = members.filter("rep < doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
-    found = components(stars.unionByName(links).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    if repeats:  # copies hang on their representative; where a doc_id repeats with other texts, that can join components
-        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(copies))
-        joined = made.drop("signature").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    else:
-        joined = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
-    return joined.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    labelled = scratch.cut(classes.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "size", "signature"))
+    links = _links(labelled, sets_of, scratch, percent)
+    scratch.drop(labelled)
+    ends = [reps.select(F.col("id").alias(x), F.col("rep").alias(y)) for x, y in ("au", "bv")]
+    edges = stars.unionByName(links).join(ends[0], "a").join(ends[1], "b").select("u", "v")
+    # A doc_id with several texts joins the groups of all of them.
+    several = linked.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("doc_id")
+    own = linked.select("doc_id", "id").join(several, "doc_id").join(reps, "id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    found = components(edges.unionByName(own), scratch)
+    groups = reps.join(found, F.col("rep") == F.col("node"), "left").select("id", F.coalesce("component", "rep").alias("group"))
+    joined = made.select("doc_id", "n_shingles", "id").join(groups, "id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with one document of each component: the one of least ``doc_id``."""
-    gone = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+    """``docs`` with one document of each component: the one of least ``doc_id``, with all its rows.
+
+    Documents without words and rows with a null ``doc_id`` stay; an empty table gives none. Columns of any name stay as
+    they are: the rows that go are found by ``doc_id`` alone.
+    """
+    gone = near_duplicates(docs, **parameters).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

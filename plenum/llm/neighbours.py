@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.llm.bytetext import mix
-from plenum.llm.tables import cut
+from plenum.llm.tables import Scratch
 
 SHARD = 8192
 DEGREE = 24  # links of a node on upper levels; twice as many on the lowest
@@ -227,4 +227,4 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, *, id_column: str
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, **names) -> DataFrame:
-    return search(cut(build_index(vectors, **names)), queries, k, **names)
+    return search(Scratch(vectors.sparkSession).cut(build_index(vectors, **names)), queries, k, **names)

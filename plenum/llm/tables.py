@@ -1,35 +1,88 @@
-"""Reading of the given tables, and the shared folder in which lineage is cut."""
+"""Reading of the given tables, and tables that an operator writes on its way."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 FILTER_BITS = 25
 
+_scopes: list[list[Scratch]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, as in tests on one machine, a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one if all runs in one process, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder.rstrip("/")
+
+
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own within the shared folder.
+
+    A table that is written and read again cuts lineage and survives lost executors. ``drop`` deletes those that are done
+    with; the ones that the operator's result reads stay until ``scope`` ends or the folder is cleared.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.written = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+        for scope in _scopes[-1:]:
+            scope.append(self)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df`` written to the folder and read from there from now on."""
+        return self.counted(df)[0]
+
+    def counted(self, df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+        """As ``cut``, with aggregates of its rows that are gathered while they are written."""
+        path, seen = f"{self.folder}/{uuid.uuid4().hex}", Observation()
+        (df.observe(seen, *(c.alias(k) for k, c in sums.items())) if sums else df).write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.written[id(back)] = (back, path)
+        return back, seen.get if sums else {}
+
+    def drop(self, *tables: DataFrame) -> None:
+        for t in tables:
+            _delete(self.spark, self.written.pop(id(t))[1])
 
+    def clear(self) -> None:
+        self.written = {}
+        _delete(self.spark, self.folder)
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read from there from now on."""
-    if df.sparkSession.sparkContext.getCheckpointDir() is None:
-        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """What operators write within it is deleted at its end; results have to be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.clear()
+
+
+def slot_of(column: str, bits: int = FILTER_BITS) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(column), 64 - bits)
 
 
 def bit_set(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -43,18 +96,6 @@ def bit_set(slots: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def among(rows: DataFrame, ids: DataFrame, column: str = "id") -> DataFrame:
-    """The rows whose long ``column`` stands in ``ids`` (a table of that column).
-
-    A bit set of the hashed ids, of a fixed size whatever their number, goes to every task first, so that wide rows that
-    are not wanted stay where they are; the semi-join after it is exact.
-    """
-    slot = F.shiftrightunsigned(F.xxhash64(column), 64 - FILTER_BITS)
-    shared = rows.sparkSession.sparkContext.broadcast(bit_set(ids.select(column).distinct().select(slot.alias("slot"))))
-
-    @F.pandas_udf("boolean")
-    def likely(slots: pd.Series) -> pd.Series:
-        at = slots.to_numpy(np.int64)
-        return pd.Series((shared.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0)
-
-    return rows.filter(F.col(column).isNotNull()).filter(likely(slot)).join(ids.select(column).distinct(), column, "left_semi")
+def held(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots a bit set holds."""
+    return (bits[slots >> 6] >> (slots & 63).astype(np.uint64)) & np.uint64(1) > 0
