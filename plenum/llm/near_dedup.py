@@ -2,15 +2,15 @@
 
 1. Texts become sets of hashed word shingles with a minwise signature. Equal sets form one class, and only one document
    of each goes on: thousands of copies cost one aggregation.
-2. Stars: sets that share many of the first signature values with the least set of those values are paired with it and
-   confirmed. It gives every document of a large group of near copies one label, by one pair for each document instead of
-   all pairs of the group.
-3. Trees: several independent trees begin with nodes of two minwise values, ``ROOT_BRANCHES`` to a tree; a node that is
+2. Stars: of the sets that have a signature value a few are pivots (the least, the greatest, one by hash); sets that share
+   many of the first values with a pivot are paired with it and confirmed. The components of these links give a large
+   group of near copies one label, by a few pairs for each document instead of all pairs of the group.
+3. Trees: several independent trees begin with nodes of three minwise values, ``ROOT_BRANCHES`` to a tree; a node that is
    large branches on by one more value, twice, chosen by its own path. Nodes of one label end. Small nodes are compared
    exhaustively, between labels, and pairs whose signatures agree enough are confirmed on the full sets. Nodes that hold
-   much of the node above, so that branching does not take them apart, and those of the last level are compared
-   exhaustively on full sets, in blocks of bounded size, within tasks that return only links that join labels. Nodes of
-   several paths that hold the same sets are compared once. A pair at similarity 0.75 meets in a tree's first nodes with
+   much of the node above, or of which much has one label, so that branching does not take them apart, and those of the last level are compared
+   exhaustively on full sets, in blocks of bounded size, within tasks that return only links that join labels; sets of the
+   label that most of a dense node has meet the others only. Nodes of several paths that hold the same sets are compared once. A pair at similarity 0.75 meets in a tree's first nodes with
    probability 0.96, and stays together at each further level with 0.94; four trees of all levels miss it with 1e-3 at
    most, those of the usual one or two levels with 1e-4.
 4. Components of the confirmed links follow.
@@ -41,11 +41,13 @@ SIGNATURE = 128
 STAR_VALUES = 16
 STAR_SHARED = 8
 TREES = 4
-ROOT_BRANCHES = 4
+ROOT_VALUES = 3
+ROOT_BRANCHES = 6
 BRANCHES = 2
 SMALL_NODE = 24
 LEVELS = 5
 ALIKE = 0.3
+SIGNS = 3
 BLOCK = 512
 BLOCK_HASHES = 1 << 20
 #: A pair at the threshold agrees in fewer signature values than this with probability 4e-5.
@@ -157,12 +159,12 @@ def _value(node: Column, branch: int) -> Column:
 
 
 def _roots(sets: DataFrame) -> DataFrame:
-    """The first nodes of all trees, each by two minwise values: node, id, label, size, parent."""
+    """The first nodes of all trees, each by ``ROOT_VALUES`` minwise values: node, id, label, size, parent."""
     nodes = []
     for tree in range(TREES):
         for branch in range(ROOT_BRANCHES):
             path = F.xxhash64(F.lit(tree), F.lit(branch))
-            nodes.append(F.xxhash64(path, _value(path, 0), _value(path, 1)))
+            nodes.append(F.xxhash64(path, *(_value(path, v) for v in range(ROOT_VALUES))))
     return sets.select(F.explode(F.array(*nodes)).alias("node"), "id", "label", "size", F.lit(None).cast("long").alias("parent"))
 
 
@@ -174,14 +176,17 @@ def _children(rows: DataFrame) -> DataFrame:
 
 
 def _stars(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of each set b and the least set a < b with which it meets in enough signature values."""
+    """Pairs (a, b), a < b, of each set and the pivots with which it meets in enough signature values."""
     values = F.transform(F.sequence(F.lit(0), F.lit(STAR_VALUES - 1)), lambda j: F.xxhash64(j, F.get(F.col("signature"), j)))
     nodes = classes.select(F.explode(values).alias("node"), "id")
+    by_hash = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"]
+    held = nodes.groupBy("node").agg(F.min("id").alias("low"), F.max("id").alias("high"), by_hash.alias("other")).filter("low < high")
     # Written, so that both sides of the join are plain exchanges, of which Spark splits what is skewed.
-    least = scratch.cut(nodes.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("most")).filter("a < most").select("node", "a"))
-    met = nodes.join(least, "node").filter(F.col("a") < F.col("id")).groupBy("id", "a").agg(F.count(F.lit(1)).alias("n"))
-    pairs = scratch.cut(met.filter(F.col("n") >= STAR_SHARED).groupBy("id").agg(F.min("a").alias("a")).select("a", F.col("id").alias("b")))
-    scratch.drop(least)
+    pivots = scratch.cut(held.select("node", F.array_distinct(F.array("low", "high", "other")).alias("pivots")))
+    met = nodes.join(pivots, "node").select("id", F.explode("pivots").alias("pivot")).filter("id <> pivot")
+    often = met.groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= STAR_SHARED)
+    pairs = scratch.cut(often.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct())
+    scratch.drop(pivots)
     return pairs
 
 
@@ -206,14 +211,20 @@ def _small_nodes(members: DataFrame, signatures: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Members of large nodes (key, n, total, id, label) under the keys of pairs of blocks: every two blocks of a node meet under one.
+    """Members of large nodes (key, low, id, label, size) under the keys of pairs of blocks of bounded size, in sets and in hashes.
 
-    Blocks are of bounded size, in sets and in hashes.
+    The least label of a node, which is that of a group if the node holds one, is left out of account within itself: its
+    blocks meet those of all other labels, and these meet each other.
     """
-    count = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") / BLOCK_HASHES)).cast("int")
-    placed = members.withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.xxhash64("key", F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
-    return placed.select(F.explode(meets).alias("key"), "id", "label")
+    main = F.col("label") == F.col("low")
+    blocks = lambda own: F.ceil(F.greatest(F.count_if(own) / BLOCK, F.sum(F.when(own, F.col("size")).otherwise(0)) / BLOCK_HASHES)).cast("int")
+    counts = members.groupBy("key").agg(blocks(main).alias("mains"), blocks(~main).alias("others"))
+    placed = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.when(main, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+    each = lambda n, key: F.transform(F.sequence(F.lit(0), F.col(n) - 1), key)
+    across = lambda i, j: F.xxhash64("key", F.lit(0), i, j)
+    among = each("others", lambda o: F.xxhash64("key", F.lit(1), F.least(o, F.col("block")), F.greatest(o, F.col("block"))))
+    keys = F.when(main, each("others", lambda j: across(F.col("block"), j))).otherwise(F.concat(each("mains", lambda i: across(i, F.col("block"))), F.when(F.col("others") > 1, among).otherwise(F.array().cast("array<bigint>"))))
+    return placed.select(F.explode(keys).alias("key"), "id", "label")
 
 
 def _large_nodes(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -279,17 +290,20 @@ def _links(labelled: DataFrame, sets_of, scratch: Scratch, percent: int) -> Data
     signatures = labelled.select("id", "signature")
     rows, found = _roots(labelled), []
     for level in range(LEVELS):
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("parent").alias("above"))
-        # A node that holds much of the node above it will not fall apart by branching.
-        branch = F.lit(level < LEVELS - 1) & (F.col("n") > SMALL_NODE) & (F.lit(level == 0) | (F.col("n") < ALIKE * F.col("above")))
-        nodes = nodes.filter("low <> high").select("node", "n", "total", F.xxhash64("n", "total", "who").alias("key"), branch.alias("branch"))
+        # Random signs of labels cancel out unless one label has much of the sum (a sketch of the second moment).
+        signs = [F.sum(F.when(F.col("label") != F.col("id"), F.pmod(F.shiftright(F.xxhash64("label"), j), F.lit(2)) * 2 - 1).otherwise(0)).alias(f"sign_{j}") for j in range(SIGNS)]
+        nodes = rows.groupBy("node").agg(*signs, F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("id")).alias("who"), F.min("label").alias("low"), F.max("label").alias("high"), F.max("parent").alias("above"))
+        # A node that holds much of the node above it, or of which much has one label, will not fall apart by branching.
+        one_label = F.array_max(F.array(*(F.abs(F.col(f"sign_{j}")) for j in range(SIGNS)))) >= ALIKE * F.col("n")
+        branch = F.lit(level < LEVELS - 1) & (F.col("n") > SMALL_NODE) & ~one_label & (F.lit(level == 0) | (F.col("n") < ALIKE * F.col("above")))
+        nodes = nodes.filter("low <> high").select("node", "n", "total", "low", F.xxhash64("n", "total", "who").alias("key"), branch.alias("branch"))
         live, seen = scratch.counted(rows.drop("parent").join(nodes, "node"), deeper=F.count_if("branch"))
         found.append(live)
         if not seen["deeper"]:
             break
         rows = _children(live.filter("branch").select("node", "id", "label", "size", "n").join(signatures, "id"))
     # Nodes of different paths that hold the same sets have one key, and are compared once.
-    members = reduce(DataFrame.unionByName, [t.filter("NOT branch").select("key", "n", "total", "id", "label") for t in found]).distinct()
+    members = reduce(DataFrame.unionByName, [t.filter("NOT branch").select("key", "n", "low", "id", "label", "size") for t in found]).distinct()
     pairs = scratch.cut(_small_nodes(members.filter(F.col("n") <= SMALL_NODE).select("key", "id", "label"), signatures))
     blocks, seen = scratch.counted(_blocks(members.filter(F.col("n") > SMALL_NODE)), n=F.count(F.lit(1)))
     scratch.drop(*found)
@@ -321,8 +335,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, percent: int = T
     sets = scratch.cut(sets_of(proposed.select(F.explode(F.array("a", "b")).alias("id"))))
     stars = scratch.cut(confirm(proposed, sets, percent))
     scratch.drop(proposed, sets)
-    label = stars.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "id")
-    # A star's own document carries its label too, so that it is not compared with its own group again.
+    label = components(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch).withColumnsRenamed({"node": "id", "component": "label"})
     labelled = scratch.cut(classes.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "size", "signature"))
     links = _links(labelled, sets_of, scratch, percent)
     scratch.drop(labelled)
