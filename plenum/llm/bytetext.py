@@ -13,7 +13,11 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 18
+PIECE = 1 << 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ODD = np.uint64(0xC2B2AE3D27D4EB4F)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _FALSE = np.zeros(1, bool)
 
 
@@ -86,23 +90,33 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier and of its inverse, at least n of each."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((_MULTIPLIER, _INVERSE)):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps)
+    return _POWERS[0], _POWERS[1]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; memory follows the number of spans, whatever their length."""
-    lengths = ends - starts
-    hashes = lengths.astype(np.uint64) * _MULTIPLIER
-    live, at, j = np.arange(len(starts)), starts, 0
-    while len(live):
-        keep = lengths[live] > j
-        if not keep.all():
-            live = live[keep]
-            at = starts[live]
-            if not len(live):
-                break
-        hashes[live] = (hashes[live] ^ data[at + j]) * _MULTIPLIER
-        if j & 7 == 7:
-            hashes[live] ^= hashes[live] >> np.uint64(29)
-        j += 1
-    return mix(hashes)
+    """64-bit hashes of spans of bytes or code units, which stand in order; equal spans have equal hashes anywhere.
+
+    A span's hash is a polynomial in its elements, read off running sums. These go over pieces of bounded size.
+    """
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + PIECE, "right")))
+        part = data[base : int(ends[j - 1])]
+        up, down = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        a, b = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _ODD
+        i = j
+    return mix(out)
 
 
 def gram_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,9 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every document. What they say together is one of at most
 3^10 patterns; the counts of the patterns over all documents are a sufficient table for expectation-maximisation of the
-latent-class model, which estimates each labeller's accuracy and gives every pattern a posterior. On a bounded,
-documented sample (``SAMPLE`` documents) the posteriors train a logistic scorer over hashed words and word shapes. Every
-document is then scored whole. Documents are read three times and never shuffled; the driver sees pattern counts and the
+latent-class model, which estimates each labeller's accuracy and gives every pattern a posterior. On a bounded sample
+(``SAMPLE`` documents, the least by a hash of their texts) the posteriors train a logistic scorer over hashed words and
+word shapes. Every document is then scored whole. Documents are read three times and never shuffled; the driver sees pattern counts and the
 sample only.
 """
 
@@ -27,67 +27,82 @@ LABELLERS = ("length", "word_length", "symbols", "capitals", "variety", "repeate
 #: Frequent words of the languages at hand.
 FUNCTION_WORDS = "the of and to in is that it for with der die und das ist von mit den zu nicht le la les de des et en un une que el los las y es por con se"
 
-_LOWER, _SOLID = lower_table(), not_space_table()
+_LOWER, _SOLID, _IN_LINE = lower_table(), not_space_table(), np.arange(256) != 10
 _FUNCTION = np.sort(span_hashes(*(lambda w: (np.frombuffer("".join(w).encode(), np.uint8), np.cumsum([0, *map(len, w)])[:-1], np.cumsum([len(x) for x in w])))(FUNCTION_WORDS.split())))
 _SHAPES = np.full(256, ord("o"), np.uint8)
 _SHAPES[0x61:0x7B], _SHAPES[0x41:0x5B], _SHAPES[0x30:0x3A] = ord("a"), ord("A"), ord("0")
 _SHAPES[0x80:] = ord("a")
+_UPPER, _LETTERS, _SYMBOLS, _STOPS = (np.zeros(256, np.uint64) for _ in range(4))
+_UPPER[0x41:0x5B] = _LETTERS[0x41:0x5B] = _LETTERS[0x61:0x7B] = _LETTERS[0x80:] = 1
+_SYMBOLS[list(b"#$%&*|<>{}[]\\^~=_+@")] = _STOPS[list(b".!?")] = 1
 
 
-def _counts(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags)])
+def _counts(classes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each row the sums of a table over its bytes."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(classes[data], out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def votes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def _two(first: np.ndarray, second: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of two classes of bytes in one pass, as halves of one number."""
+    both = _counts(first + (second << np.uint64(32)), data, offsets)
+    return (both & np.uint64(0xFFFFFFFF)).astype(np.int64), (both >> np.uint64(32)).astype(np.int64)
+
+
+def _distinct(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Number of distinct hashes of each of n rows; 44 bits of a hash tell."""
+    bits = np.uint64(64 - 44) if n < 1 << 20 else np.uint64(32)
+    keys = np.sort(rows.astype(np.uint64) << (np.uint64(64) - bits) | hashes >> bits)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.bincount((keys[new] >> (np.uint64(64) - bits)).astype(np.int64), minlength=n)
+
+
+class Words:
+    """Words of a slice: runs of anything but ASCII white space, with hashes of their lower case."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.data, self.offsets, self.n = data, offsets, len(offsets) - 1
+        self.starts, self.ends, self.rows = token_spans(data, offsets, _SOLID)
+        self.counts = np.bincount(self.rows, minlength=self.n)
+        self.hashes = span_hashes(_LOWER[data], self.starts, self.ends)
+
+
+def votes(words: Words) -> np.ndarray:
     """Votes (1 good, 0 bad, -1 none) of all labellers on each row."""
-    n = len(offsets) - 1
-    size = np.maximum(np.diff(offsets), 1)
-    low = _LOWER[data]
-    starts, ends, rows = token_spans(low, offsets, _SOLID)
-    words = np.bincount(rows, minlength=n)
-    some = np.maximum(words, 1)
-    hashes = span_hashes(low, starts, ends)
-    order = np.lexsort((hashes, rows))
-    h, r = hashes[order], rows[order]
-    first = np.ones(len(h), bool)
-    first[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    variety = np.bincount(r[first], minlength=n) / some
-    lines_from, lines_to, line_rows = token_spans(low, offsets, np.arange(256) != 10)
-    lines = span_hashes(low, lines_from, lines_to)
-    order = np.lexsort((lines, line_rows))
-    lh, lr = lines[order], line_rows[order]
-    new = np.ones(len(lh), bool)
-    new[1:] = (lh[1:] != lh[:-1]) | (lr[1:] != lr[:-1])
+    data, offsets, rows, hashes, n, count = words.data, words.offsets, words.rows, words.hashes, words.n, words.counts
+    size, some = np.maximum(np.diff(offsets), 1), np.maximum(count, 1)
+    variety = _distinct(hashes, rows, n) / some
+    lines_from, lines_to, line_rows = token_spans(data, offsets, _IN_LINE)
+    lines = span_hashes(_LOWER[data], lines_from, lines_to)
     n_lines = np.maximum(np.bincount(line_rows, minlength=n), 1)
-    doubled = 1 - np.bincount(lr[new], minlength=n) / n_lines
-    upper = _counts((data >= 0x41) & (data < 0x5B), offsets)
-    letters = _counts(((data >= 0x41) & (data < 0x5B)) | ((data >= 0x61) & (data < 0x7B)) | (data >= 0x80), offsets)
-    symbols = _counts(np.isin(data, np.frombuffer(b"#$%&*|<>{}[]\\^~=_+@", np.uint8)), offsets)
+    doubled = 1 - _distinct(lines, line_rows, n) / n_lines
+    upper, letters = _two(_UPPER, _LETTERS, data, offsets)
+    symbols, stops = _two(_SYMBOLS, _STOPS, data, offsets)
+    shouts = np.bincount(np.searchsorted(offsets, np.flatnonzero(data == 0x21), "right") - 1, minlength=n)
     known = _FUNCTION[np.minimum(np.searchsorted(_FUNCTION, hashes), len(_FUNCTION) - 1)] == hashes
     function = np.bincount(rows[known], minlength=n) / some
-    stops = _counts(np.isin(data, np.frombuffer(b".!?", np.uint8)), offsets)
-    shouts = _counts(data == 0x21, offsets)
-    mean = letters / some
-    out = np.full((n, len(LABELLERS)), -1, np.int8)
-
-    def say(k: int, good: np.ndarray, bad: np.ndarray) -> None:
-        out[good, k] = 1
-        out[bad, k] = 0
-
-    say(0, words >= 20, words < 1)
-    say(1, (mean >= 2.5) & (mean <= 9), (mean < 1.5) | (mean > 14))
-    say(2, symbols / size < 0.01, symbols / size > 0.05)
-    say(3, upper / np.maximum(letters, 1) < 0.15, upper / np.maximum(letters, 1) > 0.4)
-    say(4, (words >= 20) & (variety > 0.45), (words >= 20) & (variety < 0.25))
-    say(5, (n_lines > 1) & (doubled == 0), doubled > 0.3)
-    say(6, function > 0.08, (words >= 20) & (function < 0.02))
-    say(7, letters / size > 0.7, letters / size < 0.55)
     again = np.zeros(len(hashes), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (rows[1:] == rows[:-1])
     stutter = np.bincount(rows[again], minlength=n) / some
-    say(9, (words >= 20) & (stutter < 0.05), (words >= 5) & (stutter > 0.2))
-    say(8, (stops > 0) & (shouts / some < 0.1), (stops == 0) & (words > 20) | (shouts / some > 0.5))
+    mean = letters / some
+    out = np.full((n, len(LABELLERS)), -1, np.int8)
+
+    def say(labeller: str, good: np.ndarray, bad: np.ndarray) -> None:
+        out[good, LABELLERS.index(labeller)] = 1
+        out[bad, LABELLERS.index(labeller)] = 0
+
+    say("length", count >= 20, count < 1)
+    say("word_length", (mean >= 2.5) & (mean <= 9), (mean < 1.5) | (mean > 14))
+    say("symbols", symbols / size < 0.01, symbols / size > 0.05)
+    say("capitals", upper / np.maximum(letters, 1) < 0.15, upper / np.maximum(letters, 1) > 0.4)
+    say("variety", (count >= 20) & (variety > 0.45), (count >= 20) & (variety < 0.25))
+    say("repeated_lines", (n_lines > 1) & (doubled == 0), doubled > 0.3)
+    say("function_words", function > 0.08, (count >= 20) & (function < 0.02))
+    say("letters", letters / size > 0.7, letters / size < 0.55)
+    say("sentences", (stops > 0) & (shouts / some < 0.1), (stops == 0) & (count > 20) | (shouts / some > 0.5))
+    say("stutter", (count >= 20) & (stutter < 0.05), (count >= 5) & (stutter > 0.2))
     return out
 
 
@@ -121,20 +136,19 @@ def expectation_maximisation(given: np.ndarray, counts: np.ndarray, rounds: int
     return good, tables, float(prior)
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and shapes of all rows: buckets and rows."""
-    low = _LOWER[data]
-    starts, ends, rows = token_spans(low, offsets, _SOLID)
+def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and shapes (the classes of the first twelve bytes, and the last two) of all rows: buckets and rows."""
+    data, starts, ends = words.data, words.starts, words.ends
     shapes = span_hashes(_SHAPES[data], starts, np.minimum(ends, starts + 12)) ^ span_hashes(data, np.maximum(starts, ends - 2), ends)
-    both = np.concatenate([span_hashes(low, starts, ends), shapes ^ np.uint64(0x5151)])
-    return (both >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), np.concatenate([rows, rows])
+    both = np.concatenate([words.hashes, shapes ^ np.uint64(0x5151)])
+    return (both >> np.uint64(40)).astype(np.int64) & (BUCKETS - 1), np.concatenate([words.rows, words.rows])
 
 
 def _train(sampled: list[tuple[bytes, float]], seed: int = 3) -> tuple[np.ndarray, float]:
     weights, bias, rng = np.zeros(BUCKETS), 0.0, np.random.default_rng(seed)
     parts = []
     for text, target in sampled:
-        buckets, _ = _features(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        buckets, _ = _features(Words(np.frombuffer(text, np.uint8), np.array([0, len(text)])))
         if len(buckets):
             parts.append((buckets, target))
     for epoch in range(EPOCHS):
@@ -158,7 +172,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
     def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_pattern(votes(data, offsets)) for _, _, data, offsets in text_slices(batch.column(0))]
+            found = [_pattern(votes(Words(data, offsets))) for _, _, data, offsets in text_slices(batch.column(0))]
             values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *found]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["pattern", "n"])
 
@@ -171,9 +185,9 @@ def quality(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for _, _, data, offsets in text_slices(batch.column(0)):
-                given = _pattern(votes(data, offsets))
-                starts, ends, rows = token_spans(data, offsets, _SOLID)
-                at = np.searchsorted(rows, np.arange(len(offsets)))
+                words = Words(data, offsets)
+                given, starts, ends = _pattern(votes(words)), words.starts, words.ends
+                at = np.concatenate([[0], np.cumsum(words.counts)])
                 for r in range(len(offsets) - 1):
                     own = np.arange(at[r], at[r + 1])
                     if len(own) > SAMPLE_TOKENS:
@@ -181,22 +195,21 @@ def quality(docs: DataFrame) -> DataFrame:
                     out.append((b" ".join(data[a : min(b, a + 64)].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)), int(given[r])))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([p for _, p in out], pa.int64())], names=["words", "pattern"])
 
-    share = min(1.0, SAMPLE / total)
+    share = min(1.0, 2 * SAMPLE / total)
     drawn = texts.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("text").mapInArrow(draw, "words binary, pattern long")
-    sampled = [(bytes(r["words"]), float(posterior[np.searchsorted(seen, r["pattern"])])) for r in drawn.orderBy(F.xxhash64("words"), "words").limit(2 * SAMPLE).collect()]
+    sampled = [(bytes(r["words"]), float(posterior[np.searchsorted(seen, r["pattern"])])) for r in drawn.orderBy(F.xxhash64("words"), "words").limit(SAMPLE).collect()]
     model = spark.sparkContext.broadcast((*_train(sampled), seen, posterior))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, seen, posterior = model.value
         for batch in batches:
             for i, j, data, offsets in text_slices(batch.column(1)):
-                given = votes(data, offsets)
+                words = Words(data, offsets)
+                given = votes(words)
                 weak = posterior[np.searchsorted(seen, _pattern(given))]
-                buckets, rows = _features(data, offsets)
-                mean = np.bincount(rows, weights=weights[buckets], minlength=j - i) / np.maximum(np.bincount(rows, minlength=j - i), 1)
-                linear = 1 / (1 + np.exp(-np.clip(mean + bias, -30, 30)))
-                empty = np.bincount(rows, minlength=j - i) == 0
-                linear[empty] = weak[empty]
+                buckets, rows = _features(words)
+                mean = np.bincount(rows, weights=weights[buckets], minlength=j - i) / np.maximum(2 * words.counts, 1)
+                linear = np.where(words.counts > 0, 1 / (1 + np.exp(-np.clip(mean + bias, -30, 30))), weak)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array((given >= 0).sum(axis=1).astype(np.int64)), pa.array(weak), pa.array(linear), pa.array(weak + linear >= 1)], names=["doc_id", "n_votes", "p_weak", "score", "keep"])
 
     return texts.mapInArrow(score, "doc_id long, n_votes long, p_weak double, score double, keep boolean")
