@@ -3,8 +3,9 @@
 Each document becomes its token ids and one end id. What fills whole windows is cut off as full windows; the rest, less
 than a window, is placed online into the fill level that minimises the sum over levels of the squared count of
 partially filled windows (Csirik, Johnson et al.). A level array holds the counts. A task keeps at most
-``open_windows`` windows open; when there are more, and at its end, the open ones are drained: their pieces are laid
-end to end and cut at window bounds, so that a task leaves at most one window unfilled, in which the padding lies.
+``open_windows`` windows open. When there are more, and at its end, the fullest of them keep their pieces, and the gaps
+that are left in them are filled with pieces of the emptiest, cut to fit: what moves is as much as the gaps hold. A task
+leaves at most one window unfilled, in which the padding lies.
 
 No shuffle is needed: windows are local to a task, and the ids of a task's windows derive from its partition number, so
 a task that runs again gives the same rows.
@@ -161,7 +162,7 @@ class Levels:
         self.window, self.most = window, most
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list[tuple[int, list]]] = [[] for _ in range(window)]
-        self.held = 0
+        self.held = self.moved = 0
         self.next = numbered
 
     def number(self) -> int:
@@ -199,26 +200,37 @@ class Levels:
             yield from self.drain(False)
 
     def drain(self, final: bool) -> Iterator[tuple]:
-        """Lays the pieces of the open windows end to end and cuts them at window bounds; unless final, what is left stays open."""
-        fill, pieces, number = 0, [], self.number()
-        for level in range(self.window - 1, 0, -1):
-            for _, held in self.open[level]:
-                for row, start, ids in held:
-                    while len(ids):
-                        take = min(len(ids), self.window - fill)
-                        pieces.append((row, start, ids[:take]))
-                        start, ids, fill = start + take, ids[take:], fill + take
-                        if fill == self.window:
-                            yield from rows_of(number, pieces, self.window)
-                            fill, pieces, number = 0, [], self.number()
-            self.open[level] = []
+        """Fills the fullest open windows with pieces of the emptiest, which are cut to fit; unless final, the one that is left stays open.
+
+        Only pieces of the windows that are dissolved move; ``moved`` counts their ids.
+        """
+        held = [[level, number, pieces] for level in range(self.window - 1, 0, -1) for number, pieces in self.open[level]]
+        self.open = [[] for _ in range(self.window)]
         self.counts[:] = 0
         self.held = 0
-        if pieces and final:
-            yield from rows_of(number, pieces, fill if fill & (fill - 1) == 0 else self.window)
-        elif pieces:
-            self.open[fill].append((number, pieces))
-            self.counts[fill] = self.held = 1
+        i, j = 0, len(held) - 1
+        while i < j:
+            fill, number, pieces = held[i]
+            row, start, ids = held[j][2].pop()
+            n = min(len(ids), self.window - fill)
+            pieces.append((row, start, ids[:n]))
+            held[i][0] += n
+            held[j][0] -= n
+            self.moved += n
+            if n < len(ids):
+                held[j][2].append((row, start + n, ids[n:]))
+            if held[i][0] == self.window:
+                yield from rows_of(number, pieces, self.window)
+                i += 1
+            if not held[j][0]:
+                j -= 1
+        if i == j:
+            fill, number, pieces = held[i]
+            if final:
+                yield from rows_of(number, pieces, fill if fill & (fill - 1) == 0 else self.window)
+            else:
+                self.open[fill].append((number, pieces))
+                self.counts[fill] = self.held = 1
 
 
 def rows_of(number: int, pieces: list, padded: int) -> Iterator[tuple]:
