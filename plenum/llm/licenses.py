@@ -1,10 +1,11 @@
 """Operator 10: license scan by ordered signature rules.
 
 Texts become lower-case words joined by single blanks. Hundreds of regular expressions over them, each with a priority,
-are built from license names and the phrasings in which a name can stand. A keyword prefilter gates them twice: a text
-without any license word skips all rules, and a family of rules is tried only on texts that hold its keyword. A
-detection that lies within another of no lower priority is dropped. All of it is native columns on the document's row:
-no shuffle, no Python; the rule table is a constant of the plan.
+are made of signatures of license bodies, of license names in the phrasings in which a name can stand, and of notices. A
+keyword prefilter gates them twice: a text without any license word skips all rules, and a family of rules is tried only on
+texts that hold its keyword. A detection that lies within another of no lower priority is dropped, by one pass over the
+detections in order of their starts. All of it is native columns on the document's row: no shuffle, no Python; the rule
+table is a constant of the plan.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.regex_spans import running
+from plenum.llm.regex_spans import running, starts
 
 #: Phrases and labels that are always reported, wherever their words stand.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -77,6 +78,56 @@ PHRASINGS = (
     (30, 0.8, "(?:copy of|full text of|text of) the (?:{})"),
     (10, 0.6, "(?:{})"),
 )
+#: Label, keyword (begins a word) and pattern of sentences that stand in the bodies of licenses, in normalised words.
+BODIES = (
+    ("mit", " permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", " the above copyright notice and this", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("x11", " except as contained", "except as contained in this notice the names? of (?:[a-z0-9]+ ){1,12}shall not be used in advertising"),
+    ("isc", " permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", " permission to use", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("bsd", " redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", " redistributions of source", "redistributions of source code must retain the (?:above )?copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", " redistributions in binary", "redistributions in binary form must reproduce the (?:above )?copyright notice"),
+    ("bsd-3-clause", " neither the name", "neither the names? of (?:[a-z0-9]+ ){1,16}may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", " all advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-2.0", " you may not use this", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", " distributed on an", "distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0", " each contributor hereby", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
+    ("gpl", " this program is free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0", " the licenses for most", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", " the gnu general public", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3.0", " the licenses for most", "the licenses for most software and other practical works are designed to take away your freedom"),
+    ("lgpl", " this library is free", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("agpl-3.0", " the gnu affero", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("fsf-license-text", " everyone is permitted", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gfdl", " permission is granted", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", " this source code form", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", " the contents of this file", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("cddl-1.0", " the contents of this file", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl", " this program and the", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("zlib", " this software is provided", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages"),
+    ("zlib", " altered source versions", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("bsl-1.0", " permission is hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("unlicense", " this is free and", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", " everyone is permitted", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("beerware", " as long as you retain", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("cc0-1.0", " the person who associated", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-by", " you must give appropriate", "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-deed", " you are free to", "you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-deed", " adapt remix", "adapt remix transform and build upon the material for any purpose even commercially"),
+    ("cc-by-nc", " you may not use the", "you may not use the material for commercial purposes"),
+    ("cc-by-nd", " if you remix", "if you remix transform or build upon the material you may not distribute the modified material"),
+    ("cc-by-sa", " if you remix", "if you remix transform or build upon the material you must distribute your contributions under the same license as the original"),
+    ("ofl-1.1", " the fonts and derivatives", "the fonts and derivatives however cannot be released under any other type of license"),
+    ("artistic", " this package is free", "this package is free software you can redistribute it and or modify it under the same terms as perl itself"),
+    ("python-2.0", " psf is making", "psf is making python available to licensee on an as is basis"),
+    ("openssl", " this product includes", "this product includes software developed by the openssl project"),
+    ("ms-pl", " if you use the software", "if you use the software you accept this license if you do not accept the license do not use the software"),
+    ("warranty-disclaimer", " in no event shall", "in no event shall the (?:[a-z0-9]+ ){1,12}be liable for any (?:claim|direct)"),
+    ("warranty-disclaimer", " in the hope that", "in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
+    ("warranty-disclaimer", " the software is provided", "the software is provided as is without warranty of any kind express or implied"),
+)
+
 #: Notices without a license name.
 NOTICES = (
     ("copyright", " copyright; copr ", 20, 0.5, "(?:copyright|copr)(?: c| ©)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?"),
@@ -95,7 +146,8 @@ def keywords(told: str) -> list[str]:
 def rules() -> list[tuple[str, str, int, float, str]]:
     """(label, keywords, priority, weight, pattern) of every signature, by falling priority."""
     found = [(label, keyword, priority, weight, phrasing.format(name)) for label, keyword, name in NAMES for priority, weight, phrasing in PHRASINGS]
-    return sorted([*found, *NOTICES], key=lambda r: -r[2])
+    bodies = [(label, keyword, 55, 1.0, pattern) for label, keyword, pattern in BODIES]
+    return sorted([*bodies, *found, *NOTICES], key=lambda r: -r[2])
 
 
 def _blanks(text: Column) -> Column:
@@ -108,7 +160,7 @@ def _word_spans(padded: Column, pattern: Column) -> Column:
     matches = F.transform(F.regexp_extract_all(padded, bounded, F.lit(0)), _blanks)
     pieces = F.transform(F.split(padded, bounded, -1), _blanks)
     # Blanks before a match count its words and one more; a match of n words holds n - 1 blanks.
-    return F.transform(running(pieces, matches), lambda s: F.struct((s["start"] - 1).alias("start"), s["end"].alias("end")))
+    return F.zip_with(starts(pieces, matches), matches, lambda at, n: F.struct((at - 1).alias("start"), (at + n).alias("end")))
 
 
 def _phrase(padded: Column, phrase: str, label: str) -> Column:
@@ -146,13 +198,15 @@ def scan(docs: DataFrame) -> DataFrame:
         F.concat(*base).alias("base"),
         F.when(padded.rlike(prefilter), F.flatten(places)).otherwise(F.array().cast(detection)).alias("all_detections"),
     )
-    every = F.col("all_detections")
-
-    def beaten(d: Column, o: Column) -> Column:
-        """Whether o covers d: it holds d's words and more with no lower priority, or the same words with a higher one or an earlier label."""
-        wider = (o["end"] - o["start"]) > (d["end"] - d["start"])
-        rank = (o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & (o["label"] < d["label"]))
-        return (o["start"] <= d["start"]) & (o["end"] >= d["end"]) & ((wider & (o["priority"] >= d["priority"])) | (~wider & rank))
-
-    kept = F.filter(every, lambda d: ~F.exists(every, lambda o: beaten(d, o)))
-    return found.select("doc_id", "n_words", "base", kept.alias("detections"))
+    # A detection is covered if one that starts no later, is as wide or wider and has no lower priority ends no sooner. In
+    # this order all that can cover it stand before it: ends are kept by priority, each for that priority and those below.
+    ranks = sorted({r[2] for r in rules()})
+    rank = F.create_map(*(F.lit(v) for i, p in enumerate(ranks) for v in (p, i)))
+    order = F.array_sort(F.transform("all_detections", lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), (-d["priority"]).alias("below"), d["label"].alias("label"), d.alias("told"), F.element_at(rank, d["priority"]).alias("rank"))))
+    found = found.select("doc_id", "n_words", "base", order.alias("ordered"))
+    none = F.array(*(F.lit(-1) for _ in ranks))
+    least = lambda s, x: F.transform(s, lambda v, i: F.when(i <= x["rank"], F.greatest(v, x["told"]["end"])).otherwise(v))
+    ends = running(F.col("ordered"), none, "array<int>", least, lambda s, t: F.zip_with(s, t, lambda x, y: F.greatest(x, y)))
+    marked = F.zip_with("ordered", ends, lambda x, e: F.struct(x["told"].alias("told"), (F.get(e, x["rank"]) >= x["told"]["end"]).alias("covered")))
+    kept = F.transform(F.filter(marked, lambda m: ~m["covered"]), lambda m: m["told"])
+    return found.select("doc_id", "n_words", "base", F.when(F.size("ordered") > 0, kept).otherwise(F.array().cast(detection)).alias("detections"))

@@ -12,11 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.regex_spans import no_spans, spans
+from plenum.llm.regex_spans import no_spans, running, spans
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
-CONTEXT_CHARS = 48
 #: The score that a kind has by itself, and the words near a span that raise it.
 PRIORS = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.85, "ssn": 0.3}
 CONTEXT_WORDS = {
@@ -58,10 +57,6 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step) == 1
 
 
-def _cut(text: Column, span: Column) -> Column:
-    return text.substr(span["start"] + 1, span["end"] - span["start"])
-
-
 def _found(text: Column) -> dict[str, Column]:
     """Confirmed spans by kind; a cheap test of a character or pattern that every match holds goes first."""
     label, local, digit = "[A-Za-z0-9-]", "[A-Za-z0-9._%+" + _MARK + "-]", "[0-9]"
@@ -75,24 +70,21 @@ def _found(text: Column) -> dict[str, Column]:
     length = lambda m, low, high: F.length(_digits(m)).between(low, high)
     return {
         "email": F.when(F.contains(text, F.lit("@")), email).otherwise(no_spans()),
-        "ip": F.when(text.rlike(r"[0-9]\.[0-9]"), F.filter(ip, lambda s: octets(_cut(text, s)))).otherwise(no_spans()),
-        "card": F.when(text.rlike(r"[0-9][0-9 -]{11,}"), F.filter(card, lambda s: length(_cut(text, s), 13, 19) & luhn(_digits(_cut(text, s))))).otherwise(no_spans()),
-        "phone": F.when(text.rlike(r"\+[0-9]"), F.filter(phone, lambda s: length(_cut(text, s), 9, 15))).otherwise(no_spans()),
-        "iban": F.when(text.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{8}"), F.filter(iban, lambda s: mod97(F.regexp_replace(_cut(text, s), " ", "")))).otherwise(no_spans()),
-        "ssn": F.when(text.rlike(r"[0-9]-[0-9]{2}-[0-9]"), F.filter(ssn, lambda s: _near(text, s, "ssn"))).otherwise(no_spans()),
+        "ip": F.when(text.rlike(r"[0-9]\.[0-9]"), F.filter(ip, lambda s: octets(s["match"]))).otherwise(no_spans()),
+        "card": F.when(text.rlike(r"[0-9][0-9 -]{11,}"), F.filter(card, lambda s: length(s["match"], 13, 19) & luhn(_digits(s["match"])))).otherwise(no_spans()),
+        "phone": F.when(text.rlike(r"\+[0-9]"), F.filter(phone, lambda s: length(s["match"], 9, 15))).otherwise(no_spans()),
+        "iban": F.when(text.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]{8}"), F.filter(iban, lambda s: mod97(F.regexp_replace(s["match"], " ", "")))).otherwise(no_spans()),
+        "ssn": F.when(text.rlike(r"[0-9]-[0-9]{2}-[0-9]"), F.filter(ssn, lambda s: _near(s, "ssn"))).otherwise(no_spans()),
     }
 
 
-def _near(text: Column, span: Column, kind: str) -> Column:
-    begin = F.greatest(span["start"] - CONTEXT_CHARS, F.lit(0))
-    before = text.substr(begin + 1, span["start"] - begin)
-    after = text.substr(span["end"] + 1, F.lit(CONTEXT_CHARS))
-    return F.concat_ws("\n", before, after).rlike(rf"(?i)(?<![a-z])(?:{CONTEXT_WORDS[kind]})")
+def _near(span: Column, kind: str) -> Column:
+    return F.concat_ws("\n", span["before"], span["after"]).rlike(rf"(?i)(?<![a-z])(?:{CONTEXT_WORDS[kind]})")
 
 
-def _scored(text: Column, found: Column, kind: str) -> Column:
+def _scored(found: Column, kind: str) -> Column:
     def one(s: Column) -> Column:
-        gain = F.when(_near(text, s, kind), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
+        gain = F.when(_near(s, kind), F.lit(CONTEXT_GAIN)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.least(F.lit(PRIORS[kind]) + gain, F.lit(1.0)).alias("score"))
 
     return F.transform(found, one)
@@ -109,7 +101,7 @@ def detect(docs: DataFrame) -> DataFrame:
     # The spans of all kinds come first, so that each pattern runs once.
     texts = texts.select("doc_id", "text", *(found.alias(kind) for kind, found in _found(text).items()))
 
-    return texts.select("doc_id", F.concat(*(_scored(text, F.col(k), k) for k in KINDS)).alias("spans"))
+    return texts.select("doc_id", F.concat(*(_scored(F.col(k), k) for k in KINDS)).alias("spans"))
 
 
 def of_kind(found: Column, kind: str) -> Column:
@@ -122,13 +114,24 @@ def listing(found: Column) -> Column:
 
 
 def redact(docs: DataFrame, *, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with every span of at least that score replaced by its kind in angle brackets; overlapping spans: the first."""
-    names = docs.columns
-    text, found = F.col("text"), _found(F.col("text"))
-    every = F.concat(*(_scored(text, found[k], k) for k in KINDS))
+    """``docs`` with every span of at least that score replaced by its kind in angle brackets; overlapping spans go together, as the kind of the first.
+
+    A null or empty text and rows without such a span stay as they are, as do all other columns, whatever their names;
+    an empty table gives none.
+    """
+    text = F.col("whole")
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("whole"))
+    rows = rows.select("row", "whole", *(found.alias(kind) for kind, found in _found(text).items()))
+    every = F.concat(*(_scored(F.col(k), k) for k in KINDS))
     placed = F.transform(every, lambda s: F.struct(s["start"], s["end"], s["kind"], s["score"]))
-    marked = docs.withColumn("_spans", F.array_sort(F.filter(F.coalesce(placed, F.array()), lambda s: s["score"] >= threshold)))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.when(x["start"] < s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit("<"), x["kind"], F.lit(">")).alias("out")))
-    new = F.aggregate(F.col("_spans"), begin, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    return marked.withColumn("text", F.when(F.size("_spans") > 0, new).otherwise(text)).select(*names)
+    sorted_ = F.array_sort(F.filter(F.coalesce(placed, F.array()), lambda s: s["score"] >= threshold))
+    rows = rows.select("row", "whole", sorted_.alias("found"))
+    # A span that starts before the furthest end so far belongs to those before it.
+    ends = running(F.col("found"), F.lit(0), "int", lambda s, x: F.greatest(s, x["end"]), lambda s, t: F.greatest(s, t))
+    told = F.zip_with("found", ends, lambda s, e: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), e.alias("after")))
+    heads = F.filter(told, lambda t: t["start"] >= t["after"])
+    out = F.transform(heads, lambda t: F.concat(text.substr(t["after"] + 1, t["start"] - t["after"]), F.lit("<"), t["kind"], F.lit(">")))
+    last = F.array_max(F.transform("found", lambda s: s["end"]))
+    new = F.when(F.size("found") > 0, F.concat(F.array_join(out, ""), text.substr(last + 1, F.length(text))))
+    rows = rows.select("row", new.alias("new"))
+    return rows.select(*(F.coalesce("new", F.col("row").getField(c)).alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))

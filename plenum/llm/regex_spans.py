@@ -1,32 +1,60 @@
 """Spans of regular-expression matches as native columns.
 
 Spark gives the matches of a pattern and the pieces between them, but not places; their running lengths are the places.
+Running values go over an array in blocks: the totals of the blocks first, then each block from its own total, so that no
+fold grows an array longer than a block or the number of blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPANS = "array<struct<start:int,end:int>>"
+BLOCK = 64
+CONTEXT_CHARS = 48
+SPANS = "array<struct<start:int,end:int,match:string,before:string,after:string>>"
+
+Step = Callable[[Column, Column], Column]
+
+
+def running(array: Column, zero: Column, state: str, add: Step, merge: Step) -> Column:
+    """Of each element what ``add`` makes of all before it; ``merge`` joins two states of SQL type ``state``, of which ``zero`` is the neutral one."""
+
+    def before_each(values: Column, first: Column, step: Step) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast(f"array<{state}>").alias("out"))
+        return F.aggregate(values, start, lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+
+    count = F.ceil(F.size(array) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(1), count), lambda b: F.slice(array, (b - 1) * BLOCK + 1, F.lit(BLOCK)))
+    firsts = before_each(F.transform(blocks, lambda b: F.aggregate(b, zero, add)), zero, merge)
+    whole = F.flatten(F.zip_with(blocks, firsts, lambda b, first: before_each(b, first, add)))
+    return F.when(F.size(array) <= BLOCK, before_each(array, zero, add)).otherwise(whole)
+
 
+def starts(pieces: Column, matches: Column) -> Column:
+    """Where the matches start, from the sizes of the pieces before them (of any number after) and of the matches."""
+    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda a, b: F.struct(a.alias("gap"), b.alias("size")))
+    before = running(both, F.lit(0), "int", lambda s, x: s + x["gap"] + x["size"], lambda s, t: s + t)
+    return F.zip_with(before, both, lambda s, x: s + x["gap"])
 
-def running(pieces: Column, matches: Column) -> Column:
-    """Spans from the sizes of the pieces around the matches (one more than matches) and of the matches."""
-    both = F.zip_with(pieces, matches, lambda a, b: F.struct(a.alias("gap"), b.alias("size")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = s["at"] + x["gap"]
-        span = F.struct(begin.alias("start"), (begin + x["size"]).alias("end"))
-        return F.when(x["size"].isNull(), s).otherwise(F.struct((begin + x["size"]).alias("at"), F.concat(s["out"], F.array(span)).alias("out")))
+def spans(text: Column, pattern: Column) -> Column:
+    """The non-overlapping matches, leftmost first: start and end in code points, the match, and the characters around it.
 
-    return F.aggregate(both, start, step, lambda s: s["out"])
+    What stands around is taken from the text between matches, so that no span walks over the whole text; before a match it
+    reaches over the match before, too.
+    """
+    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
+    near = F.lit(CONTEXT_CHARS)
+    own = F.arrays_zip(matches.alias("match"), starts(F.transform(pieces, F.length), F.transform(matches, F.length)).alias("start"))
 
+    def one(m: Column, i: Column) -> Column:
+        before = F.concat(F.when(i > 0, F.concat(F.right(F.get(pieces, i - 1), near), F.get(matches, i - 1))).otherwise(F.lit("")), F.right(F.get(pieces, i), near))
+        return F.struct(m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), m["match"].alias("match"), F.right(before, near).alias("before"), F.left(F.get(pieces, i + 1), near).alias("after"))
 
-def spans(text: Column, pattern: Column, size=F.length) -> Column:
-    """``array<struct<start,end>>`` of the non-overlapping matches, leftmost first, measured by ``size`` (code points)."""
-    return running(F.transform(F.split(text, pattern, -1), size), F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), size))
+    return F.transform(own, one)
 
 
 def no_spans() -> Column:
