@@ -187,6 +187,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, item_id: str = "item
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, k: int = K) -> DataFrame:
-    """``docs`` without the rows that share a window with the benchmark; rows with a null ``doc_id`` stay."""
-    bad = contamination(docs, benchmark, window=window, k=k).filter("contaminated").select(F.col("doc_id").alias("__bad_id"))
-    return docs.join(bad, docs["doc_id"] == bad["__bad_id"], "left_anti")
+    """``docs`` without the rows that share a window with the benchmark.
+
+    Each row is judged by its own text, whatever its ``doc_id``; a null or empty text stays, an empty benchmark leaves all,
+    and an empty table gives none. Columns of any name stay as they are.
+    """
+    text = F.col("text").cast("string")
+    own = F.xxhash64(text)
+    bad = contamination(docs.select(own.alias("doc_id"), text.alias("text")), benchmark, window=window, k=k).filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), own.alias("own")).join(bad, F.col("own") == F.col("bad"), "left_anti")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -1,7 +1,8 @@
 """Operator 7: line dedup by a segment-partition edit join (Pass-Join; Li, Deng, Wang and Feng).
 
 A line goes if a line within ``EDITS`` edits (insertions, deletions and replacements of code points) stands earlier, by
-``doc_id``, then line number. Lines of fewer than ``MIN_CHARS`` code points stay.
+``doc_id``, then a hash of the text (rows that repeat a ``doc_id`` with other texts are told apart by it), then line
+number. Lines of fewer than ``MIN_CHARS`` code points stay.
 
 1. Two lines within t edits share, whole, one of t+1 segments of the shorter: every line gives index keys (length, place
    and content of its segments) and probe keys (the substrings that could match a segment of each length from its own
@@ -102,18 +103,20 @@ def _split(column: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 
 def occurrences(docs: DataFrame, *, least: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line_no, h) of every line considered; rows with a null ``doc_id`` take no part."""
+    """(doc_id, copy, line_no, h) of every line considered; ``copy`` is a hash of the text; rows with a null ``doc_id`` take no part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, numbers, lines in _split(batch.column(1), least):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(numbers.astype(np.int32)), pa.array(signed(lines.hashes))], names=["doc_id", "line_no", "h"])
+                own = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), pa.array(numbers.astype(np.int32)), pa.array(signed(lines.hashes))], names=["doc_id", "copy", "line_no", "h"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, line_no int, h long")
+    return _texts(docs).mapInArrow(run, "doc_id long, copy long, line_no int, h long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("copy")).filter("doc_id IS NOT NULL")
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -324,31 +327,39 @@ def links(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least: int =
 
 
 def repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, gone): lines considered and the sorted numbers (from 0) of those that go, for documents that have any line considered.
+    """(doc_id, copy, n_lines, gone): lines considered and the sorted numbers (from 0) of those that go, for documents that have any line considered.
 
-    Rows that repeat a ``doc_id`` count as one document, whose lines of one number are one place; rows with a null
-    ``doc_id``, null or empty texts and short lines take no part. Ties cannot arise: places are distinct.
+    ``copy`` is ``xxhash64`` of the text: rows that repeat a ``doc_id`` are documents of their own if their texts differ,
+    and one document if not, which has one row here. Rows with a null ``doc_id``, null or empty texts and short lines take
+    no part; an empty table gives none. Ties cannot arise: places are distinct.
     """
     scratch = Scratch(docs.sparkSession)
     places = occurrences(docs, least=least)
-    classes = scratch.cut(places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")))
+    place = F.struct("doc_id", "copy", "line_no")
+    classes = scratch.cut(places.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
     near = links(docs, scratch, edits=edits, least=least)
     firsts = classes.select("h", "first")
     told = near.join(firsts.select(F.col("h").alias("a"), F.col("first").alias("first_a")), "a").join(firsts.select(F.col("h").alias("b"), F.col("first").alias("first_b")), "b")
     later = told.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("h")).distinct().withColumn("near", F.lit(True))
-    known = classes.join(later, "h", "left").filter("n > 1 OR near").select(F.col("h").alias("of"), "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # Written, so that the join with all places is between plain exchanges, of which Spark splits a line that stands everywhere.
+    known = scratch.cut(classes.join(later, "h", "left").filter("n > 1 OR near").select(F.col("h").alias("of"), "first", F.coalesce("near", F.lit(False)).alias("near")))
     marked = places.join(known, places["h"] == known["of"], "left")
-    gone = F.when(F.col("near") | (F.struct("doc_id", "line_no") > F.col("first")), F.col("line_no"))
-    return marked.groupBy("doc_id").agg(F.count_distinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(gone)).alias("gone"))
+    gone = F.when(F.col("near") | (place > F.col("first")), F.col("line_no"))
+    return marked.groupBy("doc_id", "copy").agg(F.count_distinct("line_no").alias("n_lines"), F.sort_array(F.collect_set(gone)).alias("gone"))
 
 
 def drop_repeated_lines(docs: DataFrame, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """``docs`` without repeated lines; ``n_chars``, if there, follows. A document of which no line but blank ones is left goes, one that lost none stays."""
-    gone = repeated_lines(docs, edits=edits, least=least).filter(F.size("gone") > 0).select(F.col("doc_id").alias("__gone_of"), F.col("gone").alias("__gone_lines"))
-    names = docs.columns
-    joined = docs.join(gone, docs["doc_id"] == gone["__gone_of"], "left")
-    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone_lines"), i)), "\n")
-    joined = joined.withColumn("text", F.when(F.col("__gone_lines").isNotNull(), left).otherwise(F.col("text")))
-    if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.col("__gone_lines").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return joined.filter(F.col("__gone_lines").isNull() | (F.trim(F.translate("text", "\n\r\t", "   ")) != "")).select(*names)
+    """``docs`` without repeated lines; ``n_chars``, if there, follows.
+
+    A document of which no line but blank ones is left goes; one that lost none stays, as do rows with a null ``doc_id`` or
+    text. Rows of one ``doc_id`` are told apart by their texts. Columns of any name stay as they are; an empty table gives none.
+    """
+    gone = repeated_lines(docs, edits=edits, least=least).filter(F.size("gone") > 0).select(F.col("doc_id").alias("of"), F.col("copy").alias("of_copy"), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("whole"))
+    rows = rows.withColumn("own_copy", F.xxhash64("whole"))
+    joined = rows.join(gone, (F.col("own") == F.col("of")) & (F.col("own_copy") == F.col("of_copy")), "left")
+    left = F.array_join(F.filter(F.split("whole", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    joined = joined.select("row", "gone", F.when(F.col("gone").isNotNull(), left).alias("left"))
+    changed = {"text": F.col("left"), "n_chars": F.length("left")}
+    columns = [F.when(F.col("gone").isNotNull(), changed[f.name].cast(f.dataType)).otherwise(F.col("row").getField(f.name)).alias(f.name) if f.name in changed else F.col("row").getField(f.name).alias(f.name) for f in docs.schema]
+    return joined.filter(F.col("gone").isNull() | (F.trim(F.translate("left", "\n\r\t", "   ")) != "")).select(*columns)

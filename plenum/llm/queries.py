@@ -53,8 +53,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = line_dedup.repeated_lines(docs).withColumnRenamed("doc_id", "of")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(found, F.col("doc_id") == F.col("of"), "left")
+    found = line_dedup.repeated_lines(docs).withColumnsRenamed({"doc_id": "of", "copy": "of_copy"})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("copy"))
+    joined = rows.join(found, (F.col("doc_id") == F.col("of")) & (F.col("copy") == F.col("of_copy")), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     return joined.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(gone).cast("long").alias("n_gone"), F.array_join(gone.cast("array<string>"), ",").alias("gone_lines"))
 

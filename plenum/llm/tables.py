@@ -58,14 +58,15 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            _delete(self.spark, self.written.pop(id(t))[1])
+            delete(self.spark, self.written.pop(id(t))[1])
 
     def clear(self) -> None:
         self.written = {}
-        _delete(self.spark, self.folder)
+        delete(self.spark, self.folder)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator or the pipeline wrote."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
