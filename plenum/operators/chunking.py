@@ -1,11 +1,14 @@
 """Chunkers (C1-C14): a session's ordered rows to bounded pieces.
 
 Greedy packing depends on order, so each session is folded once, over its sorted array of lengths only: the fold's state
-is a pair of numbers and the array of chunk numbers. Texts are put together afterwards, by group.
+is a pair of numbers and the places where chunks begin, which grow by one for each chunk. Texts are put together
+afterwards, by chunk.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,39 +16,49 @@ from plenum.functions.text import estimate_tokens
 
 
 def _fold(rows: DataFrame, session: str, order: str, size: Column, state: str, flush: str, after: str, more: str) -> DataFrame:
-    """(session, order, size, chunk): ``flush`` tells whether a row of size x.size opens a chunk when ``s.size`` is held; ``after`` and ``more`` are the held size then and otherwise."""
+    """(session, order, size, chunk): ``flush`` tells whether a row of size x.size opens a chunk when ``s.size`` is held; ``after`` and ``more`` are the held size then and otherwise.
+
+    A row's chunk is the number of chunks opened at or before its place; the rows between two such places are cut out of the
+    sorted array as one slice.
+    """
     sized = rows.select(session, order, size.cast("long").alias("size"))
     held = sized.groupBy(session).agg(F.sort_array(F.collect_list(F.struct(order, "size"))).alias("rows"))
-    fold = f"""aggregate(rows, named_struct('size', {state}, 'chunk', 0L, 'chunks', cast(array() as array<bigint>)),
-        (s, x) -> named_struct('size', CASE WHEN {flush} THEN {after} ELSE {more} END,
-            'chunk', s.chunk + CASE WHEN {flush} THEN 1L ELSE 0L END,
-            'chunks', array_append(s.chunks, s.chunk + CASE WHEN {flush} THEN 1L ELSE 0L END)), s -> s.chunks)"""
-    numbered = held.select(session, F.arrays_zip("rows", F.expr(fold).alias("chunk")).alias("z"))
-    return numbered.select(session, F.explode("z").alias("z")).select(session, F.col(f"z.rows.{order}").alias(order), F.col("z.rows.size").alias("size"), F.col("z.chunk").alias("chunk"))
+    fold = f"""aggregate(rows, named_struct('size', {state}, 'at', 0, 'opened', cast(array() as array<int>)),
+        (s, x) -> named_struct('size', CASE WHEN {flush} THEN {after} ELSE {more} END, 'at', s.at + 1,
+            'opened', CASE WHEN {flush} THEN array_append(s.opened, s.at) ELSE s.opened END), s -> s.opened)"""
+    bounds = held.select(session, "rows", F.concat(F.array(F.lit(0)), F.expr(fold), F.array(F.size("rows"))).alias("bounds"))
+    parts = F.transform(F.slice("bounds", F.lit(1), F.size("bounds") - 1), lambda b, k: F.slice("rows", b + 1, F.element_at("bounds", k + 2) - b))
+    chunks = bounds.select(session, F.posexplode(parts).alias("chunk", "part"))
+    return chunks.select(session, F.col("chunk").cast("long").alias("chunk"), F.explode("part").alias("x")).select(session, F.col(f"x.{order}").alias(order), "x.size", "chunk")
 
 
-def by_tokens(segments: DataFrame, *, session: str = "session", order: str = "ord", speaker: str = "speaker", text: str = "text", most: int = 500, overlap: int = 50) -> DataFrame:
+def by_tokens(segments: DataFrame, *, session: str = "session", order: str = "ord", speaker: str = "speaker", text: str = "text", most: int = 500, overlap: int = 50, carried: Sequence[str] = ()) -> DataFrame:
     """Chunks of about ``most`` tokens, each begun with the last ``4 * overlap`` characters of the one before it.
 
-    One row per chunk: session, chunk_index, text, the last known speaker, n_segments. A segment is never split, so a
+    One row per chunk: session, chunk_index, text, speaker, n_segments and the ``carried`` columns (section and subsection
+    titles); speaker and these are the last known ones, empty strings counting as unknown. A segment is never split, so a
     chunk passes its budget only by one segment; null speakers are left out of the text and carried from before.
     """
-    told = F.concat(F.when(F.col(speaker).isNotNull(), F.concat(F.col(speaker), F.lit(": "))).otherwise(""), F.coalesce(text, F.lit("")))
-    rows = segments.select(session, order, F.col(speaker).alias("_speaker"), told.alias("_told"))
+    labels = {f"label_{i}": F.nullif(F.col(c).cast("string"), F.lit("")) for i, c in enumerate((speaker, *carried))}
+    told = F.concat(F.when(labels["label_0"].isNotNull(), F.concat(F.col(speaker), F.lit(": "))).otherwise(""), F.coalesce(text, F.lit("")))
+    rows = segments.select(session, order, told.alias("told"), *(c.alias(n) for n, c in labels.items()))
     tail = 4 * overlap
     flush = f"ceil(s.size / 4) + ceil(x.size / 4) > {most} AND s.size > 0"
-    chunks = _fold(rows, session, order, F.length("_told"), "0L", flush, f"least(s.size, {tail}L) + 1 + x.size + 1", "s.size + x.size + 1")
-    carried = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.withColumn("_speaker", F.last("_speaker", ignorenulls=True).over(carried)).join(chunks, [session, order])
-    parts = joined.groupBy(session, "chunk").agg(F.array_sort(F.collect_list(F.struct(order, "_told", "_speaker"))).alias("p"))
-    # The tail that a chunk begins with may reach further back than the chunk before it: the state is short, so it is carried in a fold over chunks.
-    own = parts.select(session, "chunk", F.array_join(F.transform("p", lambda x: x["_told"]), " ").alias("own"), F.element_at("p", -1)["_speaker"].alias("speaker"), F.size("p").cast("long").alias("n_segments"))
-    whole = own.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("chunk", "own", "speaker", "n_segments"))).alias("c"))
+    chunks = _fold(rows, session, order, F.length("told"), "0L", flush, f"least(s.size, {tail}L) + 1 + x.size + 1", "s.size + x.size + 1")
+    known = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumns({n: F.last(n, ignorenulls=True).over(known) for n in labels}).join(chunks, [session, order])
+    parts = joined.groupBy(session, "chunk").agg(F.array_sort(F.collect_list(F.struct(order, "told", *labels))).alias("p"))
+    last = F.element_at("p", -1)
+    own = parts.select(session, "chunk", F.array_join(F.transform("p", lambda x: x["told"]), " ").alias("own"), *(last[n].alias(n) for n in labels), F.size("p").cast("long").alias("n_segments"))
+    # The tail that a chunk begins with may reach further back than the chunk before it, so tails are carried over a
+    # session's chunks; no more of a chunk than its own last characters takes part.
+    ends = own.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("chunk", F.right(F.concat("own", F.lit(" ")), F.lit(tail)).alias("end"), (F.length("own") + 1 >= tail).alias("full")))).alias("c"))
     tails = f"""aggregate(c, named_struct('tail', '', 'out', cast(array() as array<string>)), (s, x) -> named_struct(
-        'tail', right(concat(s.tail, CASE WHEN x.chunk > 0 THEN ' ' ELSE '' END, x.own, ' '), {tail}), 'out', array_append(s.out, s.tail)), s -> s.out)"""
-    zipped = whole.select(session, F.explode(F.arrays_zip("c", F.expr(tails).alias("tail"))).alias("z"))
-    text_of = F.trim(F.concat(F.col("z.tail"), F.when(F.col("z.c.chunk") > 0, " ").otherwise(""), F.col("z.c.own")))
-    return zipped.select(session, F.col("z.c.chunk").alias("chunk_index"), text_of.alias("text"), F.col("z.c.speaker").alias("speaker"), F.col("z.c.n_segments").alias("n_segments")).filter("text <> ''")
+        'tail', CASE WHEN x.full THEN x.end ELSE right(concat(s.tail, CASE WHEN x.chunk > 0 THEN ' ' ELSE '' END, x.end), {tail}) END, 'out', array_append(s.out, s.tail)), s -> s.out)"""
+    before = ends.select(session, F.explode(F.arrays_zip("c", F.expr(tails).alias("tail"))).alias("z")).select(session, F.col("z.c.chunk").alias("chunk"), F.col("z.tail").alias("tail"))
+    text_of = F.trim(F.concat("tail", F.when(F.col("chunk") > 0, " ").otherwise(""), "own"))
+    named = [F.col(f"label_{i}").alias(c) for i, c in enumerate(("speaker", *carried))]
+    return own.join(before, [session, "chunk"]).select(session, F.col("chunk").alias("chunk_index"), text_of.alias("text"), *named, "n_segments").filter("text <> ''")
 
 
 def by_rows(segments: DataFrame, *, session: str, index: str, most: int = 4000) -> DataFrame:

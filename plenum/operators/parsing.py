@@ -28,11 +28,22 @@ def speeches(sections: DataFrame, *, session: str, section: str, html: str = "ht
     return grouped.select(session, section, "speech_no", F.col("p")[0]["speaker"].alias("speaker"), F.col("p")[0]["clock_now"].alias("clock"), F.array_join(F.transform("p", lambda x: x["plain"]), " ").alias("text"))
 
 
-def retrieval_segments(html: Column, *, mark: str = "strong", least: int = 20, least_plain: int = 50) -> Column:
-    """``array<struct<speaker,text>>`` of the speaker paragraphs of a section; without any, its whole text if long enough."""
-    pattern = F.lit(rf"(?i)<p[^>]*><{mark}>([^<:]+?)(?::)?</{mark}>(?::)?\s*([^<]+?)(?:</p>|$)")
-    told = F.arrays_zip(F.regexp_extract_all(html, pattern, F.lit(1)).alias("s"), F.regexp_extract_all(html, pattern, F.lit(2)).alias("t"))
-    good = F.transform(F.filter(told, lambda x: F.length(F.trim(x["t"])) > least), lambda x: F.struct(F.nullif(F.trim(x["s"]), F.lit("")).alias("speaker"), strip_html(x["t"]).alias("text")))
+def retrieval_segments(html: Column, *, mark: str = "strong", block: str = "p", least: int = 20, least_plain: int = 50) -> Column:
+    """``array<struct<speaker,text>>`` of the speaker paragraphs of a section; without any, its whole text if long enough.
+
+    A speaker paragraph begins with a marked name; a colon may follow the name within the mark or after it. What is left of
+    the paragraph, without tags, is the text.
+    """
+    name = rf"(?is)^<{mark}>([^<]*)</{mark}>"
+    inner = F.regexp_extract_all(html, F.lit(rf"(?is)<{block}(?:\s[^>]*)?>(.*?)(?:</{block}>|$)"), F.lit(1))
+
+    def told(b: Column) -> Column:
+        speaker = F.trim(F.regexp_replace(F.regexp_extract(b, name, 1), r":\s*$", ""))
+        text = F.regexp_replace(F.regexp_replace(b, name, ""), r"^\s*:?\s*", "")
+        return F.struct(speaker.alias("speaker"), strip_html(text).alias("text"))
+
+    marked = F.transform(F.filter(inner, lambda b: b.rlike(name)), told)
+    good = F.filter(marked, lambda s: (F.length(s["text"]) > least) & ~F.contains(s["speaker"], F.lit(":")) & (s["speaker"] != ""))
     plain = strip_html(html, " ")
     one = F.array(F.struct(F.lit(None).cast("string").alias("speaker"), plain.alias("text")))
     return F.when(F.size(good) > 0, good).when(F.length(plain) > least_plain, one).otherwise(F.array().cast("array<struct<speaker:string,text:string>>"))
