@@ -94,27 +94,43 @@ def overlap_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_
     return scored.select(quote_id, F.col("b.at").cast("long").alias("at"), (F.col("b.c") / F.col("_n")).alias("score"))
 
 
+def _rarest(words: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
+    """Of each key's words (keys, session, word) the one that stands in fewest rows, if all of them stand in some: (keys, session, word)."""
+    found = words.join(counts, ["session", "word"], "left").groupBy(*keys, "session").agg(F.min_by("word", F.struct(F.coalesce("n", F.lit(0)), F.col("word"))).alias("word"), F.min(F.coalesce("n", F.lit(0))).alias("least"))
+    return found.filter("least > 0").drop("least")
+
+
 def exact_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id", session: str = "session", most: int = 10) -> DataFrame:
     """The first cue from which a run of 1 to ``most`` cues holds the quote, or the quote holds it; the shortest run there: (quote_id, at, size, start, end).
 
-    Cues are windowed once per session; a quote meets them by one word that a match must share: any word of the run.
+    A quote inside a run shares all its words but the first and last, so it meets the runs around cues that have its rarest
+    such word. A run inside a quote begins with a cue inside it, which meets quotes likewise. Quotes and cues of at most two
+    words, which may lie inside words, meet all of their session. Ids are joined first; texts come to those that met.
     """
     from pyspark.sql import Window
 
     plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    w = Window.partitionBy(session).orderBy("idx").rowsBetween(0, most - 1)
-    runs = cues.withColumn("_run", F.collect_list(F.struct(plain("text").alias("t"), F.col("t_end").alias("e"))).over(w)).select(session, "idx", "t_start", "_run")
-    # If the quote is inside a run, or the run inside the quote, one of the run's whole words is in the quote, or the quote is part of at most two words.
-    asked = quotes.select(quote_id, session, plain("text").alias("_q"))
-    keyed = asked.select(quote_id, session, "_q", F.explode(F.array_distinct(F.split("_q", " "))).alias("word"))
-    words = runs.select(session, "idx", "t_start", "_run", F.explode(F.array_distinct(F.split(F.array_join(F.transform("_run", lambda x: x["t"]), " "), " "))).alias("word"))
-    long = keyed.filter(F.size(F.split("_q", " ")) > 3).join(words, [session, "word"]).select(quote_id, "_q", "idx", "t_start", "_run").dropDuplicates([quote_id, "idx"])
-    short = asked.filter(F.size(F.split("_q", " ")) <= 3).join(runs, session).select(quote_id, "_q", "idx", "t_start", "_run")
-    text = lambda n: F.array_join(F.transform(F.slice("_run", 1, n), lambda x: x["t"]), " ")
-    sizes = F.filter(F.sequence(F.lit(1), F.size("_run")), lambda n: F.contains(text(n), F.col("_q")) | F.contains(F.col("_q"), text(n)))
-    found = long.unionByName(short).withColumn("_size", F.array_min(sizes)).filter("_size IS NOT NULL")
-    first = found.groupBy(quote_id).agg(F.min_by(F.struct("idx", "_size", "t_start", F.element_at("_run", F.col("_size"))["e"].alias("e")), F.col("idx")).alias("b"))
-    return first.select(quote_id, F.col("b.idx").cast("long").alias("at"), F.col("b._size").cast("long").alias("size"), F.col("b.t_start").alias("start"), F.col("b.e").alias("end"))
+    asked = quotes.select(F.col(quote_id).alias("quote"), F.col(session).alias("session"), plain("text").alias("q")).withColumn("w", F.split("q", " "))
+    told = cues.select(F.col(session).alias("session"), "idx", "t_start", "t_end", plain("text").alias("t")).withColumn("w", F.split("t", " "))
+    inner = lambda w: F.explode(F.array_distinct(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))).alias("word")
+    every = lambda w: F.explode(F.array_distinct(w)).alias("word")
+    few = F.size("w") <= 2
+    cue_words, quote_words = told.select("session", "idx", every("w")), asked.select("session", "quote", every("w"))
+    counted = lambda rows: rows.groupBy("session", "word").agg(F.count(F.lit(1)).alias("n"))
+    around = F.explode(F.sequence(F.greatest(F.col("idx") - (most - 1), F.lit(0)), F.col("idx"))).alias("idx")
+    in_runs = _rarest(asked.filter(~few).select("quote", "session", inner("w")), counted(cue_words), "quote").join(cue_words, ["session", "word"]).select("session", "quote", around)
+    in_quotes = _rarest(told.filter(~few).select("idx", "session", inner("w")), counted(quote_words), "idx").join(quote_words, ["session", "word"]).select("session", "quote", "idx")
+    short = asked.filter(few).select("session", "quote").join(told.select("session", "idx"), "session").select("session", "quote", "idx")
+    shorter = told.filter(few).select("session", "idx").join(asked.select("session", "quote"), "session").select("session", "quote", "idx")
+    met = in_runs.unionByName(in_quotes).unionByName(short).unionByName(shorter).distinct()
+    w = Window.partitionBy("session").orderBy("idx").rowsBetween(0, most - 1)
+    runs = told.select("session", "idx", "t_start", F.collect_list(F.struct("t", F.col("t_end").alias("e"))).over(w).alias("run"))
+    tried = met.join(asked.select("session", "quote", "q"), ["session", "quote"]).join(runs, ["session", "idx"])
+    text = lambda n: F.array_join(F.transform(F.slice("run", 1, n), lambda x: x["t"]), " ")
+    sizes = F.filter(F.sequence(F.lit(1), F.size("run")), lambda n: F.contains(text(n), F.col("q")) | F.contains(F.col("q"), text(n)))
+    found = tried.withColumn("size", F.array_min(sizes)).filter("size IS NOT NULL")
+    first = found.groupBy("quote").agg(F.min_by(F.struct("idx", "size", "t_start", F.element_at("run", F.col("size"))["e"].alias("e")), F.col("idx")).alias("b"))
+    return first.select(F.col("quote").alias(quote_id), F.col("b.idx").cast("long").alias("at"), F.col("b.size").cast("long").alias("size"), F.col("b.t_start").alias("start"), F.col("b.e").alias("end"))
 
 
 def _in_order(quote, window):
@@ -173,17 +189,37 @@ def fuzzy_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id
 
 
 def single_cue_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id", session: str = "session", share: float = 0.7, ahead: int = 5) -> DataFrame:
-    """The first cue that holds at least ``share`` of the quote's words (those of over 3 letters, also inside words); ends ``ahead`` cues later: (quote_id, at, start, end)."""
+    """The first cue that holds at least ``share`` of the quote's words (those of over 3 letters, also inside words); ends ``ahead`` cues later: (quote_id, at, start, end).
+
+    Words are looked up in the session's words by four letters. A cue that holds enough of a quote's words holds one of its
+    rarest, as many as may be missing and one more, so quotes meet cues by these alone; only then texts are compared.
+    """
     from pyspark.sql import Window
 
     from plenum.functions.text import match_form
 
-    w = Window.partitionBy(session).orderBy("idx").rowsBetween(0, ahead)
-    told = cues.select(session, "idx", "t_start", F.last("t_end").over(w).alias("_end"), match_form(F.col("text")).alias("_c"))
-    asked = quotes.select(quote_id, session, F.split(match_form(F.col("text")), " ").alias("_w"))
-    met = asked.join(told, session).filter(F.size(F.filter("_w", lambda x: (F.length(x) > 3) & F.contains(F.col("_c"), x))) >= F.size("_w") * share)
-    first = met.groupBy(quote_id).agg(F.min_by(F.struct("idx", "t_start", "_end"), F.col("idx")).alias("b"))
-    return first.select(quote_id, F.col("b.idx").cast("long").alias("at"), F.col("b.t_start").alias("start"), F.col("b._end").alias("end"))
+    w = Window.partitionBy("session").orderBy("idx").rowsBetween(0, ahead)
+    told = cues.select(F.col(session).alias("session"), "idx", "t_start", F.col("t_end"), match_form(F.col("text")).alias("c"))
+    asked = quotes.select(F.col(quote_id).alias("quote"), F.col(session).alias("session"), F.split(match_form(F.col("text")), " ").alias("w"))
+    cue_words = told.select("session", "idx", F.explode(F.array_distinct(F.split("c", " "))).alias("held"))
+    wanted = asked.select("session", F.explode(F.array_distinct(F.filter("w", lambda x: F.length(x) > 3))).alias("word")).distinct()
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4))))
+    known = cue_words.select("session", "held").distinct().filter(F.length("held") > 3).select("session", "held", F.explode(grams(F.col("held"))).alias("gram"))
+    inside = wanted.withColumn("gram", F.left("word", F.lit(4))).join(known, ["session", "gram"]).filter(F.contains("held", F.col("word"))).select("session", "word", "held")
+    places = inside.join(cue_words, ["session", "held"]).select("session", "word", "idx").distinct()
+    counts = places.groupBy("session", "word").agg(F.count(F.lit(1)).alias("n"))
+    need = F.ceil(F.size("w") * F.lit(share) - 1e-9)
+    each = asked.select("session", "quote", F.size(F.filter("w", lambda x: F.length(x) > 3)).alias("usable"), need.alias("need"), F.explode(F.filter("w", lambda x: F.length(x) > 3)).alias("word")).filter("usable >= need")
+    ranked = each.join(counts, ["session", "word"], "left").withColumn("rank", F.row_number().over(Window.partitionBy("session", "quote").orderBy(F.coalesce("n", F.lit(0)), "word")))
+    keys = ranked.filter("rank <= usable - need + 1 AND n > 0").select("session", "quote", "word").distinct()
+    met = keys.join(places, ["session", "word"]).select("session", "quote", "idx").distinct()
+    # A quote of which no word is needed meets every cue.
+    met = met.unionByName(asked.filter(need <= 0).join(told.select("session", "idx"), "session").select("session", "quote", "idx"))
+    ends = told.withColumn("stop", F.last("t_end").over(w)).select("session", "idx", "t_start", "stop", "c")
+    tried = met.join(asked, ["session", "quote"]).join(ends, ["session", "idx"])
+    good = tried.filter(F.size(F.filter("w", lambda x: (F.length(x) > 3) & F.contains(F.col("c"), x))) >= F.size("w") * share)
+    first = good.groupBy("quote").agg(F.min_by(F.struct("idx", "t_start", "stop"), F.col("idx")).alias("b"))
+    return first.select(F.col("quote").alias(quote_id), F.col("b.idx").cast("long").alias("at"), F.col("b.t_start").alias("start"), F.col("b.stop").alias("end"))
 
 
 def resolve_indices(analyses: DataFrame, segments: DataFrame, *, item: str, session: str, index: str = "segment_index", indices: str = "segment_indices") -> DataFrame:
@@ -213,3 +249,10 @@ def by_ids(rows: DataFrame, wanted: DataFrame, *, key: str, partition: str) -> D
     from plenum.functions.text import id_date
 
     return rows.join(wanted.select(key, id_date(F.col(key)).alias(partition)).distinct(), [partition, key], "left_semi")
+
+
+def sessions_with_videos(sessions: DataFrame, videos: DataFrame, *, key: str, day: str, since: str | None = None, order: tuple[str, ...] = (), limit: int | None = 50) -> DataFrame:
+    """Sessions from a date on with their videos, if any, newest first; ties by key, then ``order``, nulls last."""
+    recent = sessions if since is None else sessions.filter(F.col(day) >= F.lit(since).cast("date"))
+    rows = recent.join(videos, key, "left").orderBy(F.desc(day), key, *(F.col(c).asc_nulls_last() for c in order))
+    return rows if limit is None else rows.limit(limit)

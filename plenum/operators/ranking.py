@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from plenum.functions.text import quote_key
 
+RANGES = 256
+
 
 def first_per_key(rows: DataFrame, key: Column, *order: Column | str) -> DataFrame:
     """Of rows with one key the first."""
@@ -66,13 +68,26 @@ def best(rows: DataFrame, *, group: str | Sequence[str], score: str, order: str,
 
 
 def rescored(moments: DataFrame, scores: DataFrame, *, id_column: str = "moment_id", group: str | None = None, initial: str = "viral_score", order: str = "pos") -> DataFrame:
-    """External scores by id: initial_score, final_score and rank. Moments without one are dropped; without any score at all the initial ones rank."""
+    """External scores by id: initial_score, final_score and rank. Moments without one are dropped; without any score at all the initial ones rank.
+
+    Without a group the rank is over all rows: these are dealt by score into ranges of about equal size, ranked within each,
+    and each range goes on from the number of rows above it. Rows of one score are one range.
+    """
     if scores.isEmpty():
         joined = moments.withColumn("final_score", F.col(initial))
     else:
         joined = moments.join(scores.select(id_column, "final_score"), id_column)
-    w = Window.partitionBy(group or F.lit(0)).orderBy(F.desc("final_score"), order)
-    return joined.withColumn("initial_score", F.col(initial)).withColumn("rank", F.row_number().over(w))
+    joined = joined.withColumn("initial_score", F.col(initial))
+    if group is not None:
+        return joined.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("final_score"), order)))
+    cuts = joined.agg(F.percentile_approx(F.col("final_score").cast("double"), [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    span = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("final_score").cast("double"))), F.lit(-1))
+    ranged = joined.withColumn("_range", span)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most RANGES + 1 rows
+    above = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("final_score"), order))
+    return ranged.join(F.broadcast(above), "_range").withColumn("rank", (own + F.col("_above")).cast("int")).drop("_range", "_above")
 
 
 def final_cut(moments: DataFrame, *, score: str = "viral_score", order: str = "pos", above: float = 7.5, limit: int = 20) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from plenum.functions import lexicons as L
 from plenum.functions.text import contains_any, count_pieces, iso_duration
 
+MARKERS_MOST = 10_000
+
 
 def hits(text: Column, lexicon: Sequence[str]) -> Column:
     """How many different terms the lower-cased text contains; a sum of tests stays in generated code."""
@@ -80,25 +82,32 @@ def score_moments(analyses: DataFrame) -> DataFrame:
 
 
 def marker_table(spark: SparkSession, markers: Mapping[str, Sequence[str]] = L.PERSONA_MARKERS, needed: Mapping[str, int] = L.MARKERS_NEEDED) -> DataFrame:
-    """(persona, position, marker, needed, total): a lexicon as a table, whose size the user's list fixes."""
-    rows = [(p, i, m.lower(), needed.get(p, 2), len(ms)) for p, ms in markers.items() for i, m in enumerate(ms)]
+    """(persona, position, marker, needed, total): a lexicon as a table; a persona without markers has one row, whose marker is null."""
+    rows = [(p, i, m if m is None else m.lower(), needed.get(p, 2), len(ms)) for p, ms in markers.items() for i, m in enumerate(ms or [None])]
     return spark.createDataFrame(rows, "persona string, position int, marker string, needed int, total int")
 
 
 def marker_coverage(texts: DataFrame, markers: DataFrame, *, id_column: str, text_column: str = "text", scale: float = 10.0) -> DataFrame:
     """K9: per text and persona the markers found, their count, score on the scale, and whether there are enough.
 
-    The lexicon is folded into one array per persona, so texts are widened by persona only and never shuffled.
+    A persona without markers is always valid and has the full score. The lexicon, of at most ``MARKERS_MOST`` rows (more
+    are an error), is folded into one array per persona, so texts are widened by persona only and never shuffled.
     """
-    by_persona = markers.groupBy("persona", "needed", "total").agg(F.sort_array(F.collect_list(F.struct("position", "marker"))).alias("markers"))
-    held = [r.asDict(recursive=True) for r in by_persona.collect()]
+    rows = markers.select("persona", "needed", "total", "position", "marker").limit(MARKERS_MOST + 1).collect()
+    if len(rows) > MARKERS_MOST:
+        raise ValueError(f"a lexicon has at most {MARKERS_MOST} markers")
+    held: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: (r["persona"], r["position"])):
+        held.setdefault((r["persona"], r["needed"], r["total"]), []).extend([r["marker"]] if r["marker"] is not None else [])
+    low = F.lower(text_column)
     found = F.array(*(
-        F.struct(F.lit(p["persona"]).alias("persona"), F.array_compact(F.array(*(F.when(F.contains(F.lower(text_column), F.lit(m["marker"])), F.lit(m["marker"])) for m in p["markers"]))).alias("markers_found"), F.lit(p["needed"]).alias("needed"), F.lit(p["total"]).alias("total"))
-        for p in sorted(held, key=lambda p: p["persona"])
+        F.struct(F.lit(persona).alias("persona"), F.array_compact(F.array(*(F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in own))).cast("array<string>").alias("markers_found"), F.lit(needed).alias("needed"), F.lit(total).alias("total"))
+        for (persona, needed, total), own in held.items()
     ))
-    rows = texts.select(id_column, F.explode(found).alias("p")).select(id_column, "p.*")
-    n = F.size("markers_found")
-    return rows.select(id_column, "persona", "markers_found", n.cast("long").alias("n_found"), F.least(n / F.col("total") * scale, F.lit(scale)).alias("score"), (n >= F.col("needed")).alias("valid"))
+    told = texts.select(id_column, F.explode(found).alias("p")).select(id_column, "p.*")
+    n, none = F.size("markers_found"), F.col("total") == 0
+    score = F.when(none, F.lit(scale)).otherwise(F.least(n / F.nullif(F.col("total"), F.lit(0)) * scale, F.lit(scale)))
+    return told.select(id_column, "persona", "markers_found", n.cast("long").alias("n_found"), score.alias("score"), (none | (n >= F.col("needed"))).alias("valid"))
 
 
 def affinity(topic: Column, persona: Column, rules: Sequence = L.AFFINITIES) -> Column:

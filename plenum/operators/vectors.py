@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+PAIR_BLOCK = 1024
 #: Rows up to which a query or centroid table is sent to every task; a larger one is dealt in blocks.
 SMALL = 4096
 
@@ -26,11 +30,36 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
 
 
 def similar_pairs(rows: DataFrame, *, id_column: str, group: str, vector: str = "embedding", threshold: float = 0.85) -> DataFrame:
-    """V2: (a, b, similarity) of a < b in one group with cosine over the threshold. The group (a session) bounds the pairs."""
-    n = rows.select(F.col(id_column).alias("id"), F.col(group).alias("g"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n"))
-    a, b = (n.select(F.col("id").alias(x), "g", F.col("v").alias(f"v{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
-    pairs = a.join(b, "g").filter("a < b")
-    return pairs.withColumn("similarity", cosine(F.col("va"), F.col("vb"), F.col("na"), F.col("nb"))).filter(F.col("similarity") > threshold).select("a", "b", "similarity")
+    """V2: (a, b, similarity) of a < b in one group with cosine over the threshold. The group (a session) bounds the pairs.
+
+    A group is dealt into blocks of about ``PAIR_BLOCK`` rows, by a count; every two blocks meet under a key of their own and
+    are compared as matrices within the task, which gives only pairs over the threshold. Rows without a group or vector,
+    and vectors of another width, meet nothing.
+    """
+    kept = rows.select(F.col(id_column).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL").withColumn("width", F.size("v"))
+    counts = kept.groupBy("g", "width").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
+    placed = kept.join(counts, ["g", "width"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
+    met = placed.select("g", "width", F.explode(meets).alias("m"), F.struct("block", "id", "v").alias("r")).groupBy("g", "width", "m").agg(F.collect_list("r").alias("rows")).select("width", "m.x", "m.y", "rows")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                width, x, y, held = (batch.column(c)[r] for c in range(4))
+                held, width = held.values, width.as_py()
+                block, ids = np.asarray(held.field("block")), held.field("id")
+                v = np.asarray(held.field("v").flatten().fill_null(np.nan), np.float64).reshape(len(ids), width)
+                norms = np.sqrt((v * v).sum(axis=1))
+                unit = v / np.where(norms == 0, 1, norms)[:, None]
+                left, right = np.flatnonzero(block == x.as_py()), np.flatnonzero(block == y.as_py())
+                found = unit[left] @ unit[right].T
+                i, j = np.nonzero((found > threshold) & (x.as_py() != y.as_py() or np.triu(np.ones(found.shape, bool), 1)))
+                a, b = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
+                turned = pc.greater(a, b)
+                yield pa.RecordBatch.from_arrays([pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(found[i, j])], names=["a", "b", "similarity"])
+
+    kind = dict(kept.dtypes)["id"]
+    return met.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
 
 
 def bucketed_pairs(rows: DataFrame, *, id_column: str, vector: str = "embedding", threshold: float = 0.85, bucket: float = 0.6, tables: int = 8) -> DataFrame:

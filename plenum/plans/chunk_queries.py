@@ -39,11 +39,30 @@ def p1_speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.speeches(pages, session="page_id", section="section", mark="b").select("page_id", "speech_no", F.md5("text").alias("text"))
 
 
-@query(r"""WITH p AS (SELECT page_id, html, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '\s+', ' ', 'g')) AS plain, regexp_matches(html, '(?i)<p[^>]*><b>([^<:]+?)(?::)?</b>(?::)?\s*([^<]+?)(?:</p>|$)') AS marked FROM pages)
-SELECT page_id, md5(plain) AS text FROM p WHERE NOT marked AND length(plain) > 50""")
+# Every second page gets marked names at its paragraphs, with the colon within the mark or after it; the others have none.
+_NAMED = """SELECT page_id, CASE WHEN page_id % 2 = 1 THEN html WHEN page_id % 4 = 0 THEN replace(replace(html, '<b>', '<i>'), '<p>', '<p><b>Member ' || page_id::VARCHAR || ':</b> ') ELSE replace(replace(html, '<b>', '<i>'), '<p>', '<p><b>Member ' || page_id::VARCHAR || '</b>: ') END AS html FROM pages"""
+
+
+def _plain(column: str, tag_to: str) -> str:
+    out = f"regexp_replace({column}, '<[^>]*>', '{tag_to}', 'g')"
+    for name, to in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''")):
+        out = f"replace({out}, '{name}', '{to}')"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+_SAID = _plain(r"regexp_replace(regexp_replace(i, '(?is)^<b>([^<]*)</b>', ''), '^\s*:?\s*', '')", "")
+
+
+@query(rf"""WITH n AS ({_NAMED}), b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)(?:</p>|$)', 1)) AS i FROM n),
+s AS (SELECT page_id, trim(regexp_replace(regexp_extract(i, '(?is)^<b>([^<]*)</b>', 1), ':\s*$', '')) AS speaker, {_SAID} AS text FROM b WHERE regexp_matches(i, '(?is)^<b>([^<]*)</b>')),
+g AS (SELECT * FROM s WHERE length(text) > 20 AND speaker <> '' AND NOT contains(speaker, ':'))
+SELECT page_id, speaker, md5(text) AS text FROM g UNION ALL SELECT page_id, NULL, md5({_plain("html", " ")}) FROM n WHERE page_id NOT IN (SELECT page_id FROM g) AND length({_plain("html", " ")}) > 50""")
 def p2_retrieval_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(P.retrieval_segments(F.col("html"), mark="b")).alias("s"))
-    return rows.filter("s.speaker IS NULL").select("page_id", F.md5("s.text").alias("text"))
+    html, name = F.col("html"), F.concat(F.lit("<p><b>Member "), F.col("page_id").cast("string"))
+    bare = F.replace(html, F.lit("<b>"), F.lit("<i>"))
+    named = F.when(F.col("page_id") % 2 == 1, html).when(F.col("page_id") % 4 == 0, F.replace(bare, F.lit("<p>"), F.concat(name, F.lit(":</b> ")))).otherwise(F.replace(bare, F.lit("<p>"), F.concat(name, F.lit("</b>: "))))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(P.retrieval_segments(named, mark="b")).alias("s"))
+    return rows.select("page_id", "s.speaker", F.md5("s.text").alias("text"))
 
 
 @query("""SELECT conv_id % 10 AS session, conv_id, turn, row_number() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn) - 1 AS segment_index FROM conversations""")
@@ -59,10 +78,10 @@ def p4_present_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(P.present_members(F.col("a")), "|").alias("members"))
 
 
-@query("""SELECT conv_id, turn, md5(left(text, 40)) AS quote, turn::DOUBLE AS ai_score FROM conversations WHERE conv_id % 4 < 3 OR turn < (SELECT max(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id)""")
+@query("""SELECT conv_id, turn, md5(text) AS quote, turn::DOUBLE AS ai_score FROM conversations WHERE conv_id % 4 < 3 OR turn < (SELECT max(turn) FROM conversations c WHERE c.conv_id = conversations.conv_id)""")
 def p5_repaired_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers written from turns: whole, in a fence, whole, and cut within the last object."""
-    item = F.struct(F.left("text", F.lit(40)).alias("quote"), F.col("turn").cast("double").alias("ai_score"), F.col("turn").alias("turn"))
+    item = F.struct(F.col("text").alias("quote"), F.col("turn").cast("double").alias("ai_score"), F.col("turn").alias("turn"))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"])).alias("j"))
     kind = F.col("conv_id") % 4
     told = F.when(kind == 1, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(kind == 3, F.substring("j", F.lit(1), F.length("j") - 6)).otherwise(F.col("j"))
@@ -82,10 +101,12 @@ def p6_question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE r AS (SELECT conv_id, role || ': ' || text AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
 f AS (SELECT conv_id, n, s || ' ' AS held, 0::BIGINT AS chunk FROM r WHERE n = 1 UNION ALL
 SELECT r.conv_id, r.n, CASE WHEN ceil(length(f.held) / 4) + ceil(length(r.s) / 4) > 200 THEN right(f.held, 200) || ' ' || r.s || ' ' ELSE f.held || r.s || ' ' END, f.chunk + CASE WHEN ceil(length(f.held) / 4) + ceil(length(r.s) / 4) > 200 THEN 1 ELSE 0 END FROM f JOIN r ON r.conv_id = f.conv_id AND r.n = f.n + 1)
-SELECT conv_id, chunk AS chunk_index, count(*)::BIGINT AS n_segments, md5(trim(arg_max(held, n))) AS text FROM f GROUP BY conv_id, chunk""")
+SELECT conv_id, chunk AS chunk_index, count(*)::BIGINT AS n_segments, md5(trim(arg_max(held, n))) AS text, (max(n) - 1) // 3 AS section_no FROM f GROUP BY conv_id, chunk""")
 def c1_by_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = C.by_tokens(table(spark, sf_dir, "conversations"), session="conv_id", order="turn", speaker="role", most=200, overlap=50)
-    return chunks.select("conv_id", "chunk_index", "n_segments", F.md5("text").alias("text"))
+    """Every third turn begins a section, whose title its chunks carry."""
+    rows = table(spark, sf_dir, "conversations").withColumn("section_title", F.when(F.col("turn") % 3 == 0, (F.col("turn") / 3).cast("long").cast("string")))
+    chunks = C.by_tokens(rows, session="conv_id", order="turn", speaker="role", most=200, overlap=50, carried=("section_title",))
+    return chunks.select("conv_id", "chunk_index", "n_segments", F.md5("text").alias("text"), F.col("section_title").cast("long").alias("section_no"))
 
 
 @query("""SELECT conv_id, turn, turn // 3 AS chunk_index, conv_id::VARCHAR || '-chunk-' || (turn // 3)::VARCHAR AS chunk_id FROM conversations""")

@@ -13,7 +13,7 @@ from plenum.operators.chunking import by_time
 from plenum.plans.chunk_queries import captions
 from plenum.plans.registry import query, table
 
-_DAYS = """s AS (SELECT o_orderkey AS session, o_orderdate::DATE AS day FROM orders WHERE o_orderstatus = 'P'), v AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS video, l_shipdate AS published, l_quantity AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 25 AND l_partkey % 20 = 0)"""
+_DAYS = """s AS (SELECT o_orderkey AS session, o_orderdate::DATE AS day FROM orders WHERE o_orderstatus = 'P'), v AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS video, l_shipdate AS published, l_quantity AS q FROM lineitem WHERE l_returnflag = 'R')"""
 
 
 def _sessions(spark, sf_dir):
@@ -21,7 +21,7 @@ def _sessions(spark, sf_dir):
 
 
 def _videos(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 25 AND l_partkey % 20 = 0")
+    rows = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
     return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("video"), F.col("l_shipdate").alias("published"), F.col("l_quantity").alias("q")).distinct()
 
 
@@ -86,23 +86,20 @@ def j7_valid_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", M.valid_range(F.col("value") - 5, F.col("user_id"), F.lit(100)).alias("valid"))
 
 
-def _quotes_and_cues(spark, sf_dir, whole=False):
-    """Cues are the lines of a conversation's turns; quotes the first words of every second turn, or each whole turn, found back among them."""
+def _quotes_and_cues(spark, sf_dir):
+    """Cues are the lines of a conversation's turns; quotes the whole turns, found back among them."""
     rows = table(spark, sf_dir, "conversations")
     cues = rows.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("p", "text"))
     from pyspark.sql import Window
 
     idx = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "p")) - 1
     cues = cues.select(F.col("conv_id").alias("session"), idx.alias("idx"), (idx * 3.0).alias("t_start"), (idx * 3.0 + 2.5).alias("t_end"), "text")
-    if whole:
-        return rows.select(F.concat_ws("-", "conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("session"), "text"), cues
-    quotes = rows.filter("turn % 2 = 1").select(F.concat_ws("-", "conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("session"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 12), " ").alias("text"))
-    return quotes, cues
+    return rows.select(F.concat_ws("-", "conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("session"), "text"), cues
 
 
 _QC = r"""l AS (SELECT conv_id AS session, turn, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM conversations),
 cue AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY turn, p) - 1 AS idx, text FROM l),
-quote AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS quote_id, conv_id AS session, array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ') AS text FROM conversations WHERE turn % 2 = 1)"""
+quote AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS quote_id, conv_id AS session, text FROM conversations)"""
 
 
 @query(rf"""WITH {_QC}, qw AS (SELECT DISTINCT quote_id, session, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS w FROM quote), n AS (SELECT quote_id, count(*) AS n FROM qw GROUP BY quote_id),
@@ -124,7 +121,7 @@ def j9_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def j10_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tested against a plain pass over all runs; the in-order count has a state of its own, which SQL lacks."""
-    return M.fuzzy_match(*_quotes_and_cues(spark, sf_dir, whole=True)).select("quote_id", F.col("at").alias("pos"), "size", F.round("score", 6).alias("score"))
+    return M.fuzzy_match(*_quotes_and_cues(spark, sf_dir)).select("quote_id", F.col("at").alias("pos"), "size", F.round("score", 6).alias("score"))
 
 
 @query(rf"""WITH {_QC}, f AS (SELECT session, idx, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM cue), g AS (SELECT quote_id, session, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS w FROM quote),
@@ -147,17 +144,20 @@ def j12_resolve_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey, l_linenumber::BIGINT AS line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1 WHERE o_orderdate >= DATE '1997-01-01' ORDER BY o_orderdate DESC, o_orderkey, line LIMIT 50""")
 def j13_sessions_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").cast("long").alias("line"))
-    recent = table(spark, sf_dir, "orders").filter("o_orderdate >= DATE '1997-01-01'")
-    return recent.join(first, "o_orderkey", "left").orderBy(F.desc("o_orderdate"), "o_orderkey", F.col("line").asc_nulls_last()).limit(50).select("o_orderkey", "line")
+    return M.sessions_with_videos(table(spark, sf_dir, "orders"), first, key="o_orderkey", day="o_orderdate", since="1997-01-01", order=("line",)).select("o_orderkey", "line")
 
 
-@query("""WITH p AS (SELECT a.conv_id AS pair_id, a.text[1:40] AS a, b.text[1:60] AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
-x AS (SELECT pair_id, i, l FROM p, range(1, 41) t(i), range(1, 41) s(l) WHERE i + l - 1 <= length(a) AND contains(b, a[i:i + l - 1]))
-SELECT p.pair_id, round(coalesce(max(l), 0) / length(a)::DOUBLE, 6) AS ratio FROM p LEFT JOIN x USING (pair_id) GROUP BY p.pair_id, a""")
+@query("""WITH p AS (SELECT a.conv_id::VARCHAR || '-' || a.turn::VARCHAR AS pair_id, a.text AS a, b.text AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+x AS (SELECT pair_id, i, a[i] AS ch FROM (SELECT pair_id, a, unnest(range(1, length(a) + 1)) AS i FROM p)), y AS (SELECT pair_id, j, b[j] AS ch FROM (SELECT pair_id, b, unnest(range(1, length(b) + 1)) AS j FROM p)),
+s AS (SELECT x.pair_id, i, i - j AS d FROM x JOIN y ON x.pair_id = y.pair_id AND x.ch = y.ch), g AS (SELECT pair_id, d, i - row_number() OVER (PARTITION BY pair_id, d ORDER BY i) AS k FROM s),
+m AS (SELECT pair_id, max(n) AS n FROM (SELECT pair_id, d, k, count(*) AS n FROM g GROUP BY pair_id, d, k) GROUP BY pair_id)
+SELECT p.pair_id, round(coalesce(n / nullif(length(a), 0)::DOUBLE, 0), 6) AS ratio FROM p LEFT JOIN m ON m.pair_id = p.pair_id""")
 def j14_substring_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All adjacent turns and their whole texts."""
     rows = table(spark, sf_dir, "conversations")
-    a, b = rows.filter("turn = 0").select(F.col("conv_id").alias("pair_id"), F.left("text", F.lit(40)).alias("a")), rows.filter("turn = 1").select(F.col("conv_id").alias("pair_id"), F.left("text", F.lit(60)).alias("b"))
-    return M.substring_ratio(a.join(b, "pair_id"), pair_id="pair_id").select("pair_id", F.round("ratio", 6).alias("ratio"))
+    a = rows.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.col("text").alias("a"))
+    b = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
+    return M.substring_ratio(a.join(b, ["conv_id", "turn"]), pair_id="pair_id").select("pair_id", F.round("ratio", 6).alias("ratio"))
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 50 = 0")
@@ -172,10 +172,10 @@ def d1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.exact_dedup(table(spark, sf_dir, "documents"), quote="text", order="doc_id").select("doc_id")
 
 
-@query("""WITH d AS (SELECT doc_id, trim(lower(left(text, 8))) AS k, doc_id % 3 = 0 AS o FROM documents)
+@query("""WITH d AS (SELECT doc_id, trim(lower(text)) AS k, doc_id % 3 = 0 AS o FROM documents)
 SELECT min(doc_id) AS first_pos, coalesce(max(CASE WHEN NOT o THEN doc_id END), min(doc_id)) AS doc_id, count(*) - 1 AS n_removed FROM d GROUP BY k""")
 def d2_overlap_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(8)).alias("quote"), (F.col("doc_id") % 3 == 0).alias("in_overlap"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("quote"), (F.col("doc_id") % 3 == 0).alias("in_overlap"))
     return R.overlap_dedup(rows, order="doc_id", overlap="in_overlap").select("first_pos", "doc_id", "n_removed")
 
 

@@ -76,13 +76,14 @@ def k8_boosted_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.boosted_score(_ai(), F.col("doc_id") % 2 == 0, S.contradicts(_text(), PAIRS), S.everyday(_text(), DAILY)).alias("score"))
 
 
-_MARKERS = {"first": ("thation", "ering", "the"), "second": ("que", "ment", "leeau", "eau"), "third": ("und", "lich")}
+_MARKERS = {"first": ("thation", "ering", "the"), "second": ("que", "ment", "leeau", "eau"), "third": ("und", "lich"), "silent": ()}
 _NEEDED = {"first": 2, "second": 3, "third": 2}
 
 
 @query("WITH m(persona, pos, marker, needed, total) AS (VALUES " + ", ".join(f"('{p}', {i}, '{m}', {_NEEDED[p]}, {len(ms)})" for p, ms in _MARKERS.items() for i, m in enumerate(ms)) + """)
 SELECT doc_id, persona, coalesce(string_agg(CASE WHEN contains(lower(text), marker) THEN marker END, '|' ORDER BY pos), '') AS markers, count(CASE WHEN contains(lower(text), marker) THEN 1 END)::BIGINT AS n_found,
-round(least(count(CASE WHEN contains(lower(text), marker) THEN 1 END) / max(total)::DOUBLE * 10, 10::DOUBLE), 6) AS score, count(CASE WHEN contains(lower(text), marker) THEN 1 END) >= max(needed) AS valid FROM documents, m GROUP BY doc_id, persona""")
+round(least(count(CASE WHEN contains(lower(text), marker) THEN 1 END) / max(total)::DOUBLE * 10, 10::DOUBLE), 6) AS score, count(CASE WHEN contains(lower(text), marker) THEN 1 END) >= max(needed) AS valid FROM documents, m GROUP BY doc_id, persona
+UNION ALL SELECT doc_id, 'silent', '', 0, 10.0::DOUBLE, true FROM documents""")
 def k9_marker_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = S.marker_coverage(table(spark, sf_dir, "documents"), S.marker_table(spark, _MARKERS, _NEEDED), id_column="doc_id")
     return found.select("doc_id", "persona", F.array_join("markers_found", "|").alias("markers"), "n_found", F.round("score", 6).alias("score"), "valid")

@@ -10,6 +10,7 @@ from plenum.operators import vectors as V
 from plenum.operators.ranking import semantic_dedup
 from plenum.plans.registry import query, table
 from plenum.sources import readers, writers
+from plenum.sources.shared import new_folder, shared_folder
 from plenum.streaming import state as W
 
 _COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -59,11 +60,11 @@ def v6_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.citations(told, most=120).select("query_id", "rank", "vec_id", "excerpt")
 
 
-@query()
+@query(r"SELECT doc_id, 256 AS width, CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def v7_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the hashing embedder; tested for widths, batches and the fallback."""
-    found = V.embed(table(spark, sf_dir, "documents"), V.hashing_embedder(16), id_column="doc_id", width=16)
-    return found.select("doc_id", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+    """By the hashing embedder: vectors of unit length, but for texts without words."""
+    found = V.embed(table(spark, sf_dir, "documents"), V.hashing_embedder(256), id_column="doc_id", width=256)
+    return found.select("doc_id", F.size("embedding").alias("width"), F.round(V.norm(F.col("embedding")), 4).alias("norm"))
 
 
 @query("WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings) SELECT label::BIGINT AS label, (d - 1)::BIGINT AS place, round(avg(x), 6) AS mean, (SELECT count(*) FROM embeddings e WHERE e.label = u.label) AS size FROM u GROUP BY label, d")
@@ -102,19 +103,18 @@ def v11_sample_of_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.sample_of_clusters(rows.withColumn("cluster_id", F.col("label").cast("long")), centers, id_column="vec_id").withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y, {_COS} AS s FROM r a JOIN r b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_COS} > 0.3),
+k AS (SELECT r.vec_id, label, n, coalesce(list(x) FILTER (WHERE x IS NOT NULL), []) AS near FROM r LEFT JOIN e ON y = r.vec_id GROUP BY r.vec_id, label, n),
+g AS (SELECT label, n, [vec_id] AS kept FROM k WHERE n = 1 UNION ALL SELECT k.label, k.n, CASE WHEN list_has_any(g.kept, k.near) THEN g.kept ELSE list_append(g.kept, k.vec_id) END FROM g JOIN k ON k.label = g.label AND k.n = g.n + 1),
+f AS (SELECT unnest(kept) AS vec_id FROM (SELECT label, arg_max(kept, n) AS kept FROM g GROUP BY label))
+SELECT x AS kept, y AS removed, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY x) AS m FROM e WHERE x IN (SELECT vec_id FROM f) AND y NOT IN (SELECT vec_id FROM f)) WHERE m = 1""")
 def d3_semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision log; tested against the greedy pass."""
+    """The decision log of the greedy pass."""
     rows = table(spark, sf_dir, "embeddings")
     edges = V.similar_pairs(rows, id_column="vec_id", group="label", threshold=0.3).select(F.col("a").alias("earlier"), F.col("b").alias("later"), "similarity")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return semantic_dedup(rows, edges, id_column="vec_id", order="vec_id", checkpoint=lambda df: df.checkpoint())[1].withColumn("similarity", F.round("similarity", 6))
 
 
@@ -150,13 +150,13 @@ def i1_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.calendar(spark, str(ends[0]), str(ends[1]))
 
 
-@query(f"""WITH d AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY))::DATE AS date), s AS ({_STORED} AND o_orderkey % 20 = 0), k AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders WHERE o_orderkey % 20 = 1)
-SELECT d.date, CASE WHEN k.date IS NULL THEN 'new' ELSE 'recheck' END AS reason FROM d LEFT JOIN k USING (date) WHERE d.date NOT IN (SELECT date FROM s) AND (k.date IS NULL OR DATE '1996-12-31' - d.date <= 14)""")
+@query(f"""WITH d AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1998-12-31', INTERVAL 1 DAY))::DATE AS date), s AS ({_STORED}), k AS (SELECT DISTINCT o_orderdate::DATE AS date FROM orders)
+SELECT d.date, CASE WHEN k.date IS NULL THEN 'new' ELSE 'recheck' END AS reason FROM d LEFT JOIN k USING (date) WHERE d.date NOT IN (SELECT date FROM s) AND (k.date IS NULL OR DATE '1998-12-31' - d.date <= 365)""")
 def i2_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    stored = o.filter("o_orderstatus = 'P' AND o_orderkey % 20 = 0").select(F.to_date("o_orderdate").alias("date"))
-    checks = o.filter("o_orderkey % 20 = 1").select(F.to_date("o_orderdate").alias("date"), F.lit("no_session").alias("status"))
-    return I.work_list(I.calendar(spark, "1996-01-01", "1996-12-31"), stored, checks, as_of="1996-12-31")
+    stored = o.filter("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("date"))
+    checks = o.select(F.to_date("o_orderdate").alias("date"), F.lit("no_session").alias("status"))
+    return I.work_list(I.calendar(spark, "1995-01-01", "1998-12-31"), stored, checks, as_of="1998-12-31", recheck_days=365)
 
 
 @query("SELECT unnest(generate_series(max(o_orderdate)::DATE + 1, max(o_orderdate)::DATE + 9, INTERVAL 1 DAY))::DATE AS date FROM orders")
@@ -226,11 +226,11 @@ def i13_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.fan_out(table(spark, sf_dir, "events"), ("tiktok", "youtube"), "platform", at="ts", as_of="2024-01-20 00:00:00").select("event_id", "platform", "state")
 
 
-@query("""WITH a AS (SELECT ts::DATE AS date, user_id % 4 AS attempt, arg_max(CASE event_type WHEN 'view' THEN 'ok' WHEN 'error' THEN 'server_error' ELSE 'error' END, event_id) AS result, max(event_id) AS at_ FROM events WHERE user_id < 20 GROUP BY 1, 2),
+@query("""WITH a AS (SELECT ts::DATE AS date, user_id % 4 AS attempt, arg_min(CASE event_type WHEN 'view' THEN 'ok' WHEN 'error' THEN 'server_error' ELSE 'error' END, event_id) AS result FROM events GROUP BY 1, 2),
 l AS (SELECT date, arg_max(result, attempt) AS result, count(*) AS attempts FROM a GROUP BY date) SELECT date, attempts, CASE WHEN result = 'ok' THEN 'done' WHEN result = 'server_error' OR attempts >= 2 THEN 'no_session' ELSE 'retry' END AS status FROM l""")
 def w2_attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "error", "server_error").otherwise("error")
-    rows = table(spark, sf_dir, "events").filter("user_id < 20").select(F.to_date("ts").alias("date"), (F.col("user_id") % 4).alias("attempt"), result.alias("result"), F.col("event_id").alias("at"))
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), (F.col("user_id") % 4).alias("attempt"), result.alias("result"), F.col("event_id").alias("at"))
     return W.attempt_outcomes(rows).select("date", "attempts", "status")
 
 
@@ -288,14 +288,7 @@ def s8_keyed_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1996-03-01'")
 def s9_month_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written by year and month to a shared folder, and two months read back."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder}/months-{uuid.uuid4().hex}"
+    path = new_folder(spark, "months")
     writers.write_by_month(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.to_date("o_orderdate").alias("day")), path, day="day")
     return spark.read.parquet(path).filter("year = 1996 AND month IN (1, 2)").select("o_orderkey", "o_totalprice")
 
@@ -309,14 +302,7 @@ def s11_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id, value FROM events")
 def w1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table's files as a stream, each batch appended to a shared folder; once all files are taken, what was written."""
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
-    path = f"{folder}/ingest-{uuid.uuid4().hex}"
+    path = new_folder(spark, "ingest")
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")  # a batch that runs again replaces its own rows

@@ -1,93 +1,9 @@
-"""Queries over whole texts and whole tables, beside those whose SQL states a prefix or a part of the rows."""
+"""Second names of queries that once read a prefix or a part of their rows under the first name; both read all of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from plenum.operators import incremental as I
-from plenum.operators import matching as M
-from plenum.operators import parsing as P
-from plenum.operators import ranking as R
 from plenum.plans import chunk_queries, match_queries, state_queries  # noqa: F401
-from plenum.plans.registry import ORACLES, query, table
-from plenum.streaming import state as W
-
-
-def _sql(name: str, *parts: tuple[str, str]) -> str:
-    """The SQL of a narrow query with its limits taken out."""
-    sql = ORACLES[name]
-    for old, new in parts:
-        assert old in sql, (name, old)
-        sql = sql.replace(old, new)
-    return sql
-
-
-@query()
-def j14_substring_ratio_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All adjacent turns and their whole texts; tested against a plain pass, as SQL over all substrings is too slow."""
-    rows = table(spark, sf_dir, "conversations")
-    a = rows.select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("pair_id"), F.col("text").alias("a"))
-    b = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b"))
-    return M.substring_ratio(a.join(b, ["conv_id", "turn"]), pair_id="pair_id").select("pair_id", F.round("ratio", 6).alias("ratio"))
-
-
-@query(_sql("d2_overlap_dedup", ("left(text, 8)", "text")))
-def d2_overlap_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("quote"), (F.col("doc_id") % 3 == 0).alias("in_overlap"))
-    return R.overlap_dedup(rows, order="doc_id", overlap="in_overlap").select("first_pos", "doc_id", "n_removed")
-
-
-@query(_sql("p5_repaired_json", ("left(text, 40)", "text")))
-def p5_repaired_json_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.struct(F.col("text").alias("quote"), F.col("turn").cast("double").alias("ai_score"), F.col("turn").alias("turn"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("i")))), lambda x: x["i"])).alias("j"))
-    kind = F.col("conv_id") % 4
-    told = F.when(kind == 1, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).when(kind == 3, F.substring("j", F.lit(1), F.length("j") - 6)).otherwise(F.col("j"))
-    found = rows.select("conv_id", F.explode(P.repaired_json(told, "STRUCT<quote: STRING, ai_score: DOUBLE, turn: BIGINT>")).alias("x"))
-    return found.select("conv_id", "x.turn", F.md5("x.quote").alias("quote"), "x.ai_score")
-
-
-@query(_sql("j1_best_video", (" AND l_quantity > 25 AND l_partkey % 20 = 0", "")))
-def j1_best_video_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sessions = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("session"), F.to_date("o_orderdate").alias("day"))
-    videos = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("video"), F.col("l_shipdate").alias("published"), F.col("l_quantity").alias("q")).distinct()
-    days = F.abs(F.datediff(F.to_date("published"), F.col("day")))
-    score = F.when(days == 0, 4.0).when(days == 1, 3.0).when(days == 2, 1.0).otherwise(0.0) + F.col("q") / 25
-    return M.best_in_window(sessions, videos, session="session", day="day", video="video", published="published", score=score).select("session", "video", "confidence")
-
-
-@query(_sql("i2_work_list", (" AND o_orderkey % 20 = 0", ""), (" WHERE o_orderkey % 20 = 1", "")))
-def i2_work_list_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    stored = o.filter("o_orderstatus = 'P'").select(F.to_date("o_orderdate").alias("date"))
-    checks = o.select(F.to_date("o_orderdate").alias("date"), F.lit("no_session").alias("status"))
-    return I.work_list(I.calendar(spark, "1996-01-01", "1996-12-31"), stored, checks, as_of="1996-12-31")
-
-
-@query(_sql("w2_attempt_outcomes", (" WHERE user_id < 20", "")))
-def w2_attempt_outcomes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = F.when(F.col("event_type") == "view", "ok").when(F.col("event_type") == "error", "server_error").otherwise("error")
-    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("date"), (F.col("user_id") % 4).alias("attempt"), result.alias("result"), F.col("event_id").alias("at"))
-    return W.attempt_outcomes(rows).select("date", "attempts", "status")
-
-
-_QUOTES = (r"array_to_string(list_slice(regexp_split_to_array(text, '\s+'), 1, 12), ' ') AS text FROM conversations WHERE turn % 2 = 1", "text FROM conversations")
-
-
-@query(_sql("j8_overlap_match", _QUOTES))
-def j8_overlap_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes, cues = match_queries._quotes_and_cues(spark, sf_dir, whole=True)
-    return M.overlap_match(quotes, cues).select("quote_id", F.col("at").alias("pos"), F.round("score", 6).alias("score"))
-
-
-@query(_sql("j9_exact_match", _QUOTES))
-def j9_exact_match_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes, cues = match_queries._quotes_and_cues(spark, sf_dir, whole=True)
-    return M.exact_match(quotes, cues).select("quote_id", F.col("at").alias("pos"), "size")
-
+from plenum.plans.registry import ORACLES, QUERIES
 
-@query(_sql("j11_single_cue", _QUOTES))
-def j11_single_cue_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quotes, cues = match_queries._quotes_and_cues(spark, sf_dir, whole=True)
-    return M.single_cue_match(quotes, cues).select("quote_id", F.col("at").alias("pos"))
+for _name in ("d2_overlap_dedup", "i2_work_list", "j1_best_video", "j11_single_cue", "j14_substring_ratio", "j8_overlap_match", "j9_exact_match", "p5_repaired_json", "w2_attempt_outcomes"):
+    QUERIES[f"{_name}_whole"], ORACLES[f"{_name}_whole"] = QUERIES[_name], ORACLES[_name]

@@ -21,10 +21,10 @@ def attempt_outcomes(attempts: DataFrame, *, date: str = "date", most: int = 2)
     """W2, batch: the latest outcome of each date from (date, attempt, result, at), result ``ok``, ``server_error`` or ``error``.
 
     done after ok; no_session after a server error; an error is retried until the attempts are used up, then no_session.
-    Repeated deliveries of one attempt count once; the latest attempt wins.
+    Of an attempt that is delivered again the first delivery (by ``at``, then result) counts; the latest attempt wins.
     """
-    once = attempts.groupBy(date, "attempt").agg(F.max_by("result", F.struct("at", "result")).alias("result"), F.max("at").alias("at"))
-    last = once.groupBy(date).agg(F.max_by(F.struct("attempt", "result", "at"), F.struct("attempt", "at")).alias("l"), F.count(F.lit(1)).alias("attempts"))
+    once = attempts.groupBy(date, "attempt").agg(F.min(F.struct("at", "result")).alias("d")).select(date, "attempt", "d.at", "d.result")
+    last = once.groupBy(date).agg(F.max_by(F.struct("attempt", "result", "at"), "attempt").alias("l"), F.count(F.lit(1)).alias("attempts"))
     status = F.when(F.col("l.result") == "ok", "done").when(F.col("l.result") == "server_error", "no_session").when(F.col("attempts") < most, "retry").otherwise("no_session")
     return last.select(date, status.alias("status"), "attempts", F.col("l.at").alias("last_checked"))
 
@@ -35,29 +35,33 @@ def distinct_attempts(stream: DataFrame, *, date: str = "date", at: str = "at",
 
 
 def stream_attempts(stream: DataFrame, *, date: str = "date", at: str = "at", horizon: str = "14 days", most: int = 2) -> DataFrame:
-    """W2, stream: the outcome of a date after each batch that brings attempts of it; update mode. State: attempts seen and the latest."""
+    """W2, stream: the outcome of a date after each batch that brings attempts of it; update mode, as the batch twin for all that came so far.
+
+    State: of each attempt of the date the first delivery by ``at``, in whatever order they come.
+    """
     import pandas as pd
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen, attempt, result, when = state.get if state.exists else (0, -1, "", pd.Timestamp(0))
+        seen = {a: (when, result) for a, when, result in zip(*state.get, strict=True)} if state.exists else {}
         for frame in frames:
-            for row in frame.sort_values(["attempt", "at"]).itertuples():
-                seen += 1
-                if (row.attempt, row.at) >= (attempt, when):
-                    attempt, result, when = int(row.attempt), row.result, row.at
-        state.update((seen, attempt, result, when.to_pydatetime() if hasattr(when, "to_pydatetime") else when))
-        status = "done" if result == "ok" else "no_session" if result == "server_error" or seen >= most else "retry"
-        yield pd.DataFrame({"date": [key[0]], "status": [status], "attempts": [seen], "last_checked": [when]})
+            for row in frame.itertuples():
+                told = (row.at.to_pydatetime(), row.result)
+                seen[int(row.attempt)] = min(seen.get(int(row.attempt), told), told)
+        attempts = sorted(seen)
+        state.update((attempts, [seen[a][0] for a in attempts], [seen[a][1] for a in attempts]))
+        when, result = seen[attempts[-1]]
+        status = "done" if result == "ok" else "no_session" if result == "server_error" or len(seen) >= most else "retry"
+        yield pd.DataFrame({"date": [key[0]], "status": [status], "attempts": [len(seen)], "last_checked": [when]})
 
-    once = distinct_attempts(stream, date=date, at=at, horizon=horizon).select(F.col(date).cast("string").alias("date"), "attempt", "result", F.col(at).alias("at"))
-    return once.groupBy("date").applyInPandasWithState(fold, "date string, status string, attempts long, last_checked timestamp", "seen long, attempt long, result string, at timestamp", "update", "NoTimeout")
+    rows = stream.withWatermark(at, horizon).select(F.col(date).cast("string").alias("date"), F.col("attempt").cast("long").alias("attempt"), "result", F.col(at).alias("at"))
+    return rows.groupBy("date").applyInPandasWithState(fold, "date string, status string, attempts long, last_checked timestamp", "attempts array<long>, ats array<timestamp>, results array<string>", "update", "NoTimeout")
 
 
 def job_states(events: DataFrame, *, job: str = "job_id", order: str = "at", as_of: str | None = None, timeout_seconds: int = 3600) -> DataFrame:
     """W3, batch: current state of each job from (job, at, event, progress, detail), events ``progress``, ``complete``, ``fail``.
 
     The last event counts: progress is clamped to 0-100 and 100 completes; complete and fail are final states of their
-    events. With ``as_of``, a job that renders for longer than the timeout without an event has failed.
+    events; any other event is a sign of life without a progress. With ``as_of``, a job that renders for longer than the timeout without an event has failed.
     """
     last = events.groupBy(job).agg(F.max_by(F.struct("event", "progress", "detail", F.col(order).alias("at")), F.struct(order, "event_id") if "event_id" in events.columns else F.col(order)).alias("l"), F.count(F.lit(1)).alias("n_events"))
     progress = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("l.progress")))
@@ -100,8 +104,10 @@ def stream_jobs(stream: DataFrame, *, job: str = "job_id", order: str = "at", ti
                     status = "completed" if row.progress == 100 else "rendering"
                 elif row.event == "complete":
                     progress, status = 100.0, "completed"
-                else:
+                elif row.event == "fail":
                     progress, status, error = None, "failed", row.detail
+                else:
+                    progress, status = None, "completed" if row.progress == 100 else "rendering"
         state.update((progress, status, at.to_pydatetime() if hasattr(at, "to_pydatetime") else at, seen))
         if status == "rendering":
             due = int(pd.Timestamp(at).timestamp() * 1000) + milliseconds
