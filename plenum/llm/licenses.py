@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.regex_spans import running, starts
+from plenum.llm.regex_spans import bound, running, starts
 
 #: Phrases and labels that are always reported, wherever their words stand.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -160,7 +160,7 @@ def _word_spans(padded: Column, pattern: Column) -> Column:
     matches = F.transform(F.regexp_extract_all(padded, bounded, F.lit(0)), _blanks)
     pieces = F.transform(F.split(padded, bounded, -1), _blanks)
     # Blanks before a match count its words and one more; a match of n words holds n - 1 blanks.
-    return F.zip_with(starts(pieces, matches), matches, lambda at, n: F.struct((at - 1).alias("start"), (at + n).alias("end")))
+    return bound(F.struct(pieces.alias("p"), matches.alias("m")), lambda s: F.zip_with(starts(s["p"], s["m"]), s["m"], lambda at, n: F.struct((at - 1).alias("start"), (at + n).alias("end"))))
 
 
 def _phrase(padded: Column, phrase: str, label: str) -> Column:
