@@ -2,8 +2,8 @@
 
 A text is the average of the embeddings of its hashed subwords (2 to 4 bytes within blank-bounded words, ASCII lower
 case); one linear layer gives the languages. Embeddings and layer are trained together by stochastic gradient descent in
-numpy on a bounded, documented sample (``PER_LANGUAGE`` documents of each of at most ``LANGUAGES`` languages, ``WORDS``
-words drawn from anywhere in each). A part of the sample is set aside: it fits the temperature that calibrates the scores
+numpy on a bounded, documented sample (about ``PER_LANGUAGE`` documents of each of at most ``LANGUAGES`` languages, twice
+as many together at most, ``WORDS`` words drawn from anywhere in each). A part of the sample is set aside: it fits the temperature that calibrates the scores
 and the score under which a text is rejected.
 
 For prediction the product of embeddings and layer is a table of bounded size, sent to every task once; documents are

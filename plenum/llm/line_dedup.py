@@ -186,7 +186,7 @@ def _unsigned(column: pa.Array) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
-    """Distinct pairs (a, b) of line hashes that share a segment and whose sketches allow ``edits``."""
+    """Distinct pairs (a, b) of line hashes that share a segment and whose sketches allow ``edits``; written to ``scratch``."""
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.uint64)] * 3
@@ -222,10 +222,16 @@ def candidates(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least:
 
     dealt = _keys(docs, edits, least).repartition("key").sortWithinPartitions("key")
     met = scratch.cut(dealt.mapInArrow(grouped, "key long, a long, b long, sketch long"))
+
+    def kept(found: DataFrame) -> DataFrame:
+        out = scratch.cut(found.distinct())
+        scratch.drop(met)
+        return out
+
     pairs = met.filter("key IS NULL").select("a", "b")
     members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("h"), "sketch").distinct()
     if members.isEmpty():
-        return pairs.distinct()
+        return kept(pairs)
     counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     blocks = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
@@ -238,7 +244,7 @@ def candidates(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least:
                 a, b = _pairs(np.zeros(len(h), np.uint64), h, sketch, edits)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b))], names=["a", "b"])
 
-    return pairs.unionByName(held.mapInArrow(compare, "a long, b long")).distinct()
+    return kept(pairs.unionByName(held.mapInArrow(compare, "a long, b long")))
 
 
 def within(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.ndarray:
@@ -295,7 +301,7 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 def links(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """Verified pairs (a, b) of hashes of different lines within ``edits``."""
-    pairs = scratch.cut(candidates(docs, scratch, edits=edits, least=least))
+    pairs = candidates(docs, scratch, edits=edits, least=least)
     needed = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
     # A bit set of fixed size lets most other lines stay in their task; the join below is exact.
     slot = F.shiftrightunsigned("h", 64 - FILTER_BITS)

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.sources.shared import new_folder
+
 FILTER_BITS = 25
 
 _scopes: list[list[Scratch]] = []
@@ -19,19 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset, a temporary one if all runs in one process, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 class Scratch:
     """Tables of one run of an operator, in a folder of their own within the shared folder.
 
@@ -40,7 +29,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.folder, self.written = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", {}
+        self.spark, self.folder, self.written = spark, new_folder(spark, "scratch"), {}
         for scope in _scopes[-1:]:
             scope.append(self)
 

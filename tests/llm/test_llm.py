@@ -184,6 +184,9 @@ def test_near_dedup(spark, docs, empty):
             w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
         grown.append((20_000 + i, " ".join(w)))
     rows = docs.select("doc_id", "text", "label").unionByName(spark.createDataFrame(grown, "doc_id long, text string").withColumn("label", F.lit("clash")))
+    other = [f"y{rng.randrange(10**6)}" for _ in range(80)]
+    texts = [(20_000, other), (40_000, [*other[:40], "z", *other[41:]]), (40_001, other[:30]), (40_000, other[:30]), (40_002, ["alone", *other[50:]]), (40_002, base)]  # ids that repeat with other texts
+    rows = rows.unionByName(spark.createDataFrame([(k, " ".join(w)) for k, w in texts], "doc_id long, text string").withColumn("label", F.lit("clash")))
     assert Counter(tuple(r) for r in near_dedup.near_duplicates(rows).collect()) == near_expected(rows.collect())
     once = rows.filter("doc_id <> 1007")
     assert Counter(tuple(r) for r in near_dedup.near_duplicates(once).collect()) == near_expected(once.collect())
