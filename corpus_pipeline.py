@@ -8,14 +8,13 @@ are besides ``doc_id`` and ``text``, and none gives rows for an empty table. Nul
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm import contamination, language_id, line_dedup, near_dedup, packing
 from plenum.llm.queries import tokenizer_path
-from plenum.llm.tables import delete, scope, shared_folder, table
+from plenum.llm.tables import delete, scope, table
+from plenum.sources.shared import new_folder
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. What a stage wrote on its way goes when its result stands, and that when the next one does."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
