@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import contamination, language_id, licenses, line_dedup, near_dedup, neighbours, packing, passages, pii, quality
+from plenum.llm import clustering, contamination, language_id, licenses, line_dedup, near_dedup, neighbours, packing, passages, pii, quality
 from plenum.llm.tables import table
 
 
@@ -80,8 +80,13 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = clustering.with_inertia(clustering.cluster(table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_neighbours, op4_decontamination, op5_pii, op6_quality, op7_line_dedup, op8_near_dedup, op9_packing, op10_licenses)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_neighbours, op4_decontamination, op5_pii, op6_quality, op7_line_dedup, op8_near_dedup, op9_packing, op10_licenses, op12_clustering)}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -107,5 +112,19 @@ k AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN k ON k.x = d.doc_id"""
 
 
+_DECIMAL = "CAST(floor(256 * x) AS BIGINT)"
+_ROUND = """d{r} AS (SELECT vec_id, n, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d FROM long v JOIN c{r} c USING (i) GROUP BY vec_id, n),
+a{r} AS (SELECT vec_id, n, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, n) = 1)"""
+_MOVE = """s{r} AS (SELECT n, i, sum(x) AS s, count(*) AS m FROM a{r} JOIN long USING (vec_id) GROUP BY n, i),
+c{t} AS (SELECT c.n, c.i, CASE WHEN m IS NULL THEN c.x ELSE ((s - (((s % m) + m) % m)) // m)::BIGINT END AS x FROM c{r} c LEFT JOIN s{r} s ON s.n = c.n AND s.i = c.i)"""
+
+_OP12 = f"""WITH kept AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+long AS (SELECT vec_id, i, {_DECIMAL} AS x FROM (SELECT vec_id, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM kept)),
+c0 AS (SELECT n, i, x FROM (SELECT vec_id, row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS n FROM kept QUALIFY n < 40) JOIN long USING (vec_id)),
+{", ".join(_ROUND.format(r=r) + ("," + _MOVE.format(r=r, t=r + 1) if r < 5 else "") for r in range(6))},
+h AS (SELECT n, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY n)
+SELECT vec_id, n::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a5 JOIN h USING (n)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": _OP4, "op8_near_dedup": _OP8}
+    return {"op12_clustering": _OP12, "op4_decontamination": _OP4, "op8_near_dedup": _OP8}
