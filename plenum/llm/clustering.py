@@ -1,13 +1,13 @@
 """Operator 12: exact integer k-means whose comparisons are filtered by an n-simplex projection (Connor, Vadicamo and others).
 
 1. Vectors of the wanted width become integers ``floor(scale * x)``. The centroids start as the vectors of least hash.
-2. Pivots are chosen among the first centroids, each the farthest from those before. A vector's distances to the pivots
+2. Pivots are chosen among the first centroids, each the farthest from the span of those before. A vector's distances to the pivots
    are taken once and kept as the apex of a simplex over the pivots: its coordinates over the base, and its height above
    it. Centroids get their apexes each round. Of two apexes, the distance with heights on one side is a lower bound of
    the Euclidean distance, that with heights on opposite sides an upper bound.
-3. The centroid of the least upper bound is compared first. Those whose lower bound passes the least upper bound, or the
-   distance found, are left out; the others are compared exactly, in integers. Bounds are doubles
-   and get a margin, so that rounding never leaves out a nearest centroid.
+3. The centroid of the least lower bound is compared first. Those whose lower bound passes the least upper bound, or the
+   distance found, are left out; the others are compared exactly, in integers. Bounds are doubles and get a margin, so
+   that rounding never leaves out a nearest centroid.
 4. A round is one pass: tasks return a row for each centroid with sums of its vectors in limbs of 30 bits, which Spark
    adds as longs, and the driver gets as many rows as centroids and limbs, whatever the number of vectors.
 
@@ -104,8 +104,8 @@ def nearest(x: np.ndarray, apexes: np.ndarray, centroids: np.ndarray, tops: np.n
         sizes, top_sizes = (apexes**2).sum(axis=1)[:, None], (tops**2).sum(axis=1)[None, :]
         lower = sizes + top_sizes - 2 * (apexes @ tops.T)
         upper, off = lower + 4 * np.outer(apexes[:, -1], tops[:, -1]), MARGIN * (sizes + top_sizes)
-        # The centroid of the least upper bound is compared first; its distance is a bound as well, and a closer one.
-        at = np.nan_to_num(upper, nan=np.inf).argmin(axis=1)
+        # The centroid of the least lower bound is compared first; its distance is a bound as well, and a closer one.
+        at = np.nan_to_num(lower, nan=np.inf).argmin(axis=1)
         least, done = ((x - centroids[at]) ** 2).sum(axis=1), len(x)
         bound = (upper + off).min(axis=1)
         if not wide:
