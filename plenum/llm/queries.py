@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import clustering, contamination, language_id, licenses, line_dedup, near_dedup, neighbours, packing, passages, pii, quality
+from plenum.llm import clustering, contamination, language_id, licenses, line_dedup, near_dedup, neighbours, packing, passages, phrases, pii, quality, vector_dedup
 from plenum.llm.tables import table
 
 
@@ -80,13 +80,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_equal_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clustering.with_inertia(clustering.cluster(table(spark, sf_dir, "embeddings")))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_neighbours, op4_decontamination, op5_pii, op6_quality, op7_line_dedup, op8_near_dedup, op9_packing, op10_licenses, op12_clustering)}
+    return {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_neighbours, op4_decontamination, op5_pii, op6_quality, op7_line_dedup, op8_near_dedup, op9_packing, op10_licenses, op11_vector_dedup, op12_clustering, op13_collocations)}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -126,5 +134,17 @@ h AS (SELECT n, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS centroid_sha25
 SELECT vec_id, n::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256 FROM a5 JOIN h USING (n)"""
 
 
+_OP13 = rf"""WITH p AS (SELECT lang, string_split_regex(trim(piece, ' ' || chr(9)), '[\x20\x09]+') AS w
+FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOW}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents) WHERE trim(piece, ' ' || chr(9)) <> ''),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, g, count(*) AS f FROM (SELECT lang, k, w[i:i + k - 1] AS g FROM p, (SELECT unnest([1, 2, 3, 4]) AS k), unnest(generate_series(1, len(w) - k + 1)) t(i)) GROUP BY lang, k, g HAVING count(*) >= 30),
+cut AS (SELECT c.lang, c.g, c.f AS a, j, l.f AS l, r.f AS r, 2000000 * c.f::HUGEINT // (l.f::HUGEINT + r.f) AS score
+FROM (SELECT *, unnest(generate_series(1, k - 1)) AS j FROM f WHERE k > 1) c JOIN f l ON l.lang = c.lang AND l.g = c.g[1:j] JOIN f r ON r.lang = c.lang AND r.g = c.g[j + 1:c.k]),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+sub AS (SELECT lang, h, max(f) AS f FROM (SELECT lang, f, g[i:i + m - 1] AS h FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM f WHERE k > 2), unnest(generate_series(1, k - m + 1)) t(i)) GROUP BY lang, h),
+kept AS (SELECT low.*, array_to_string(low.g, ' ') AS phrase FROM low LEFT JOIN sub ON sub.lang = low.lang AND sub.h = low.g WHERE sub.f IS NULL OR 100 * sub.f::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept JOIN n ON n.lang = kept.lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_clustering": _OP12, "op4_decontamination": _OP4, "op8_near_dedup": _OP8}
+    return {"op13_collocations": _OP13, "op12_clustering": _OP12, "op4_decontamination": _OP4, "op8_near_dedup": _OP8}
