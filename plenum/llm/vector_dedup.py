@@ -2,14 +2,15 @@
 
 1. Equal vectors form one class. Classes are coded by rotations that are learned by iterative quantisation (Gong and
    Lazebnik) on a bounded sample: directions of most variance are rotated so that signs lose least, and each bit is cut at
-   its median, so that codes are balanced. Several rotations give a code as long as the tables need.
+   its median, so that codes are balanced. A sample so crowded that this parts near vectors gets rotations about the
+   origin as well. Several rotations give a code as long as the tables need.
 2. The code is cut into substrings of about the logarithm of the number of classes, one table each. Two codes meet in a
-   table if their substrings differ in at most two bits: each is entered under its own substring and all of one bit less
-   or more. The number of tables follows from the recall that is measured on partners made at the threshold.
+   table if their substrings differ in at most two bits: each is entered under its own substring and all that differ in
+   one. The number of tables follows from the recall that is measured on partners made at the threshold.
 3. Cells: of the vectors of a table's entry the one of least hash is a pivot. A vector goes to the pivot with most votes
    within half the angle of the threshold; so all of a cell are linked with each other, and a group of near copies is a
    few cells instead of all its pairs.
-4. Cells that meet in a table, and whose codes are close enough for their radii, are reranked with original vectors. The
+4. Cells that meet in a table, and whose sketches are close enough for their radii, are reranked with original vectors. The
    angle of their centres and their radii tell most pairs of cells: all of one linked with all of the other, or none. The
    rest are compared member by member, in blocks within tasks that return counts.
 5. Links are sums of weights; components join cells.
@@ -39,31 +40,36 @@ LEAST_BITS = 10
 BLOCK = 512
 #: Angles closer than this to a bound are told by the vectors themselves.
 MARGIN = 1e-6
-#: Standard deviations of differing bits by which a pair at the largest angle that matters may be off.
+SKETCH = 128
+#: Standard deviations of differing bits by which the sketches of a pair may be off.
 SIGMAS = 4.5
 
 
 @dataclass
 class Coder:
-    """Bits of a unit vector: signs of projections against cuts. ``differ`` is the part of bits that differ at the threshold."""
+    """``tables`` substrings of ``bits`` bits, signs of projections against cuts, and a sketch of signs about the origin.
+
+    A sketch's bit differs with a probability of the angle over pi whatever the data, so it tells how far vectors can be.
+    """
 
     width: int
-    mean: np.ndarray
     axes: np.ndarray
     cuts: np.ndarray
+    signs: np.ndarray
     bits: int
     tables: int
-    differ: float
     angle: float
     recall: float
 
     def code(self, units: np.ndarray) -> np.ndarray:
-        return (units - self.mean) @ self.axes > self.cuts
+        return units @ self.axes > self.cuts
+
+    def sketch(self, units: np.ndarray) -> np.ndarray:
+        return np.packbits(units @ self.signs > 0, axis=1)
 
     def most_differing(self, angles: np.ndarray) -> np.ndarray:
-        """Differing bits that a pair at these angles stays within, all but surely."""
-        p = np.minimum(self.differ * angles / self.angle, 0.5)
-        n = self.axes.shape[1]
+        """Differing bits that sketches at these angles stay within, all but surely."""
+        p, n = np.minimum(angles / np.pi, 0.5), self.signs.shape[1]
         return np.ceil(n * p + SIGMAS * np.sqrt(n * p * (1 - p)))
 
 
@@ -94,28 +100,31 @@ def _rotation(v: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 def fit(units: np.ndarray, classes: int, threshold: float = THRESHOLD, seed: int = 11) -> Coder:
     """A coder for ``classes`` vectors like those of the sample ``units`` (rows of one width)."""
     rng, width = np.random.default_rng(seed), units.shape[1]
-    mean = units.mean(axis=0)
-    values, vectors = np.linalg.eigh(np.cov((units - mean).T).reshape(width, width) if len(units) > 1 else np.eye(width))
-    principal = vectors[:, ::-1]
     bits = max(LEAST_BITS, math.ceil(math.log2(max(classes, 2))))
     # Partners at the threshold, each in a direction of its own.
     aside = rng.normal(size=units.shape)
     aside -= (aside * units).sum(axis=1, keepdims=True) * units
     sizes = np.sqrt((aside**2).sum(axis=1, keepdims=True))
     partners = threshold * units + math.sqrt(1 - threshold**2) * aside / np.where(sizes > 0, sizes, 1)
-    axes, cuts, apart, met, tables, left = [], [], [], np.zeros(len(units), bool), 0, np.zeros((len(units), 0), bool)
+    # Rotations about the mean with balanced cuts, or about the origin where the sample is so crowded that these part
+    # near vectors: these if more than twice as many partners meet by them.
+    middles = (units.mean(axis=0), np.zeros(width))
+    principal = [np.linalg.eigh((units - m).T @ (units - m))[1][:, ::-1] for m in middles]
+    used, met, tables, each = [], np.zeros(len(units), bool), 0, max(1, width // bits)
     while tables < MOST_TABLES and (not tables or met.mean() < TARGET):
-        axes.append(principal @ _rotation((units - mean) @ principal, rng))
-        own = (units - mean) @ axes[-1]
-        cuts.append(np.median(own, axis=0))
-        left = np.concatenate([left, (own > cuts[-1]) != ((partners - mean) @ axes[-1] > cuts[-1])], axis=1)
-        apart.append(left[:, -width:])
-        while left.shape[1] >= bits and tables < MOST_TABLES and (not tables or met.mean() < TARGET):
-            met |= left[:, :bits].sum(axis=1) <= 2
-            left, tables = left[:, bits:], tables + 1
-    used = tables * bits
-    differ = float(np.concatenate(apart, axis=1)[:, :used].mean())
-    return Coder(width, mean, np.concatenate(axes, axis=1)[:, :used], np.concatenate(cuts)[:used], bits, tables, max(differ, 1e-3), math.acos(threshold), float(met.mean()))
+        tried = []
+        for k, (middle, vectors) in enumerate(zip(middles, principal, strict=True)):
+            turned = [vectors @ _rotation((units - middle) @ vectors, rng) for _ in range(-(-bits // width))]
+            axes = np.concatenate(turned, axis=1)[:, : each * bits]
+            own = units @ axes
+            cuts = np.zeros(axes.shape[1]) if k else np.median(own, axis=0)
+            apart = ((own > cuts) != (partners @ axes > cuts)).reshape(len(units), each, bits).sum(axis=2) <= 2
+            tried.append((np.count_nonzero(apart.any(axis=1) & ~met), axes, cuts, apart))
+        _, axes, cuts, apart = tried[0] if 2 * tried[0][0] >= tried[1][0] else tried[1]
+        used.append((axes, cuts))
+        met, tables = met | apart.any(axis=1), tables + each
+    signs = np.concatenate([np.linalg.qr(rng.normal(size=(width, width)))[0] for _ in range(-(-SKETCH // width))], axis=1)[:, :SKETCH]
+    return Coder(width, np.concatenate([u[0] for u in used], axis=1), np.concatenate([u[1] for u in used]), signs, bits, tables, math.acos(threshold), float(met.mean()))
 
 
 def _vectors(column: pa.Array) -> list[np.ndarray]:
@@ -124,17 +133,16 @@ def _vectors(column: pa.Array) -> list[np.ndarray]:
 
 
 def _coded(classes: DataFrame, coder: Coder) -> DataFrame:
-    """id, size (components), vector (packed unit vector of all components), code (packed bits) and a key for each table."""
+    """id, size (components), vector (packed unit vector of all components), code (a packed sketch) and a key for each table."""
     powers = np.int64(1) << np.arange(coder.bits, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _vectors(batch.column(1))
-            bits = coder.code(np.stack([folded(v, coder.width) for v in found])) if found else np.zeros((0, coder.axes.shape[1]), bool)
-            keys = bits.reshape(len(found), coder.tables, coder.bits) @ powers + (np.arange(coder.tables, dtype=np.int64) << coder.bits)
+            units = np.stack([folded(v, coder.width) for v in found]) if found else np.zeros((0, coder.width))
+            packed, keys = coder.sketch(units), coder.code(units).reshape(len(found), coder.tables, coder.bits) @ powers + (np.arange(coder.tables, dtype=np.int64) << coder.bits)
             units = [v / np.abs(v).max() for v in found]
             units = [v / np.sqrt((v**2).sum()) for v in units]
-            packed = np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(v) for v in found], pa.int32()), pa.array([v.tobytes() for v in units], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * coder.tables), pa.array(keys.reshape(-1))),
             ], names=["id", "size", "vector", "code", "keys"])
@@ -188,7 +196,7 @@ def _cells(coded: DataFrame, coder: Coder, scratch: Scratch) -> DataFrame:
 
 
 def _meeting(coded: DataFrame, members: DataFrame, cells: DataFrame, coder: Coder, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b), a < b, of cells that meet in a table and whose centres' codes are close enough for their radii."""
+    """Pairs (a, b), a < b, of cells that meet in a table and whose centres' sketches are close enough for their radii."""
     one_off = F.transform(F.sequence(F.lit(0), F.lit(coder.bits - 1)), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j))
     near = F.flatten(F.transform("keys", lambda k: F.concat(F.array(k), F.transform(one_off, lambda bit: k.bitwiseXOR(bit)))))
     rows = coded.select("id", "size", "keys").join(members.select("id", "cell"), "id").select(F.explode(near).alias("key"), "size", "cell").distinct()
