@@ -14,16 +14,18 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenum.llm.bytetext import arrow_text, gram_hashes, lower_table, mix, signed, span_hashes, text_slices, token_spans
-from plenum.llm.tables import Scratch, bit_set
+from plenum.llm.tables import Scratch, bit_set, delete
 
 LONGEST = 4
 LEAST = 30
@@ -44,6 +46,19 @@ _MEMBER = ~_CUTS
 _MEMBER[[0x20, 0x09]] = False
 
 
+class _Slots:
+    """When the phrases of each slot reached the least count; packed on its way to tasks, as most slots are alike."""
+
+    def __init__(self, when: np.ndarray) -> None:
+        self.when = when
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.when.tobytes(), 1)
+
+    def __setstate__(self, packed: bytes) -> None:
+        self.when = np.frombuffer(zlib.decompress(packed), np.int8)
+
+
 class _Words:
     """Words of a slice of texts, with hashes of all phrases by length."""
 
@@ -79,16 +94,15 @@ def _lang_hashes(column: pa.Array) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:])
 
 
-def _scan(docs: DataFrame, reached: np.ndarray, step: int, shards: int, longest: int, bits: int) -> DataFrame:
+def _scan(docs: DataFrame, shared: Broadcast, step: int, shards: int, longest: int, bits: int) -> DataFrame:
     """(h, n): counts of the phrases of a shard that are within their cycle at this step."""
-    shared = docs.sparkSession.sparkContext.broadcast(reached)
 
     def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
         hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(counts.astype(np.int64))], names=["h", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        when, parts, held = shared.value, [], 0
+        when, parts, held = shared.value.when, [], 0
         for batch in batches:
             langs = _lang_hashes(batch.column(0))
             for i, j, data, offsets in text_slices(batch.column(1)):
@@ -119,12 +133,14 @@ def _found(docs: DataFrame, scratch: Scratch, least: int, longest: int, shards:
     """For each slot the scan at which a phrase of it reached the least count, or ``NEVER``."""
     reached, step, end, running = np.full(1 << bits, NEVER, np.int8), 0, shards, None
     while step < end:
-        new = _scan(docs.filter(F.col("shard") == step % shards), reached, step, shards, longest, bits).withColumn("seen", F.lit(step))
+        shared = docs.sparkSession.sparkContext.broadcast(_Slots(reached))
+        new = _scan(docs.filter(F.col("shard") == step % shards), shared, step, shards, longest, bits).withColumn("seen", F.lit(step))
         rows = new if running is None else new.unionByName(running.filter(F.col("seen") > step - shards))
         sums = scratch.cut(rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")))
         if running is not None:
             scratch.drop(running)
         running = sums
+        shared.destroy()
         slot = F.shiftrightunsigned("h", 2).bitwiseAND((1 << bits) - 1)
         now = bit_set(running.filter(F.col("n") >= least).select(slot.alias("slot")), bits)
         fresh = (np.unpackbits(now.view(np.uint8), bitorder="little") > 0) & (reached == NEVER)
@@ -145,16 +161,15 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
 
 
-def _counts(docs: DataFrame, reached: np.ndarray, least: int, longest: int, bits: int) -> DataFrame:
+def _counts(docs: DataFrame, shared: Broadcast, least: int, longest: int, bits: int) -> DataFrame:
     """(lang, k, phrase, f) of all phrases with the least count; k = 0 has the number of all words of a language."""
-    shared = docs.sparkSession.sparkContext.broadcast(reached != NEVER)
 
     def merged(parts: list[pa.Table]) -> pa.Table:
         out = pa.concat_tables(parts).group_by(["lang", "k", "phrase"]).aggregate([("f", "sum")])
         return out.rename_columns(["lang", "k", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, parts, held = shared.value, [], 0
+        frequent, parts, held = shared.value.when != NEVER, [], 0
 
         def add(langs: pa.Array, rows: np.ndarray, k: int, phrases: pa.Array) -> None:
             nonlocal held
@@ -208,7 +223,10 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
     dealt = docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path)
     reached = _found(dealt, scratch, least, longest, shards, bits)
-    counts = scratch.cut(_counts(dealt, reached, least, longest, bits))
+    shared = docs.sparkSession.sparkContext.broadcast(_Slots(reached))
+    counts = scratch.cut(_counts(dealt, shared, least, longest, bits))
+    shared.destroy()
+    delete(docs.sparkSession, path)
     return ranked(counts, within_percent, first)
 
 
