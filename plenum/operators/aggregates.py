@@ -24,10 +24,29 @@ def roll_up(segments: DataFrame, *, session: str = "session", order: str = "ord"
 
 
 def extraction_stats(moments: DataFrame, *, score: str = "viral_score", by: tuple[str, ...] = ("topic", "speaker", "emotional_tone")) -> DataFrame:
-    """A2 in long form: (kind, key, n, mean_score): a row for all, and one per value of each column. Merging chunks is the same aggregation."""
+    """A2 in long form: (kind, key, n, mean_score): a row for all, and one per value of each column."""
+    return merged_stats(partial_stats(moments, score=score, by=by))
+
+
+def partial_stats(moments: DataFrame, *, chunk: str | None = None, score: str = "viral_score", by: tuple[str, ...] = ("topic", "speaker", "emotional_tone")) -> DataFrame:
+    """A2's state, of each ``chunk`` or of all: (kind, key, n, n_scored, total). A chunk writes its rows when it is done; they merge in any order and number.
+
+    ``n`` counts moments, ``n_scored`` those with a score, ``total`` adds these up. A value that is null has no row.
+    """
     keys = F.array(F.struct(F.lit("all").alias("kind"), F.lit("").alias("key")), *(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("key")) for c in by))
-    long = moments.select(F.explode(keys).alias("k"), F.col(score).alias("_s")).filter("k.key IS NOT NULL")
-    return long.groupBy("k.kind", "k.key").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("_s"), F.lit(0.0)).alias("mean_score"))
+    of = [chunk] if chunk else []
+    long = moments.select(*of, F.explode(keys).alias("k"), F.col(score).cast("double").alias("_s")).select(*of, "k.*", "_s").filter("key IS NOT NULL")
+    return long.groupBy(*of, "kind", "key").agg(F.count(F.lit(1)).alias("n"), F.count("_s").alias("n_scored"), F.coalesce(F.sum("_s"), F.lit(0.0)).alias("total"))
+
+
+def merged_states(states: DataFrame) -> DataFrame:
+    """A2: states of several chunks, or of merged ones, as one."""
+    return states.groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "n_scored", "total")))
+
+
+def merged_stats(states: DataFrame) -> DataFrame:
+    """A2: the statistics of states: (kind, key, n, mean_score), the mean 0 where nothing has a score."""
+    return merged_states(states).select("kind", "key", "n", F.coalesce(F.try_divide("total", "n_scored"), F.lit(0.0)).alias("mean_score"))
 
 
 def consolidation_stats(candidates: DataFrame, *, stage: str = "stage") -> DataFrame:

@@ -67,10 +67,16 @@ def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def upsert(stored: DataFrame, updates: DataFrame, *, key: str, version: str) -> DataFrame:
     """I8: one row per key; of each column the latest value that is not null, so that partial updates merge."""
-    rows = stored.unionByName(updates, allowMissingColumns=True)
-    others = [c for c in rows.columns if c not in (key, version)]
-    latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(version))).alias(c) for c in others]
-    return rows.groupBy(key).agg(F.max(version).alias(version), *latest)
+    return latest(stored.unionByName(updates, allowMissingColumns=True), key, version=version)
+
+
+def latest(rows: DataFrame, *keys: str, version: str, whole: bool = False) -> DataFrame:
+    """I8 over all versions of rows: the latest values of each column that are not null, or the latest row as it is."""
+    others = [c for c in rows.columns if c not in (*keys, version)]
+    if whole:
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(version, *others), version).alias("_r")).select(*keys, "_r.*")
+    values = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(version))).alias(c) for c in others]
+    return rows.groupBy(*keys).agg(F.max(version).alias(version), *values)
 
 
 def insert_new(stored: DataFrame, found: DataFrame, key: str) -> DataFrame:

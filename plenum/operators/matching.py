@@ -79,19 +79,40 @@ def valid_range(start, end, duration=None):
     return good if duration is None else good & (duration.isNull() | (end <= duration))
 
 
+def _ranges(words: DataFrame, reach: int) -> DataFrame:
+    """(session, word, low, high): the starts from which a run of ``reach`` cues holds a word of (session, idx, word), as ranges that do not overlap."""
+    from pyspark.sql import Window
+
+    before = F.lag("idx").over(Window.partitionBy("session", "word").orderBy("idx"))
+    return words.select("session", "word", F.greatest(F.col("idx") - (reach - 1), F.coalesce(before + 1, F.lit(0))).alias("low"), F.col("idx").alias("high"))
+
+
+def _sweep(asked: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """(key, low, high, held): ranges of starts and the weight of the asked words (key, session, word, weight) that runs from there hold.
+
+    Weights are added where a word's range begins and taken away where it ends, so no start is listed but these.
+    """
+    from pyspark.sql import Window
+
+    met = asked.join(ranges, ["session", "word"])
+    ends = met.select(key, F.explode(F.array(F.struct(F.col("low").alias("low"), F.col("weight").alias("d")), F.struct((F.col("high") + 1).alias("low"), (-F.col("weight")).alias("d")))).alias("x"))
+    steps = ends.groupBy(key, F.col("x.low").alias("low")).agg(F.sum("x.d").alias("d"))
+    w = Window.partitionBy(key).orderBy("low")
+    return steps.select(key, "low", (F.lead("low").over(w) - 1).alias("high"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("held"))
+
+
 def overlap_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id", session: str = "session", size: int = 10) -> DataFrame:
     """The window of ``size`` cues that shares most distinct words with a quote: (quote_id, at, score), the earliest of the best.
 
-    ``quotes`` has id, session, text; ``cues`` session, idx, text. A cue's word counts for each window that holds the cue;
-    quotes meet windows by (session, word), never all by all.
+    ``quotes`` has id, session, text; ``cues`` session, idx (from 0), text. Windows that hold a word are ranges of starts;
+    quotes meet these by (session, word), and a sweep over their ends counts the words that each start holds.
     """
     low = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    asked = quotes.select(quote_id, session, low("text").alias("_w")).withColumn("_n", F.size("_w"))
-    words = asked.select(quote_id, session, "_n", F.explode("_w").alias("word"))
-    told = cues.select(session, "idx", F.explode(low("text")).alias("word"))
-    met = words.join(told, [session, "word"]).select(quote_id, "_n", "word", F.explode(F.sequence(F.greatest(F.col("idx") - (size - 1), F.lit(0)), F.col("idx"))).alias("at"))
-    scored = met.groupBy(quote_id, "_n", "at").agg(F.count_distinct("word").alias("c")).groupBy(quote_id, "_n").agg(F.max_by(F.struct("at", "c"), F.struct(F.col("c"), -F.col("at"))).alias("b"))
-    return scored.select(quote_id, F.col("b.at").cast("long").alias("at"), (F.col("b.c") / F.col("_n")).alias("score"))
+    asked = quotes.select(F.col(quote_id).alias("quote"), F.col(session).alias("session"), low("text").alias("w")).withColumn("n", F.size("w"))
+    words = asked.select("quote", "session", F.explode("w").alias("word"), F.lit(1).alias("weight"))
+    told = cues.select(F.col(session).alias("session"), "idx", F.explode(low("text")).alias("word"))
+    best = _sweep(words, _ranges(told, size), "quote").groupBy("quote").agg(F.max_by(F.struct("low", "held"), F.struct(F.col("held"), -F.col("low"))).alias("b"))
+    return best.join(asked.select("quote", "n"), "quote").select(F.col("quote").alias(quote_id), F.col("b.low").cast("long").alias("at"), (F.col("b.held") / F.col("n")).alias("score"))
 
 
 def _rarest(words: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
@@ -133,59 +154,73 @@ def exact_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id
     return first.select(F.col("quote").alias(quote_id), F.col("b.idx").cast("long").alias("at"), F.col("b.size").cast("long").alias("size"), F.col("b.t_start").alias("start"), F.col("b.e").alias("end"))
 
 
-def _in_order(quote, window):
-    """Share of quote words met in order from the best start of the window; all skips since a start count against the gap of two.
+def _bound(values: dict, f):
+    """``f`` of columns that are computed once, as the fields of a lambda's variable, lest they be computed again within its lambdas."""
+    return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), f)[0]
+
 
-    A start at the quote's first word does at least as well as one before it, so only those are tried. The arrays are
-    bound once, as the value of a lambda, lest they be computed again at every step.
+def _best_of_runs(words, quote, run, ordered: bool):
+    """(score, size) of the best run from one start, the longest of equals; ``run`` holds the normal forms of the cues from there on.
+
+    All sizes are scored from one pass: each quote word has the cue where it first stands, the quote has the cue where it
+    first ends, and of each place of the quote's first word the walk in order, in which all skips since the start count
+    against the gap of two, has the cues where it went on. A size takes in what lies before its last cue.
     """
+    told = F.flatten(F.transform(run, lambda t, c: F.transform(F.filter(F.split(t, " "), lambda w: w != ""), lambda w: F.struct(c.alias("c"), w.alias("w")))))
 
-    def best(s):
-        quote, window = s["q"], s["w"]
+    def walk(s, i):
+        def step(t, j):
+            same = F.get(s["w"], j) == F.get(s["q"], F.size(t["hits"]))
+            lost = (F.size(t["hits"]) > 0) & (j - (i + F.size(t["hits"])) > 2)
+            on = F.struct(F.array_append(t["hits"], F.get(s["c"], j)).alias("hits"), F.lit(False).alias("stop"))
+            return F.when(t["stop"] | (F.size(t["hits"]) >= F.size(s["q"])), t).when(same, on).otherwise(F.struct(t["hits"].alias("hits"), lost.alias("stop")))
 
-        def one(i):
-            def step(t, j):
-                go_on = t["n"] < F.size(quote)
-                same = F.get(window, j) == F.get(quote, t["n"])
-                return F.when(t["stop"] | ~go_on, t).when(same, F.struct((t["n"] + 1).alias("n"), F.lit(False).alias("stop"))).otherwise(F.struct(t["n"].alias("n"), ((t["n"] > 0) & (j - (i + t["n"]) > 2)).alias("stop")))
+        return F.aggregate(F.sequence(i, F.size(s["w"]) - 1), F.struct(F.array().cast("array<int>").alias("hits"), F.lit(False).alias("stop")), step, lambda t: t["hits"])
 
-            return F.aggregate(F.sequence(i, F.size(window) - 1), F.struct(F.lit(0).alias("n"), F.lit(False).alias("stop")), step, lambda t: t["n"])
+    def scored(s):
+        joined = F.array_join(F.filter(s["run"], lambda x: x != ""), " ")
+        at = F.instr(joined, s["t"])
+        long = lambda k: F.length(F.array_join(F.filter(F.slice(s["run"], F.lit(1), k), lambda x: x != ""), " "))
+        whole = F.when(at > 0, F.filter(F.sequence(F.lit(1), F.size(s["run"])), lambda k: long(k) >= at + F.length(s["t"]) - 1)[0])
+        firsts = F.transform(s["q"], lambda w: F.get(s["c"], F.array_position(s["w"], w).cast("int") - 1))
+        starts = F.filter(F.when(F.size(s["w"]) > 0, F.sequence(F.lit(0), F.size(s["w"]) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get(s["w"], i) == F.get(s["q"], F.lit(0)))
+        walks = F.transform(starts, lambda i: walk(s, i)) if ordered else F.array().cast("array<array<int>>")
+        return _bound({"firsts": firsts, "walks": walks, "whole": whole, "n": F.size(s["q"]), "sizes": F.sequence(F.lit(1), F.size(s["run"]))}, lambda u: F.array_max(F.transform(u["sizes"], lambda k: sized(u, k))))
 
-        starts = F.filter(F.sequence(F.lit(0), F.size(window) - 1), lambda i: F.get(window, i) == F.get(quote, F.lit(0)))
-        return F.coalesce(F.array_max(F.transform(starts, one)), F.lit(0)) / F.size(quote)
+    def sized(u, k):
+        share = F.size(F.filter(u["firsts"], lambda c: c < k)) / u["n"]
+        order = F.coalesce(F.array_max(F.transform(u["walks"], lambda h: F.size(F.filter(h, lambda c: c < k)))), F.lit(0)) / u["n"]
+        fuzzy = F.greatest(order * 0.9, share * 0.7) if ordered else share
+        return F.struct(F.when(u["whole"] <= k, F.lit(1.0)).otherwise(fuzzy).alias("score"), k.alias("size"))
 
-    return F.transform(F.array(F.struct(quote.alias("q"), window.alias("w"))), best)[0]
+    return _bound({"q": words, "t": quote, "run": run, "c": F.transform(told, lambda x: x["c"]), "w": F.transform(told, lambda x: x["w"])}, scored)
 
 
 def fuzzy_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id", session: str = "session", most: int = 30, ordered: bool = True) -> DataFrame:
     """The best run of up to ``most`` cues by ``max(.9 in-order share, .7 word share)``, 1 if it holds the quote: (quote_id, at, size, score).
 
     Below .5 (quotes of under 10 words) or .35 there is no match. The first strictly best counts, runs taken by start,
-    then from long to short. A run that passes shares a known part of the quote's words, so quotes meet starts by the
-    words of the runs, and only starts that share enough of them are scored. Quotes of at most three words, which can
-    match inside words, meet every start of their session.
+    then from long to short. A run that passes shares a known part of the quote's words; a sweep over the ranges of starts
+    that hold them gives the starts that share enough, and only these get their cues, each of which is scored in one pass
+    for all sizes. Quotes of at most three words, which can match inside words, meet every start of their session.
     """
     from pyspark.sql import Window
 
     from plenum.functions.text import match_form
 
-    asked = quotes.select(quote_id, session, match_form(F.col("text")).alias("_q")).filter("_q <> ''").withColumn("_w", F.split("_q", " ")).withColumn("_t", F.when(F.size("_w") < 10, 0.5).otherwise(0.35))
-    w = Window.partitionBy(session).orderBy("idx").rowsBetween(0, most - 1)
-    runs = cues.withColumn("_run", F.collect_list(match_form(F.col("text"))).over(w)).select(session, "idx", "_run")
-    vocabulary = runs.select(session, "idx", F.explode(F.array_distinct(F.split(F.array_join("_run", " "), " "))).alias("word"))
-    words = asked.filter(F.size("_w") > 3).select(quote_id, session, "_t", F.size("_w").alias("_n"), F.explode("_w").alias("word"))
+    asked = quotes.select(F.col(quote_id).alias("quote"), F.col(session).alias("session"), match_form(F.col("text")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " ")).withColumn("t", F.when(F.size("w") < 10, 0.5).otherwise(0.35))
+    told = cues.select(F.col(session).alias("session"), "idx", match_form(F.col("text")).alias("c"))
+    vocabulary = told.select("session", "idx", F.explode(F.array_distinct(F.split("c", " "))).alias("word"))
+    words = asked.filter(F.size("w") > 3).select("quote", "session", F.explode("w").alias("word")).groupBy("quote", "session", "word").agg(F.count(F.lit(1)).alias("weight"))
     # A quote inside a run shares all its words but the first and last; another passing run shares t / .9 of them.
-    shared = words.join(vocabulary, [session, "word"]).groupBy(quote_id, session, "idx", "_t", "_n").agg(F.count(F.lit(1)).alias("_c"))
-    starts = shared.filter((F.col("_c") >= F.col("_n") * F.col("_t") / 0.9 - 1e-9) | (F.col("_c") >= F.col("_n") - 2)).select(quote_id, session, "idx")
-    starts = starts.unionByName(asked.filter(F.size("_w") <= 3).join(runs.select(session, "idx"), session).select(quote_id, session, "idx"))
-    tried = starts.distinct().join(asked, [quote_id, session]).join(runs, [session, "idx"]).withColumn("_size", F.explode(F.sequence(F.lit(1), F.size("_run"))))
-    text = F.trim(F.array_join(F.filter(F.slice("_run", 1, F.col("_size")), lambda x: x != ""), " "))
-    tried = tried.withColumn("_text", text).withColumn("_x", F.split("_text", " "))
-    share = F.size(F.filter("_w", lambda x: F.array_contains(F.col("_x"), x))) / F.size("_w")
-    fuzzy = F.greatest(_in_order(F.col("_w"), F.col("_x")) * 0.9, share * 0.7) if ordered else share
-    scored = tried.withColumn("score", F.when(F.contains(F.col("_text"), F.col("_q")), 1.0).otherwise(fuzzy)).filter(F.col("score") >= F.col("_t"))
-    best = scored.groupBy(quote_id).agg(F.max_by(F.struct("idx", "_size", "score"), F.struct(F.col("score"), -F.col("idx"), F.col("_size"))).alias("b"))
-    return best.select(quote_id, F.col("b.idx").cast("long").alias("at"), F.col("b._size").cast("long").alias("size"), F.col("b.score").alias("score"))
+    need = F.least(F.ceil(F.size("w") * F.col("t") / (0.9 if ordered else 1.0) - 1e-9), F.size("w") - 2)
+    shared = _sweep(words, _ranges(vocabulary, most), "quote").join(asked.select("quote", need.alias("need")), "quote").filter(F.col("held") >= F.col("need"))
+    starts = shared.select("quote", F.explode(F.sequence("low", "high")).alias("idx"))
+    every = asked.filter(F.size("w") <= 3).select("session", "quote").join(told.select("session", "idx"), "session").select("quote", "idx")
+    runs = told.select("session", "idx", F.collect_list("c").over(Window.partitionBy("session").orderBy("idx").rowsBetween(0, most - 1)).alias("run"))
+    tried = starts.unionByName(every).join(asked, "quote").join(runs, ["session", "idx"]).withColumn("best", _best_of_runs(F.col("w"), F.col("q"), F.col("run"), ordered))
+    best = tried.filter(F.col("best.score") >= F.col("t")).groupBy("quote").agg(F.max_by(F.struct("idx", "best.size", "best.score"), F.struct("best.score", -F.col("idx"))).alias("b"))
+    return best.select(F.col("quote").alias(quote_id), F.col("b.idx").cast("long").alias("at"), F.col("b.size").cast("long").alias("size"), F.col("b.score").alias("score"))
 
 
 def single_cue_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id", session: str = "session", share: float = 0.7, ahead: int = 5) -> DataFrame:
@@ -232,16 +267,34 @@ def resolve_indices(analyses: DataFrame, segments: DataFrame, *, item: str, sess
 def substring_ratio(pairs: DataFrame, *, pair_id: str, left: str = "a", right: str = "b") -> DataFrame:
     """Length of the longest common substring of blocked pairs over the length of the first: (pair_id, ratio).
 
-    Equal characters of a pair meet by equality; the longest run on one diagonal is an island of consecutive places.
+    Runs of 1, 2, 4, ... characters have hashes made of two of half their length. The longest common length is then put
+    together from the longest power down: a length is common if the texts share a hash of it, and so is every shorter one.
+    A pair takes its length times the logarithm of it, within its row. Hashes have 64 bits; null texts share nothing.
     """
-    from pyspark.sql import Window
-
-    chars = lambda c, at: F.posexplode(F.filter(F.split(c, ""), lambda x: x != "")).alias(at, "ch")
-    a, b = pairs.select(pair_id, chars(left, "i")), pairs.select(pair_id, chars(right, "j"))
-    same = a.join(b, [pair_id, "ch"]).withColumn("d", F.col("i") - F.col("j"))
-    island = F.col("i") - F.row_number().over(Window.partitionBy(pair_id, "d").orderBy("i"))
-    longest = same.withColumn("g", island).groupBy(pair_id, "d", "g").agg(F.count(F.lit(1)).alias("n")).groupBy(pair_id).agg(F.max("n").alias("n"))
-    return pairs.join(longest, pair_id, "left").select(pair_id, F.coalesce(F.try_divide(F.col("n"), F.length(left)), F.lit(0.0)).alias("ratio"))
+    none = F.array().cast("array<bigint>")
+    chars = lambda c: F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.xxhash64(x))
+    pairwise = lambda first, second, n, skip: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.get(first, i), F.get(second, i + skip)))).otherwise(none)
+    power = lambda k: F.call_function("shiftleft", F.lit(1), k)
+
+    def doubled(h, k):
+        last = F.element_at(h, -1)
+        return F.array_append(h, pairwise(last, last, F.size(last) - power(k - 1), power(k - 1)))
+
+    def longer(s, held, k):
+        more = lambda g, h: pairwise(g, h, F.size(h) - s["n"], s["n"])
+        both = F.array(F.struct(more(s["a"], F.get(held["a"], k)).alias("a"), more(s["b"], F.get(held["b"], k)).alias("b")))
+        return F.transform(both, lambda c: F.when(F.arrays_overlap(c["a"], c["b"]), F.struct((s["n"] + power(k)).alias("n"), c["a"].alias("a"), c["b"].alias("b"))).otherwise(s))[0]
+
+    texts = pairs.select(pair_id, F.length(left).alias("long"), chars(left).alias("a"), chars(right).alias("b")).withColumn("most", F.least(F.size("a"), F.size("b")))
+    top = F.floor(F.log2(F.col("most").cast("double"))).cast("int")
+    powers = F.when(top > 0, F.sequence(F.lit(1), top)).otherwise(F.array().cast("array<int>"))
+    begun = F.struct(F.array("a").alias("a"), F.array("b").alias("b"))
+    held = F.aggregate(powers, begun, lambda s, k: F.struct(doubled(s["a"], k).alias("a"), doubled(s["b"], k).alias("b")))
+    zeros = lambda c: F.array_repeat(F.lit(0).cast("long"), F.size(c) + 1)
+    start = F.struct(F.lit(0).alias("n"), zeros("a").alias("a"), zeros("b").alias("b"))
+    search = _bound({"held": held, "start": start, "down": F.reverse(F.sequence(F.lit(0), top))}, lambda x: F.aggregate(x["down"], x["start"], lambda s, k: longer(s, x["held"], k), lambda s: s["n"]))
+    found = F.when(F.col("most") > 0, search)
+    return texts.select(pair_id, F.coalesce(F.try_divide(found, F.col("long")), F.lit(0.0)).alias("ratio"))
 
 
 def by_ids(rows: DataFrame, wanted: DataFrame, *, key: str, partition: str) -> DataFrame:

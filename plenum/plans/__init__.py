@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("text_queries", "score_queries", "chunk_queries", "match_queries", "state_queries", "source_queries")
+MODULES = ("text_queries", "score_queries", "chunk_queries", "match_queries", "state_queries", "source_queries", "flow_queries")
 
 
 def _load():

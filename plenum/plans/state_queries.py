@@ -297,15 +297,3 @@ def s9_month_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s11_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored files of the events table; times differ between copies of the tables, so there is no SQL."""
     return readers.listing(spark, f"{sf_dir}/events.parquet").select("key", "size")
-
-
-@query("SELECT event_id, user_id, value FROM events")
-def w1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table's files as a stream, each batch appended to a shared folder; once all files are taken, what was written."""
-    path = new_folder(spark, "ingest")
-
-    def append(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")  # a batch that runs again replaces its own rows
-
-    W.ingest(spark, f"{sf_dir}/event*.parquet", "event_id LONG, user_id LONG, value DOUBLE", append, checkpoint=f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("event_id", "user_id", "value")

@@ -11,9 +11,14 @@ from plenum import schemas
 from plenum.functions.text import cue_seconds, id_date, parse_date
 
 
-def sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session documents, one JSON file each; the date comes from the document, else from the file's name. Broken files keep their text in ``_corrupt_record``."""
-    rows = spark.read.schema(schemas.RAW_SESSION + ", _corrupt_record STRING").option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+def sessions(spark: SparkSession, path: str, *, multi_line: bool = True, files: int | None = None) -> DataFrame:
+    """Session documents; the date comes from the document, else from the file's name. Broken ones keep their text in ``_corrupt_record``.
+
+    A file is one JSON document or a list of them, or without ``multi_line`` one document a line. With ``files`` it is a
+    stream that takes so many files a batch.
+    """
+    reader = spark.read if files is None else spark.readStream.option("maxFilesPerTrigger", files)
+    rows = reader.schema(schemas.RAW_SESSION + ", _corrupt_record STRING").option("multiLine", multi_line).option("mode", "PERMISSIVE").json(path)
     return rows.withColumns({"file": F.col("_metadata.file_path"), "session_date": F.coalesce(parse_date(F.col("metadata.sittingDate")), id_date(F.col("_metadata.file_path")))})
 
 

@@ -1,22 +1,16 @@
-"""Streams (W1-W5) and their batch twins."""
+"""Streams of state (W2-W5) and their batch twins; W1 is ``plenum.streaming.ingest``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Status names of rendering services.
 STATUS_NAMES = {"pending": "queued", "queued": "queued", "processing": "rendering", "running": "rendering", "rendering": "rendering", "completed": "completed", "success": "completed", "failed": "failed", "error": "failed"}
 
 
-def ingest(spark: SparkSession, path: str, schema: str, step: Callable[[DataFrame, int], None], *, checkpoint: str, files: int = 10):
-    """New files go through ``step`` (the batch operators) in small batches; a restart goes on after the last finished batch."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def attempt_outcomes(attempts: DataFrame, *, date: str = "date", most: int = 2) -> DataFrame:
     """W2, batch: the latest outcome of each date from (date, attempt, result, at), result ``ok``, ``server_error`` or ``error``.
 
@@ -29,32 +23,52 @@ def attempt_outcomes(attempts: DataFrame, *, date: str = "date", most: int = 2)
     return last.select(date, status.alias("status"), "attempts", F.col("l.at").alias("last_checked"))
 
 
-def distinct_attempts(stream: DataFrame, *, date: str = "date", at: str = "at", horizon: str = "14 days") -> DataFrame:
-    """W2, stream: attempts delivered once within the re-check horizon."""
-    return stream.withWatermark(at, horizon).dropDuplicatesWithinWatermark([date, "attempt"])
-
-
 def stream_attempts(stream: DataFrame, *, date: str = "date", at: str = "at", horizon: str = "14 days", most: int = 2) -> DataFrame:
     """W2, stream: the outcome of a date after each batch that brings attempts of it; update mode, as the batch twin for all that came so far.
 
-    State: of each attempt of the date the first delivery by ``at``, in whatever order they come.
+    State: a map of each date's attempts to their first delivery by ``at``, in whatever order they come. Attempts later than
+    the horizon behind the latest are dropped. A date is forgotten, and told no more, when the stream has passed its latest
+    attempt by the horizon and the watermark's delay of the same length; an attempt after that begins it anew. The state
+    lives in RocksDB, which the session is set to.
     """
     import pandas as pd
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        seen = {a: (when, result) for a, when, result in zip(*state.get, strict=True)} if state.exists else {}
-        for frame in frames:
-            for row in frame.itertuples():
-                told = (row.at.to_pydatetime(), row.result)
-                seen[int(row.attempt)] = min(seen.get(int(row.attempt), told), told)
-        attempts = sorted(seen)
-        state.update((attempts, [seen[a][0] for a in attempts], [seen[a][1] for a in attempts]))
-        when, result = seen[attempts[-1]]
-        status = "done" if result == "ok" else "no_session" if result == "server_error" or len(seen) >= most else "retry"
-        yield pd.DataFrame({"date": [key[0]], "status": [status], "attempts": [len(seen)], "last_checked": [when]})
-
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    kept = int(pd.Timedelta(horizon).total_seconds() * 1000)
+
+    class Attempts(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.seen = handle.getMapState("seen", "attempt long", "at timestamp, result string")
+            self.due = handle.getValueState("due", "due long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            for frame in rows:
+                for row in frame.itertuples():
+                    attempt, told = (int(row.attempt),), (row.at.to_pydatetime(), row.result)
+                    if not self.seen.containsKey(attempt) or told < tuple(self.seen.getValue(attempt)):
+                        self.seen.updateValue(attempt, told)
+            found = {k[0]: tuple(v) for k, v in self.seen.iterator()}
+            when, result = found[max(found)]
+            status = "done" if result == "ok" else "no_session" if result == "server_error" or len(found) >= most else "retry"
+            latest = max(pd.Timestamp(v[0]).value // 1_000_000 for v in found.values()) + kept
+            if self.due.exists():
+                self.handle.deleteTimer(self.due.get()[0])
+            self.handle.registerTimer(latest)
+            self.due.update((latest,))
+            yield pd.DataFrame({"date": [key[0]], "status": [status], "attempts": [len(found)], "last_checked": [when]})
+
+        def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+            self.seen.clear()
+            self.due.clear()
+            yield pd.DataFrame({"date": pd.Series([], dtype=str), "status": pd.Series([], dtype=str), "attempts": pd.Series([], dtype="int64"), "last_checked": pd.Series([], dtype="datetime64[ns]")})
+
+        def close(self) -> None:
+            pass
+
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = stream.withWatermark(at, horizon).select(F.col(date).cast("string").alias("date"), F.col("attempt").cast("long").alias("attempt"), "result", F.col(at).alias("at"))
-    return rows.groupBy("date").applyInPandasWithState(fold, "date string, status string, attempts long, last_checked timestamp", "attempts array<long>, ats array<timestamp>, results array<string>", "update", "NoTimeout")
+    return rows.groupBy("date").transformWithStateInPandas(Attempts(), "date string, status string, attempts long, last_checked timestamp", "update", "EventTime")
 
 
 def job_states(events: DataFrame, *, job: str = "job_id", order: str = "at", as_of: str | None = None, timeout_seconds: int = 3600) -> DataFrame:

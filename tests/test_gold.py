@@ -254,18 +254,6 @@ def test_streams_equal_batch(spark, tmp_path):
     assert {r.job_id: r.error for r in W.job_states(frame, as_of="2024-01-02 00:00:00").collect()}["1"] == "timeout"
 
 
-def test_ingest_goes_on_after_restart(spark, tmp_path):
-    seen = []
-    rows = spark.range(10).coalesce(1)
-    rows.write.mode("append").parquet(str(tmp_path / "in"))
-    step = lambda df, batch: seen.append(df.count())
-    for _ in range(2):
-        W.ingest(spark, str(tmp_path / "in"), "id long", step, checkpoint=str(tmp_path / "c")).awaitTermination()
-    rows.write.mode("append").parquet(str(tmp_path / "in"))
-    W.ingest(spark, str(tmp_path / "in"), "id long", step, checkpoint=str(tmp_path / "c")).awaitTermination()
-    assert [n for n in seen if n] == [10, 10]
-
-
 def test_event_windows_equal_twin(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     events.coalesce(1).write.parquet(str(tmp_path / "e"))
