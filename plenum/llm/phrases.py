@@ -4,8 +4,8 @@
    its subphrases, without its last and without its first word, have reached the least count, for one full cycle; words
    are counted from the first scan on. So lengths interleave: common phrases grow while rare words are still counted, and
    scans end when no phrase is left within its cycle.
-2. When a phrase reached the least count is kept in a table of fixed size, by hash; tasks look subphrases up there. Two
-   phrases of one slot share the earlier scan, which only counts more phrases than needed.
+2. When a phrase reached the least count is kept in a table of fixed size, at two slots by hash, of which the later scan
+   holds; tasks look subphrases up there. Slots that phrases share only make more phrases counted than needed.
 3. Counts go by 62-bit hashes, summed within a task first. Those within their cycle are one written table, which each scan
    adds to; what has completed its cycle is left out of the next.
 4. A last pass counts the phrases found by their texts, so that a hash or slot that phrases share changes no result. Cuts,
@@ -33,7 +33,7 @@ WITHIN_PERCENT = 80
 FIRST = 2000
 SCALE = 2_000_000
 SHARDS = 3
-SLOT_BITS = 24
+SLOT_BITS = 25
 #: Occurrences that a task sums before it passes counts on.
 SUMMED = 1 << 22
 TEXTS = 1 << 18
@@ -85,8 +85,11 @@ class _Words:
         return out, ends - lengths, ends
 
 
-def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return ((hashes >> np.uint64(2)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+def _when(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The scan at which phrases reached the least count, or an earlier one; ``NEVER`` if they have not."""
+    bits, mask = np.uint64(len(table).bit_length() - 1), np.uint64(len(table) - 1)
+    first = table[((hashes >> np.uint64(2)) & mask).astype(np.int64)]
+    return np.maximum(first, table[((hashes >> (bits + np.uint64(2))) & mask).astype(np.int64)])
 
 
 def _lang_hashes(column: pa.Array) -> np.ndarray:
@@ -94,7 +97,7 @@ def _lang_hashes(column: pa.Array) -> np.ndarray:
     return span_hashes(data, offsets[:-1], offsets[1:])
 
 
-def _scan(docs: DataFrame, shared: Broadcast, step: int, shards: int, longest: int, bits: int) -> DataFrame:
+def _scan(docs: DataFrame, shared: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
     """(h, n): counts of the phrases of a shard that are within their cycle at this step."""
 
     def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -112,7 +115,7 @@ def _scan(docs: DataFrame, shared: Broadcast, step: int, shards: int, longest: i
                     if k == 1:
                         active &= step < shards
                     elif len(hashes):
-                        since = when[_slot(before, bits)]
+                        since = _when(when, before)
                         start = np.maximum(since[:-1], since[1:]).astype(np.int16) + 1
                         active &= (start <= step) & (step < start + shards)
                     found = hashes[active]
@@ -134,15 +137,15 @@ def _found(docs: DataFrame, scratch: Scratch, least: int, longest: int, shards:
     reached, step, end, running = np.full(1 << bits, NEVER, np.int8), 0, shards, None
     while step < end:
         shared = docs.sparkSession.sparkContext.broadcast(_Slots(reached))
-        new = _scan(docs.filter(F.col("shard") == step % shards), shared, step, shards, longest, bits).withColumn("seen", F.lit(step))
+        new = _scan(docs.filter(F.col("shard") == step % shards), shared, step, shards, longest).withColumn("seen", F.lit(step))
         rows = new if running is None else new.unionByName(running.filter(F.col("seen") > step - shards))
         sums = scratch.cut(rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")))
         if running is not None:
             scratch.drop(running)
         running = sums
         shared.destroy()
-        slot = F.shiftrightunsigned("h", 2).bitwiseAND((1 << bits) - 1)
-        now = bit_set(running.filter(F.col("n") >= least).select(slot.alias("slot")), bits)
+        slots = F.array(*(F.shiftrightunsigned("h", by).bitwiseAND((1 << bits) - 1) for by in (2, bits + 2)))
+        now = bit_set(running.filter(F.col("n") >= least).select(F.explode(slots).alias("slot")), bits)
         fresh = (np.unpackbits(now.view(np.uint8), bitorder="little") > 0) & (reached == NEVER)
         if fresh.any():
             reached[fresh] = step
@@ -161,7 +164,7 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
 
 
-def _counts(docs: DataFrame, shared: Broadcast, least: int, longest: int, bits: int) -> DataFrame:
+def _counts(docs: DataFrame, shared: Broadcast, least: int, longest: int) -> DataFrame:
     """(lang, k, phrase, f) of all phrases with the least count; k = 0 has the number of all words of a language."""
 
     def merged(parts: list[pa.Table]) -> pa.Table:
@@ -169,7 +172,7 @@ def _counts(docs: DataFrame, shared: Broadcast, least: int, longest: int, bits:
         return out.rename_columns(["lang", "k", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, parts, held = shared.value.when != NEVER, [], 0
+        when, parts, held = shared.value.when, [], 0
 
         def add(langs: pa.Array, rows: np.ndarray, k: int, phrases: pa.Array) -> None:
             nonlocal held
@@ -186,7 +189,7 @@ def _counts(docs: DataFrame, shared: Broadcast, least: int, longest: int, bits:
                 parts.append(pa.table({"lang": langs, "k": pa.array(np.zeros(j - i, np.int32)), "phrase": pa.array([""] * (j - i)), "f": pa.array(n.astype(np.int64))}))
                 for k in range(1, longest + 1):
                     hashes, inside = words.phrases(k)
-                    at = np.flatnonzero(inside & frequent[_slot(hashes, bits)])
+                    at = np.flatnonzero(inside & (_when(when, hashes) != NEVER))
                     for a in range(0, len(at), TEXTS):
                         some = at[a : a + TEXTS]
                         add(langs, words.rows[some], k, _gathered(text, starts[some], ends[some + k - 1]))
@@ -224,7 +227,7 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     dealt = docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path)
     reached = _found(dealt, scratch, least, longest, shards, bits)
     shared = docs.sparkSession.sparkContext.broadcast(_Slots(reached))
-    counts = scratch.cut(_counts(dealt, shared, least, longest, bits))
+    counts = scratch.cut(_counts(dealt, shared, least, longest))
     shared.destroy()
     delete(docs.sparkSession, path)
     return ranked(counts, within_percent, first)
