@@ -42,7 +42,7 @@ def stream_attempts(stream: DataFrame, *, date: str = "date", at: str = "at", ho
             self.seen = handle.getMapState("seen", "attempt long", "at timestamp, result string")
             self.due = handle.getValueState("due", "due long")
 
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             for frame in rows:
                 for row in frame.itertuples():
                     attempt, told = (int(row.attempt),), (row.at.to_pydatetime(), row.result)
@@ -58,7 +58,7 @@ def stream_attempts(stream: DataFrame, *, date: str = "date", at: str = "at", ho
             self.due.update((latest,))
             yield pd.DataFrame({"date": [key[0]], "status": [status], "attempts": [len(found)], "last_checked": [when]})
 
-        def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self.seen.clear()
             self.due.clear()
             yield pd.DataFrame({"date": pd.Series([], dtype=str), "status": pd.Series([], dtype=str), "attempts": pd.Series([], dtype="int64"), "last_checked": pd.Series([], dtype="datetime64[ns]")})
