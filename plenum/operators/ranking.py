@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plenum.functions.text import quote_key
+from plenum.sources.shared import new_folder
 
 RANGES = 256
 
@@ -32,30 +33,55 @@ def overlap_dedup(moments: DataFrame, *, quote: str = "quote", order: str = "pos
     return groups.select("r.*", "first_pos", "n_removed")
 
 
-def semantic_dedup(rows: DataFrame, edges: DataFrame, *, id_column: str, order: str, checkpoint) -> tuple[DataFrame, DataFrame]:
+def _decided(block):
+    """Of one block's edges (earlier, later, kept: whether the earlier row is known to stay) the later rows that these decide."""
+    import pandas as pd
+
+    before: dict = {}
+    for earlier, later, kept in zip(block["earlier"], block["later"], block["kept"], strict=True):
+        before.setdefault(later, []).append((earlier, None if pd.isna(kept) else bool(kept)))
+    out, more = {}, True
+    while more:  # once, and once more to see that it is done, as rows come in order
+        more = False
+        for later, rows in before.items():
+            if later not in out:
+                states = [out.get(e) if k is None else k for e, k in rows]
+                if any(states) or None not in states:
+                    out[later], more = not any(states), True
+    return pd.DataFrame({"id": pd.Series(list(out), dtype=block["later"].dtype), "kept": pd.Series(list(out.values()), dtype=bool)})
+
+
+def semantic_dedup(rows: DataFrame, edges: DataFrame, *, id_column: str, order: str, checkpoint, block_edges: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """D3: in order, a row goes if it is similar to a kept earlier one; (kept rows, decision log).
 
-    ``edges`` has (earlier, later, similarity) of ids over the threshold. In each round rows without an undecided earlier
-    neighbour are kept and their later neighbours go, which gives what the greedy pass gives. ``checkpoint`` cuts the
-    lineage of each round; there are as many rounds as the longest chain of decisions.
+    ``edges`` has (earlier, later, similarity) of ids over the threshold. They are dealt by the later row's place into ranges
+    of about ``block_edges``. In each round every range decides what its own edges and the decisions so far allow: a row goes
+    if an earlier neighbour stays, and stays if all of them go, which gives what the greedy pass gives. A chain is followed
+    within a range at once, so there are as many rounds as ranges that one chain of open decisions crosses. ``checkpoint``
+    cuts the lineage of each round.
     """
-    open_edges = checkpoint(edges.select("earlier", "later").distinct())
-    nodes = open_edges.select(F.col("earlier").alias("id")).unionByName(open_edges.select(F.col("later").alias("id"))).distinct()
-    open_nodes, gone = checkpoint(nodes), None
-    while not open_nodes.isEmpty():
-        keep = open_nodes.join(open_edges.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
-        drop = open_edges.join(keep.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id")).distinct()
-        gone = checkpoint(drop if gone is None else gone.unionByName(drop))
-        open_nodes = checkpoint(open_nodes.join(keep, "id", "left_anti").join(gone, "id", "left_anti"))
-        # Edges from rows that are gone, and to rows that are decided, no longer matter.
-        open_edges = checkpoint(open_edges.join(open_nodes.select(F.col("id").alias("earlier")), "earlier", "left_semi").join(open_nodes.select(F.col("id").alias("later")), "later", "left_semi"))
-    if gone is None:
-        return rows, edges.limit(0).select(F.col("earlier").alias("kept"), F.col("later").alias("removed"), "similarity")
+    import math
+
+    places = rows.select(F.col(id_column).alias("later"), F.col(order).alias("_at"))
+    placed = edges.select("earlier", "later").distinct().join(places, "later")
+    blocks = max(1, math.ceil(placed.count() / block_edges))
+    # Partition numbers are those of the written table.
+    held = checkpoint(placed.repartitionByRange(blocks, "_at", "later").sortWithinPartitions("_at", "later").withColumn("block", F.spark_partition_id()))
+    kind = dict(rows.dtypes)[id_column]
+    first = held.select(F.col("earlier").alias("id")).distinct().join(held.select(F.col("later").alias("id")).distinct(), "id", "left_anti")
+    known = checkpoint(first.withColumn("kept", F.lit(True)))
+    while not held.isEmpty():
+        told = held.join(known.select(F.col("id").alias("earlier"), "kept"), "earlier", "left")
+        new = checkpoint(told.groupBy("block").applyInPandas(lambda block: _decided(block.sort_values(["_at", "later"])), f"id {kind}, kept boolean"))
+        if new.isEmpty():
+            raise ValueError("edges have to lead from earlier to later rows")
+        known, held = known.unionByName(new), checkpoint(held.join(new.select(F.col("id").alias("later")), "later", "left_anti"))
+    gone = known.filter("NOT kept").select("id")
     kept = rows.join(gone.withColumnRenamed("id", id_column), id_column, "left_anti")
-    places = rows.select(F.col(id_column).alias("earlier"), F.col(order).alias("_at"))
-    log = edges.join(gone.withColumnRenamed("id", "later"), "later", "left_semi").join(gone.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(places, "earlier")
-    first = log.groupBy("later").agg(F.min_by(F.struct("earlier", "similarity"), F.struct("_at", "earlier")).alias("b"))
-    return kept, first.select(F.col("b.earlier").alias("kept"), F.col("later").alias("removed"), F.col("b.similarity").alias("similarity"))
+    starts = rows.select(F.col(id_column).alias("earlier"), F.col(order).alias("_at"))
+    log = edges.join(gone.withColumnRenamed("id", "later"), "later", "left_semi").join(gone.withColumnRenamed("id", "earlier"), "earlier", "left_anti").join(starts, "earlier")
+    best_of = log.groupBy("later").agg(F.min_by(F.struct("earlier", "similarity"), F.struct("_at", "earlier")).alias("b"))
+    return kept, best_of.select(F.col("b.earlier").alias("kept"), F.col("later").alias("removed"), F.col("b.similarity").alias("similarity"))
 
 
 def best(rows: DataFrame, *, group: str | Sequence[str], score: str, order: str, limit: int, least: float | None = None, keep: dict[str, Sequence[str]] | None = None) -> DataFrame:
@@ -70,8 +96,8 @@ def best(rows: DataFrame, *, group: str | Sequence[str], score: str, order: str,
 def rescored(moments: DataFrame, scores: DataFrame, *, id_column: str = "moment_id", group: str | None = None, initial: str = "viral_score", order: str = "pos") -> DataFrame:
     """External scores by id: initial_score, final_score and rank. Moments without one are dropped; without any score at all the initial ones rank.
 
-    Without a group the rank is over all rows: these are dealt by score into ranges of about equal size, ranked within each,
-    and each range goes on from the number of rows above it. Rows of one score are one range.
+    Without a group the rank is over all rows: these are dealt by score and order into ranges of about equal size, written to
+    the shared folder, ranked within each, and each range goes on from the number of rows above it.
     """
     if scores.isEmpty():
         joined = moments.withColumn("final_score", F.col(initial))
@@ -80,12 +106,12 @@ def rescored(moments: DataFrame, scores: DataFrame, *, id_column: str = "moment_
     joined = joined.withColumn("initial_score", F.col(initial))
     if group is not None:
         return joined.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("final_score"), order)))
-    cuts = joined.agg(F.percentile_approx(F.col("final_score").cast("double"), [i / RANGES for i in range(1, RANGES)])).first()[0] or []
-    bounds = F.array(*(F.lit(float(c)) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
-    span = F.coalesce(F.size(F.filter(bounds, lambda c: c < F.col("final_score").cast("double"))), F.lit(-1))
-    ranged = joined.withColumn("_range", span)
-    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most RANGES + 1 rows
-    above = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    # Ranges of score and order together, so that many rows of one score are several; their numbers are those of the written table.
+    path, spark = new_folder(moments.sparkSession, "ranges"), moments.sparkSession
+    joined.repartitionByRange(RANGES, F.desc("final_score"), F.col(order)).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most RANGES rows
+    above = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc("final_score"), order))
     return ranged.join(F.broadcast(above), "_range").withColumn("rank", (own + F.col("_above")).cast("int")).drop("_range", "_above")
 

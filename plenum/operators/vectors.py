@@ -62,17 +62,69 @@ def similar_pairs(rows: DataFrame, *, id_column: str, group: str, vector: str =
     return met.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
 
 
-def bucketed_pairs(rows: DataFrame, *, id_column: str, vector: str = "embedding", threshold: float = 0.85, bucket: float = 0.6, tables: int = 8) -> DataFrame:
-    """V2 without a group: candidates from random projections of unit vectors, checked exactly. Approximate in what it proposes."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def similar_pairs_of_all(rows: DataFrame, *, id_column: str, vector: str = "embedding", threshold: float = 0.85, pivots: int = 64) -> DataFrame:
+    """V2 without a group: (a, b, similarity) of all a < b with cosine over the threshold, exactly.
+
+    Unit vectors go to the cell of the nearest of some rows taken as pivots. Two of a similarity over the threshold lie
+    within a known distance, so a vector can only have partners beyond the plane between its own pivot and another if it
+    is as near to that plane; it visits those cells. Of two cells the vectors of the later visit the earlier. Cells are
+    dealt into blocks, and every two blocks that can hold pairs are compared as matrices in tasks, which give only pairs.
+    Rows without an id, and vectors that are null, zero or hold components null or not finite, meet nothing.
+    """
+    kind = dict(rows.select(F.col(id_column).alias("id")).dtypes)["id"]
+    finite = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))), F.lit(False))
+    size = norm(F.col(vector))
+    unit = rows.filter(finite & F.col(id_column).isNotNull()).filter(size > 0).select(F.col(id_column).alias("id"), F.transform(vector, lambda x: x.cast("double") / size).alias("v"))
+    chosen = [np.array(r.v) for r in unit.orderBy(F.xxhash64("id"), "v").limit(pivots).select("v").collect()]
+    far = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            homes, visits = [], []
+            for v in (np.asarray(x.values, np.float64) for x in batch.column(1)):
+                # Pivots of another width are of no use to a vector; without any, all of a width are one cell.
+                same = [k for k, p in enumerate(chosen) if len(p) == len(v)]
+                if not same:
+                    homes.append(-1)
+                    visits.append([])
+                    continue
+                points = np.array([chosen[k] for k in same])
+                d = ((points - v) ** 2).sum(axis=1)
+                own = int(d.argmin())
+                apart = np.sqrt(((points - points[own]) ** 2).sum(axis=1))
+                near = (d - d[own]) <= 2 * far * apart
+                homes.append(same[own])
+                visits.append([same[k] for k in np.flatnonzero(near) if k < own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(homes, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=["id", "v", "home", "visits"])
+
+    placed = unit.mapInArrow(place, f"id {kind}, v array<double>, home int, visits array<int>").withColumn("width", F.size("v"))
+    own = placed.select(F.col("home").alias("cell"), "width", "id", "v", F.lit(True).alias("own"))
+    both = own.unionByName(placed.select(F.explode("visits").alias("cell"), "width", "id", "v", F.lit(False).alias("own")))
+    blocks = lambda of: F.ceil(F.count_if(of) / PAIR_BLOCK).cast("int")
+    counts = both.groupBy("cell", "width").agg(blocks(F.col("own")).alias("homes"), blocks(~F.col("own")).alias("guests"))
+    dealt = both.join(counts, ["cell", "width"]).withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
+    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<x:int,y:int,within:boolean>>"))
+    meet = lambda x, y, within: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(within).alias("within"))
+    at = F.col("block")
+    keys = F.when(F.col("own"), F.concat(each("homes", lambda o: meet(F.least(o, at), F.greatest(o, at), True)), each("guests", lambda g: meet(at, g, False)))).otherwise(each("homes", lambda h: meet(h, at, False)))
+    met = dealt.select("cell", "width", F.explode(keys).alias("m"), F.struct("own", "block", "id", "v").alias("r")).groupBy("cell", "width", "m").agg(F.collect_list("r").alias("rows")).select("width", "m.x", "m.y", "m.within", "rows")
 
-    unit = F.transform(vector, lambda x: x.cast("double") / norm(F.col(vector)))
-    n = rows.filter(norm(F.col(vector)) > 0).select(F.col(id_column).alias("id"), array_to_vector(unit).alias("u"), F.col(vector).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=11).fit(n)
-    far = (2 - 2 * threshold) ** 0.5
-    pairs = model.approxSimilarityJoin(n, n, far, "d").filter("datasetA.id < datasetB.id")
-    return pairs.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), cosine(F.col("datasetA.v"), F.col("datasetB.v")).alias("similarity")).filter(F.col("similarity") > threshold)
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                width, x, y, within = (batch.column(c)[r].as_py() for c in range(4))
+                held = batch.column(4)[r].values
+                home, block, ids = np.asarray(held.field("own").to_pylist(), bool), np.asarray(held.field("block")), held.field("id")
+                v = np.asarray(held.field("v").flatten(), np.float64).reshape(len(ids), width)
+                left = np.flatnonzero(home & (block == x))
+                right = np.flatnonzero(home & (block == y)) if within else np.flatnonzero(~home & (block == y))
+                found = v[left] @ v[right].T
+                i, j = np.nonzero((found > threshold) & (not within or x != y or np.triu(np.ones(found.shape, bool), 1)))
+                a, b = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
+                turned = pc.greater(a, b)
+                yield pa.RecordBatch.from_arrays([pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(found[i, j])], names=["a", "b", "similarity"])
+
+    return met.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, *, query_id: str = "query_id", id_column: str = "vec_id", vector: str = "embedding", on: Sequence[str] = (), least: float | None = None, rank_by: str = "similarity") -> DataFrame:

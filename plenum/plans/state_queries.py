@@ -28,6 +28,11 @@ def v2_similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.similar_pairs(table(spark, sf_dir, "embeddings"), id_column="vec_id", group="label", threshold=0.3).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} > 0.35")
+def v2_pairs_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.similar_pairs_of_all(table(spark, sf_dir, "embeddings"), id_column="vec_id", threshold=0.35).withColumn("similarity", F.round("similarity", 6))
+
+
 _TOP = f"""SELECT query_id, vec_id, label, rank, round(score, 6) AS score FROM (SELECT b.vec_id AS query_id, a.vec_id, a.label, {_COS} AS score, row_number() OVER (PARTITION BY b.vec_id ORDER BY {_COS} DESC, a.vec_id)::INTEGER AS rank FROM embeddings a JOIN embeddings b ON WHERE_ ) WHERE rank <= 5"""
 
 
