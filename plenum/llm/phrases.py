@@ -6,16 +6,17 @@
    scans end when no phrase is left within its cycle.
 2. When a phrase reached the least count is kept in a table of fixed size, at two slots by hash, of which the later scan
    holds; tasks look subphrases up there. Slots that phrases share only make more phrases counted than needed.
-3. Counts go by 62-bit hashes, summed within a task first. Those within their cycle are one written table, which each scan
-   adds to; what has completed its cycle is left out of the next.
-4. A last pass counts the phrases found by their texts, so that a hash or slot that phrases share changes no result. Cuts,
-   containment and ranks follow as joins of that table.
+3. Counts go by 62-bit hashes (of a hundred million phrases two share one with a probability of a thousandth), summed
+   within a task first, with the first row that holds the phrase. Those within their cycle are one written table, which
+   each scan adds to; what has completed its cycle leaves it, and is kept if it has the least count.
+4. Each phrase that is kept gets its text from that row alone. Cuts, containment and ranks follow as joins.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenum.llm.bytetext import arrow_text, gram_hashes, lower_table, mix, signed, span_hashes, text_slices, token_spans
-from plenum.llm.tables import Scratch, bit_set, delete
+from plenum.llm.tables import Scratch, bit_set, delete, held, slot_of
 
 LONGEST = 4
 LEAST = 30
@@ -33,12 +34,12 @@ WITHIN_PERCENT = 80
 FIRST = 2000
 SCALE = 2_000_000
 SHARDS = 3
-SLOT_BITS = 25
+SLOT_BITS = 24
 #: Occurrences that a task sums before it passes counts on.
-SUMMED = 1 << 22
-TEXTS = 1 << 18
+SUMMED = 3 << 20
 NEVER = 127
 
+_ALL = np.uint64(0x51ED270B0A1F39C7)
 _LOWER = lower_table()
 _CUTS = np.zeros(256, bool)
 _CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -74,6 +75,10 @@ class _Words:
         grams, inside = gram_hashes(self.hashes, self.pieces, k)
         return (mix(grams ^ self.langs[self.rows[: len(grams)]]) & ~np.uint64(3)) | np.uint64(k - 1), inside
 
+    def totals(self) -> np.ndarray:
+        """Of each word the hash under which all words of its language are counted."""
+        return mix(self.langs ^ _ALL)[self.rows] & ~np.uint64(3)
+
     def texts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes in which one space stands after each word, with the words' starts and ends: each phrase is a slice."""
         lengths = self.ends - self.starts
@@ -98,18 +103,23 @@ def _lang_hashes(column: pa.Array) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, shared: Broadcast, step: int, shards: int, longest: int) -> DataFrame:
-    """(h, n): counts of the phrases of a shard that are within their cycle at this step."""
+    """(h, n, row): counts of the phrases of a shard that are within their cycle at this step, and a row that holds each."""
 
-    def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        hashes, counts = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(counts.astype(np.int64))], names=["h", "n"])
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        hashes, rows = (np.concatenate(x) for x in zip(*parts, strict=True))
+        hashes, first, counts = np.unique(hashes, return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(counts.astype(np.int64)), pa.array(rows[first])], names=["h", "n", "row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        when, parts, held = shared.value.when, [], 0
+        when, parts, waiting = shared.value.when, [], 0
         for batch in batches:
-            langs = _lang_hashes(batch.column(0))
-            for i, j, data, offsets in text_slices(batch.column(1)):
+            langs, names = _lang_hashes(batch.column(1)), np.asarray(batch.column(0), np.int64)
+            for i, j, data, offsets in text_slices(batch.column(2)):
                 words, before = _Words(data, offsets, langs[i:j]), None
+                rows = names[i:j][words.rows]
+                if step < shards:
+                    parts.append((words.totals(), rows))
+                    waiting += len(rows)
                 for k in range(1, longest + 1):
                     hashes, active = words.phrases(k)
                     if k == 1:
@@ -118,42 +128,46 @@ def _scan(docs: DataFrame, shared: Broadcast, step: int, shards: int, longest: i
                         since = _when(when, before)
                         start = np.maximum(since[:-1], since[1:]).astype(np.int16) + 1
                         active &= (start <= step) & (step < start + shards)
-                    found = hashes[active]
                     before = hashes
-                    if len(found):
-                        parts.append(found)
-                        held += len(found)
-                if held > SUMMED:
+                    if active.any():
+                        parts.append((hashes[active], rows[: len(hashes)][active]))
+                        waiting += len(parts[-1][0])
+                if waiting > SUMMED:
                     yield summed(parts)
-                    parts, held = [], 0
-        if held:
+                    parts, waiting = [], 0
+        if waiting:
             yield summed(parts)
 
-    return docs.select("lang", "text").mapInArrow(run, "h long, n long")
+    return docs.select("row", "lang", "text").mapInArrow(run, "h long, n long, row long")
 
 
-def _found(docs: DataFrame, scratch: Scratch, least: int, longest: int, shards: int, bits: int) -> np.ndarray:
-    """For each slot the scan at which a phrase of it reached the least count, or ``NEVER``."""
-    reached, step, end, running = np.full(1 << bits, NEVER, np.int8), 0, shards, None
+def _found(docs: DataFrame, scratch: Scratch, least: int, longest: int, shards: int, bits: int) -> DataFrame:
+    """(h, n, row) of all phrases with the least count, and of the words of each language together."""
+    spark = docs.sparkSession
+    reached, step, end, running, done = np.full(1 << bits, NEVER, np.int8), 0, shards, None, []
     while step < end:
-        shared = docs.sparkSession.sparkContext.broadcast(_Slots(reached))
+        shared = spark.sparkContext.broadcast(_Slots(reached))
         new = _scan(docs.filter(F.col("shard") == step % shards), shared, step, shards, longest).withColumn("seen", F.lit(step))
         rows = new if running is None else new.unionByName(running.filter(F.col("seen") > step - shards))
-        sums = scratch.cut(rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")))
+        sums = scratch.cut(rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("row").alias("row"), F.min("seen").alias("seen")))
         if running is not None:
             scratch.drop(running)
         running = sums
         shared.destroy()
+        frequent = running.filter(F.col("n") >= least)
         slots = F.array(*(F.shiftrightunsigned("h", by).bitwiseAND((1 << bits) - 1) for by in (2, bits + 2)))
-        now = bit_set(running.filter(F.col("n") >= least).select(F.explode(slots).alias("slot")), bits)
+        now = bit_set(frequent.select(F.explode(slots).alias("slot")), bits)
         fresh = (np.unpackbits(now.view(np.uint8), bitorder="little") > 0) & (reached == NEVER)
         if fresh.any():
             reached[fresh] = step
             end = step + 1 + shards
+        # What is in its last scan when the loop ends has completed its cycle, or would get nothing more.
+        over = F.col("seen") <= step - shards + 1 if step + 1 < end else F.lit(True)
+        done.append(scratch.cut(frequent.filter(over).select("h", "n", "row")))
         step += 1
-    if running is not None:
-        scratch.drop(running)
-    return reached
+    out = scratch.cut(reduce(DataFrame.unionByName, done))
+    scratch.drop(running, *done)
+    return out
 
 
 def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -164,46 +178,38 @@ def _gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Arra
     return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data[at])])
 
 
-def _counts(docs: DataFrame, shared: Broadcast, least: int, longest: int) -> DataFrame:
-    """(lang, k, phrase, f) of all phrases with the least count; k = 0 has the number of all words of a language."""
-
-    def merged(parts: list[pa.Table]) -> pa.Table:
-        out = pa.concat_tables(parts).group_by(["lang", "k", "phrase"]).aggregate([("f", "sum")])
-        return out.rename_columns(["lang", "k", "phrase", "f"])
+def _texts(docs: DataFrame, found: DataFrame, longest: int) -> DataFrame:
+    """(lang, k, phrase, f) of what was found, by the texts of the rows that hold it; k = 0 has the number of all words of a language."""
+    # A bit set of fixed size lets rows that are not wanted stay in their task; the join after it is exact.
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(found.select(slot_of("row").alias("slot"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        when, parts, held = shared.value.when, [], 0
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held(shared.value, np.asarray(batch.column(3), np.int64)))).select([0, 1, 2])
 
-        def add(langs: pa.Array, rows: np.ndarray, k: int, phrases: pa.Array) -> None:
-            nonlocal held
-            part = pa.table({"lang": langs.take(pa.array(rows)), "phrase": phrases}).group_by(["lang", "phrase"]).aggregate([([], "count_all")])
-            parts.append(pa.table({"lang": part["lang"], "k": pa.array(np.full(len(part), k, np.int32)), "phrase": part["phrase"], "f": part["count_all"]}))
-            held += len(part)
+    few = docs.select("row", "lang", "text", slot_of("row").alias("slot")).mapInArrow(wanted, "row long, lang string, text string")
+    of_row = found.groupBy("row").agg(F.collect_list(F.struct("h", "n")).alias("found"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashed = _lang_hashes(batch.column(0))
-            for i, j, data, offsets in text_slices(batch.column(1), 1 << 20):
-                words, langs = _Words(data, offsets, hashed[i:j]), batch.column(0).slice(i, j - i)
+            for r in range(batch.num_rows):
+                data, offsets = arrow_text(batch.column(1).slice(r, 1))
+                words, rows = _Words(data, offsets, hashed[r : r + 1]), batch.column(2)[r].values
+                hashes, counts = np.asarray(rows.field("h"), np.int64).view(np.uint64), np.asarray(rows.field("n"), np.int64)
+                order = np.argsort(hashes)
+                hashes, counts = hashes[order], counts[order]
                 text, starts, ends = words.texts()
-                n = np.bincount(words.rows, minlength=j - i)
-                parts.append(pa.table({"lang": langs, "k": pa.array(np.zeros(j - i, np.int32)), "phrase": pa.array([""] * (j - i)), "f": pa.array(n.astype(np.int64))}))
-                for k in range(1, longest + 1):
-                    hashes, inside = words.phrases(k)
-                    at = np.flatnonzero(inside & (_when(when, hashes) != NEVER))
-                    for a in range(0, len(at), TEXTS):
-                        some = at[a : a + TEXTS]
-                        add(langs, words.rows[some], k, _gathered(text, starts[some], ends[some + k - 1]))
-                if held > 4 * TEXTS:
-                    parts = [merged(parts)]
-                    held = len(parts[0])
-                    if held > 2 * TEXTS:
-                        yield from parts[0].to_batches()
-                        parts, held = [], 0
-        if parts:
-            yield from merged(parts).to_batches()
-
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, k int, phrase string, f long")
-    return counted.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f")).filter((F.col("f") >= least) | (F.col("k") == 0))
+                for k in range(longest + 1):
+                    own, inside = words.phrases(k) if k else (words.totals(), np.ones(len(words.starts), bool))
+                    at = np.flatnonzero(inside & np.isin(own, hashes))
+                    at = at[np.unique(own[at], return_index=True)[1]]
+                    if len(at):
+                        phrase = _gathered(text, starts[at], ends[at + k - 1]) if k else pa.array([""] * len(at))
+                        lang = pa.array([batch.column(0)[r].as_py()] * len(at), pa.string())
+                        yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(at), k, np.int32)), phrase, pa.array(counts[np.searchsorted(hashes, own[at])])], names=["lang", "k", "phrase", "f"])
+
+    return few.join(of_row, "row").select("lang", "text", "found").mapInArrow(run, "lang string, k int, phrase string, f long")
 
 
 def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = LONGEST, least: int = LEAST, within_percent: int = WITHIN_PERCENT, first: int = FIRST, shards: int = SHARDS, bits: int = SLOT_BITS) -> DataFrame:
@@ -222,13 +228,12 @@ def collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str = "la
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.coalesce(docs[f"`{lang_col}`"].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[f"`{text_col}`"].cast("string"), F.lit("")).alias("text"))
     path = f"{scratch.folder}/shards"
-    # Rows are dealt in turn, so that copies of one text are spread over the shards.
-    rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
-    dealt = docs.sparkSession.read.schema("lang string, text string, shard int").parquet(path)
-    reached = _found(dealt, scratch, least, longest, shards, bits)
-    shared = docs.sparkSession.sparkContext.broadcast(_Slots(reached))
-    counts = scratch.cut(_counts(dealt, shared, least, longest))
-    shared.destroy()
+    # Rows are dealt in turn, so that copies of one text are spread over the shards; the written number names a row from here on.
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    numbered.withColumn("shard", F.pmod("row", F.lit(shards)).cast("int")).write.partitionBy("shard").parquet(path)
+    dealt = docs.sparkSession.read.schema("lang string, text string, row long, shard int").parquet(path)
+    found = _found(dealt, scratch, least, longest, shards, bits)
+    counts = scratch.cut(_texts(dealt, found, longest))
     delete(docs.sparkSession, path)
     return ranked(counts, within_percent, first)
 

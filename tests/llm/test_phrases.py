@@ -68,7 +68,6 @@ def test_ranks_are_cut_and_full_slots_change_nothing(spark):
 
 def test_tasks_pass_on_parts(spark, monkeypatch):
     monkeypatch.setattr(phrases, "SUMMED", 50)
-    monkeypatch.setattr(phrases, "TEXTS", 40)
     rows = [(t, "en") for t in texts(120, 3)]
     df = spark.createDataFrame([(i, t, g, 1, "x") for i, (t, g) in enumerate(rows)], SCHEMA).coalesce(1)
     assert sorted(tuple(r) for r in phrases.collocations(df, least=10).collect()) == plain(rows, 10)
