@@ -121,12 +121,30 @@ def _rarest(words: DataFrame, counts: DataFrame, *keys: str) -> DataFrame:
     return found.filter("least > 0").drop("least")
 
 
+def _inside(wanted: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """(session, key, word): the words of (session, word) that hold the part of (key, session, part, at_end), or end with it where ``at_end``.
+
+    They meet by up to three characters: any of a word's for a part inside it, its last for one at its end.
+    """
+    three = lambda c: F.least(F.length(c), F.lit(3))
+    parts = wanted.withColumn("gram", F.when(F.col("at_end"), F.right("part", three("part"))).otherwise(F.left("part", three("part"))))
+    sizes = lambda f: F.flatten(F.transform(F.sequence(F.lit(1), three("word")), f))
+    runs = sizes(lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, n)))
+    ends = sizes(lambda n: F.array(F.right("word", n)))
+    known = words.distinct().filter("word <> ''")
+    keyed = lambda grams, at_end: known.select("session", "word", F.explode(F.array_distinct(grams)).alias("gram"), F.lit(at_end).alias("at_end"))
+    met = parts.join(keyed(runs, False).unionByName(keyed(ends, True)), ["session", "gram", "at_end"])
+    return met.filter(F.when(F.col("at_end"), F.endswith("word", "part")).otherwise(F.contains("word", "part"))).select("session", key, "word")
+
+
 def exact_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id", session: str = "session", most: int = 10) -> DataFrame:
     """The first cue from which a run of 1 to ``most`` cues holds the quote, or the quote holds it; the shortest run there: (quote_id, at, size, start, end).
 
     A quote inside a run shares all its words but the first and last, so it meets the runs around cues that have its rarest
-    such word. A run inside a quote begins with a cue inside it, which meets quotes likewise. Quotes and cues of at most two
-    words, which may lie inside words, meet all of their session. Ids are joined first; texts come to those that met.
+    such word. A run inside a quote begins with a cue inside it, which meets quotes likewise. Quotes and cues of one or two
+    words may lie inside words: one lies inside a word, of two the first ends one. A quote holds every cue without words, of
+    which the first of its session is enough, and a quote without words lies in the first cue. Ids are joined first; texts
+    come to those that met.
     """
     from pyspark.sql import Window
 
@@ -141,9 +159,12 @@ def exact_match(quotes: DataFrame, cues: DataFrame, *, quote_id: str = "quote_id
     around = F.explode(F.sequence(F.greatest(F.col("idx") - (most - 1), F.lit(0)), F.col("idx"))).alias("idx")
     in_runs = _rarest(asked.filter(~few).select("quote", "session", inner("w")), counted(cue_words), "quote").join(cue_words, ["session", "word"]).select("session", "quote", around)
     in_quotes = _rarest(told.filter(~few).select("idx", "session", inner("w")), counted(quote_words), "idx").join(quote_words, ["session", "word"]).select("session", "quote", "idx")
-    short = asked.filter(few).select("session", "quote").join(told.select("session", "idx"), "session").select("session", "quote", "idx")
-    shorter = told.filter(few).select("session", "idx").join(asked.select("session", "quote"), "session").select("session", "quote", "idx")
-    met = in_runs.unionByName(in_quotes).unionByName(short).unionByName(shorter).distinct()
+    part = (F.element_at("w", 1).alias("part"), (F.size("w") == 2).alias("at_end"))
+    short = _inside(asked.filter(few & (F.col("q") != "")).select("quote", "session", *part), cue_words.select("session", "word"), "quote").join(cue_words, ["session", "word"]).select("session", "quote", around)
+    shorter = _inside(told.filter(few & (F.col("t") != "")).select("idx", "session", *part), quote_words.select("session", "word"), "idx").join(quote_words, ["session", "word"]).select("session", "quote", "idx")
+    firsts = told.groupBy("session").agg(F.min("idx").alias("first"), F.min(F.when(F.col("t") == "", F.col("idx"))).alias("bare"))
+    bare = asked.join(firsts, "session").select("session", "quote", F.explode(F.array_compact(F.array("bare", F.when(F.col("q") == "", F.col("first"))))).alias("idx"))
+    met = in_runs.unionByName(in_quotes).unionByName(short).unionByName(shorter).unionByName(bare).distinct()
     w = Window.partitionBy("session").orderBy("idx").rowsBetween(0, most - 1)
     runs = told.select("session", "idx", "t_start", F.collect_list(F.struct("t", F.col("t_end").alias("e"))).over(w).alias("run"))
     tried = met.join(asked.select("session", "quote", "q"), ["session", "quote"]).join(runs, ["session", "idx"])

@@ -14,21 +14,16 @@ from plenum.plans.registry import query, table
 from plenum.sources import readers
 from plenum.sources.shared import new_folder
 
-#: Session documents of this many conversations, by the last digits of their ids, go to one file.
-FILES = 16
-
-
 @query("""SELECT conv_id::INTEGER AS session_no, DATE '2020-01-01' + (conv_id % 1000)::INTEGER AS session_date, count(*) AS n_sections, md5(string_agg(role || text, '|' ORDER BY turn)) AS text FROM conversations GROUP BY conv_id""")
 def s1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as JSON session documents, several to a file, and read back by the reader."""
+    """Conversations written as JSON session documents, one a line of the tasks' files, and read back by the reader."""
     day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("conv_id") % 1000).cast("int")), "dd-MM-yyyy")
     sections = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias("title"), F.col("text").alias("content")))), lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content")))
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(sections.alias("s"))
-    told = rows.select("conv_id", F.to_json(F.struct(F.struct(F.col("conv_id").cast("int").alias("sessionNO"), day.alias("sittingDate")).alias("metadata"), F.col("s").alias("takesSectionVOList"))).alias("j"))
-    files = told.groupBy((F.col("conv_id") % FILES).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    told = rows.select(F.to_json(F.struct(F.struct(F.col("conv_id").cast("int").alias("sessionNO"), day.alias("sittingDate")).alias("metadata"), F.col("s").alias("takesSectionVOList"))).alias("j"))
     path = new_folder(spark, "sessions")
-    files.write.partitionBy("file").text(path)
-    found = readers.sessions(spark, f"{path}/file=*")
+    told.select(F.col("j").alias("value")).write.text(path)
+    found = readers.sessions(spark, path, multi_line=False)
     text = F.array_join(F.transform("takesSectionVOList", lambda s: F.concat(s["title"], s["content"])), "|")
     return found.select(F.col("metadata.sessionNO").alias("session_no"), "session_date", F.size("takesSectionVOList").cast("long").alias("n_sections"), F.md5(text).alias("text"))
 
@@ -52,9 +47,10 @@ def s7_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
     line = F.when(doc % 5 == 0, F.concat(F.lpad(doc.cast("string"), 11, "0"), F.lit("|[Private video]|NA"))).when(doc % 5 == 1, F.lit("WARNING: no such video")).otherwise(F.concat(F.lpad(doc.cast("string"), 11, "0"), F.lit("| "), "source", F.lit("|NA")))
     lists, dates = new_folder(spark, "playlist"), new_folder(spark, "dates")
-    table(spark, sf_dir, "documents").groupBy((doc % FILES).alias("file")).agg(F.array_join(F.collect_list(line), "\n").alias("value")).write.partitionBy("file").text(lists)
+    # The reader takes files whole, as playlists are short; so none gets many lines.
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.option("maxRecordsPerFile", 10_000).text(lists)
     table(spark, sf_dir, "orders").select(F.concat(F.date_format("o_orderdate", "d-M-yyyy"), F.lit("  # order "), F.col("o_orderkey").cast("string")).alias("value")).write.text(dates)
-    found = readers.playlist(spark, f"{lists}/file=*").select("video_id", "title", F.lit(None).cast("date").alias("date"))
+    found = readers.playlist(spark, lists).select("video_id", "title", F.lit(None).cast("date").alias("date"))
     return found.unionByName(readers.date_list(spark, dates).select(F.lit(None).cast("string").alias("video_id"), F.lit(None).cast("string").alias("title"), "date"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,13 +72,17 @@ def stream_attempts(stream: DataFrame, *, date: str = "date", at: str = "at", ho
     return rows.groupBy("date").transformWithStateInPandas(Attempts(), "date string, status string, attempts long, last_checked timestamp", "update", "EventTime")
 
 
-def job_states(events: DataFrame, *, job: str = "job_id", order: str = "at", as_of: str | None = None, timeout_seconds: int = 3600) -> DataFrame:
+def job_states(events: DataFrame, *, job: str = "job_id", order: str = "at", tie: str | None = None, as_of: str | None = None, timeout_seconds: int = 3600) -> DataFrame:
     """W3, batch: current state of each job from (job, at, event, progress, detail), events ``progress``, ``complete``, ``fail``.
 
-    The last event counts: progress is clamped to 0-100 and 100 completes; complete and fail are final states of their
-    events; any other event is a sign of life without a progress. With ``as_of``, a job that renders for longer than the timeout without an event has failed.
+    The last event counts, of those at one time the greatest ``tie`` (a column that orders them), else the greatest event
+    name, progress and detail, nulls first: progress is clamped to 0-100 and 100 completes; complete and fail are final states
+    of their events; any other event is a sign of life without a progress. With ``as_of``, a job that renders for longer than
+    the timeout without an event has failed.
     """
-    last = events.groupBy(job).agg(F.max_by(F.struct("event", "progress", "detail", F.col(order).alias("at")), F.struct(order, "event_id") if "event_id" in events.columns else F.col(order)).alias("l"), F.count(F.lit(1)).alias("n_events"))
+    row = F.struct("event", "progress", "detail", F.col(order).alias("at"))
+    place = F.struct(order, tie) if tie else F.struct(order, "event", "progress", "detail")
+    last = events.groupBy(job).agg(F.max_by(row, place).alias("l"), F.count(F.lit(1)).alias("n_events"))
     progress = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("l.progress")))
     status = F.when(F.col("l.event") == "fail", "failed").when((F.col("l.event") == "complete") | (F.col("l.progress") == 100), "completed").otherwise("rendering")
     error = F.when(F.col("l.event") == "fail", F.col("l.detail"))
@@ -93,44 +98,57 @@ def map_status(status) -> "F.Column":
     return F.coalesce(F.element_at(names, F.lower(status)), F.lit("queued"))
 
 
-def stream_jobs(stream: DataFrame, *, job: str = "job_id", order: str = "at", timeout: str = "1 hour") -> DataFrame:
-    """W3, stream: the state of a job after each batch that brings events of it, or its failure when the timeout passes in event time; update mode."""
+def stream_jobs(stream: DataFrame, *, job: str = "job_id", order: str = "at", tie: str | None = None, timeout: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """W3, stream: the state of a job after each batch that brings events of it, or its failure when the timeout passes in event time; update mode.
+
+    Events up to ``late`` behind the latest count as in the batch twin, in whatever order they come; later ones are dropped.
+    The timeout is told when the stream is past it by as much.
+    """
     import pandas as pd
 
-    milliseconds = {"minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[timeout.split()[1].rstrip("s")] * int(timeout.split()[0])
+    milliseconds = int(pd.Timedelta(timeout).total_seconds() * 1000)
+    low = lambda x: (0, 0) if pd.isna(x) else (1, x)
+
+    def place(row) -> tuple:
+        return (row.at, low(row.tie)) if tie else (row.at, low(row.event), low(row.progress), low(row.detail))
+
+    def told(row) -> tuple:
+        """(progress, status, error) after an event."""
+        if row.event == "progress":
+            return min(100.0, max(0.0, row.progress)), "completed" if row.progress == 100 else "rendering", None
+        if row.event == "complete":
+            return 100.0, "completed", None
+        if row.event == "fail":
+            return None, "failed", row.detail
+        return None, "completed" if row.progress == 100 else "rendering", None
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, seen = None, 0
+        if state.exists:
+            *held, seen = state.get
+            last = SimpleNamespace(**dict(zip(("at", "event", "progress", "detail", "tie"), held, strict=True)))
+            last.at = pd.Timestamp(last.at)
         if state.hasTimedOut:
-            progress, _, at, seen = state.get
             state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "progress": [progress], "error": ["timeout"], "n_events": [seen]})
+            yield pd.DataFrame({"job_id": [key[0]], "status": ["failed"], "progress": [told(last)[0]], "error": ["timeout"], "n_events": [seen]})
             return
-        progress, status, at, seen = state.get if state.exists else (0.0, "queued", pd.Timestamp(0), 0)
-        error = None
         for frame in frames:
-            for row in frame.sort_values("at").itertuples():
+            for row in frame.itertuples():
                 seen += 1
-                if row.at < at:
-                    continue
-                at, error = row.at, None
-                if row.event == "progress":
-                    progress = min(100.0, max(0.0, row.progress))
-                    status = "completed" if row.progress == 100 else "rendering"
-                elif row.event == "complete":
-                    progress, status = 100.0, "completed"
-                elif row.event == "fail":
-                    progress, status, error = None, "failed", row.detail
-                else:
-                    progress, status = None, "completed" if row.progress == 100 else "rendering"
-        state.update((progress, status, at.to_pydatetime() if hasattr(at, "to_pydatetime") else at, seen))
+                if last is None or place(row) >= place(last):
+                    last = row
+        plain = lambda x: None if pd.isna(x) else x
+        state.update((pd.Timestamp(last.at).to_pydatetime(), plain(last.event), plain(last.progress), plain(last.detail), plain(last.tie), seen))
+        progress, status, error = told(last)
         if status == "rendering":
-            due = int(pd.Timestamp(at).timestamp() * 1000) + milliseconds
+            due = int(pd.Timestamp(last.at).timestamp() * 1000) + milliseconds
             if due > state.getCurrentWatermarkMs():
                 state.setTimeoutTimestamp(due)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [progress], "error": [error], "n_events": [seen]})
 
-    rows = stream.withWatermark(order, "0 seconds").select(F.col(job).cast("string").alias("job_id"), F.col(order).alias("at"), "event", "progress", "detail")
-    return rows.groupBy("job_id").applyInPandasWithState(fold, "job_id string, status string, progress double, error string, n_events long", "progress double, status string, at timestamp, n_events long", "update", "EventTimeTimeout")
+    other = (F.col(tie).cast("long") if tie else F.lit(None).cast("long")).alias("tie")
+    rows = stream.withWatermark(order, late).select(F.col(job).cast("string").alias("job_id"), F.col(order).alias("at"), "event", "progress", "detail", other)
+    return rows.groupBy("job_id").applyInPandasWithState(fold, "job_id string, status string, progress double, error string, n_events long", "at timestamp, event string, progress double, detail string, tie long, n_events long", "update", "EventTimeTimeout")
 
 
 def running_stats(stream: DataFrame, *, by: str, score: str) -> DataFrame:

@@ -167,6 +167,29 @@ def test_state_of_dates_is_forgotten_after_the_horizon(spark, tmp_path):
     assert held[2] == 7 and held[3] == 4
 
 
+@pytest.mark.parametrize("tie", [None, "n"])
+def test_late_and_tied_job_events_are_the_same_in_batch_and_stream(spark, tmp_path, tie):
+    at = lambda m: datetime(2024, 1, 1, 12) + timedelta(minutes=m)
+    schema = "job_id string, n long, at timestamp, event string, progress double, detail string"
+    rows = [
+        [("a", 2, at(5), "progress", 40.0, None), ("b", 1, at(0), "complete", None, None), ("c", 1, at(1), "progress", 10.0, None)],
+        # Late by less than the hour that both sides take: older than what was seen, and tied with it.
+        [("a", 1, at(5), "progress", 70.0, None), ("a", 0, at(3), "fail", None, "old"), ("b", 2, at(0), "fail", None, "tied"), ("c", 2, at(1), "progress", 10.0, None)],
+        [("c", 0, at(1), "complete", None, None), ("b", 3, at(-20), "progress", 1.0, None), ("d", 1, at(6), "ping", None, None)],
+    ]
+    for batch in rows:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    name = f"jobs_{tie}"
+    W.stream_jobs(stream, tie=tie).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    last = {}
+    for r in sorted(spark.table(name).collect(), key=lambda r: r.n_events):
+        last[r.job_id] = (r.status, r.progress, r.error, r.n_events)
+    twin = {r.job_id: (r.status, r.progress, r.error, r.n_events) for r in W.job_states(spark.createDataFrame(sum(rows, []), schema), tie=tie).collect()}
+    assert last == twin
+    assert twin["a"][1] == (40.0 if tie else 70.0) and twin["b"][0] == "failed" and twin["c"][0] == "rendering" and twin["d"][3] == 1
+
+
 @pytest.mark.parametrize("name", ["v7_vector_store", "i8_stored_upsert", "a2_merged_stats", "w1_ingest"])
 def test_flow_queries_are_registered(name):
     assert name in queries()
