@@ -8,8 +8,11 @@ number. Lines of fewer than ``MIN_CHARS`` code points stay.
    and content of its segments) and probe keys (the substrings that could match a segment of each length from its own
    down to t less; the multi-match-aware choice leaves 12 for t = 2, of which 3 are its index keys).
 2. One shuffle by key brings lines together. Within sorted partitions, groups of bounded size give candidate pairs at
-   once; members of larger groups are dealt anew into blocks, every two blocks of a key under a key of their own. Inside
-   a block pair only rows are compared that a 16-bucket count sketch allows (t edits move it by 2t at most).
+   once; members of larger groups are dealt anew. Those of more than a block, as many variants of one template give, are
+   first split by the rarest of their grams of three code points: lines within t edits share all but 3t of these, so that
+   of the first 3t+1 of each in any one order, here by count, they share one. What is left meets in blocks, every two of a
+   key under a key of their own. Inside a block pair only rows are compared that a 16-bucket count sketch allows (t edits
+   move it by 2t at most).
 3. Candidates are verified on the lines themselves by banded bit-parallel edit distance (Myers, Hyyro), many at a time.
 
 Equal lines are one class from the start: a line that stands in a third of all documents is one key set per task.
@@ -31,6 +34,9 @@ EDITS = 2
 MIN_CHARS = 20
 GROUP = 64
 BLOCK = 512
+TOGETHER = 1 << 16
+GRAM = 3
+GRAM_BITS = 16
 FILTER_BITS = 25
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -192,6 +198,64 @@ def _unsigned(column: pa.Array) -> np.ndarray:
     return np.asarray(column).astype(np.int64).view(np.uint64)
 
 
+def grams_of(lines: Lines, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the grams of some lines, the n-th of equal ones told from the others, and how many each line has."""
+    counts = np.maximum(lines.sizes[at] - GRAM + 1, 0)
+    owner = np.repeat(np.arange(len(at)), counts)
+    starts = lines.starts[at][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    grams = lines.part(starts, starts + GRAM)
+    order = np.lexsort((grams, owner))
+    same = np.concatenate([[False], (owner[order][1:] == owner[order][:-1]) & (grams[order][1:] == grams[order][:-1])]) if len(owner) else np.zeros(0, bool)
+    heads = np.flatnonzero(~same)
+    nth = np.arange(len(owner)) - np.repeat(heads, np.diff(np.append(heads, len(owner))))
+    out = np.empty_like(grams)
+    out[order] = np.where(nth > 0, mix(grams[order] + nth.astype(np.uint64) * _ODD), grams[order])
+    return out, counts
+
+
+def _by_rare_grams(docs: DataFrame, members: DataFrame, scratch: Scratch, edits: int, least: int) -> DataFrame:
+    """(key, h, sketch): members of large groups under keys of their group and each of their rarest grams."""
+    needed = members.select(F.col("h").bitwiseAND(F.lit(-2).cast("long")).alias("h")).distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(needed.select(F.shiftrightunsigned("h", 64 - FILTER_BITS).alias("slot")), FILTER_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for _, _, lines in _split(batch.column(0), least):
+                h, at = np.unique(lines.hashes, return_index=True)
+                slot = _slots(h)
+                good = (bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
+                grams, counts = grams_of(lines, at[good])
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(h[good])), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(grams)))], names=["h", "grams"])
+
+    found = _texts(docs).select("text").mapInArrow(run, "h long, grams array<long>").join(needed, "h", "left_semi").groupBy("h").agg(F.first("grams").alias("grams"))
+    held = scratch.cut(found)
+    # Counts of all grams of these lines by slots of fixed number; any order does, this one makes groups small.
+    slot = F.shiftrightunsigned("g", 64 - GRAM_BITS)
+    counted = held.select(F.explode("grams").alias("g")).groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    often = np.zeros(1 << GRAM_BITS, np.int64)
+    often[np.asarray(counted["slot"])] = np.asarray(counted["n"])
+    first = edits * GRAM + 1
+
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.asarray(batch.column(1).value_lengths(), np.int64)
+            grams = _unsigned(batch.column(1).flatten())
+            owner = np.repeat(np.arange(len(counts)), counts)
+            order = np.lexsort((grams, often[(grams >> np.uint64(64 - GRAM_BITS)).astype(np.int64)], owner))
+            rank = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            keep = order[rank < first]
+            # Lines with fewer grams than edits can change meet each other, too.
+            short = np.flatnonzero(counts < first)
+            owners, values = np.concatenate([owner[keep], short]), np.concatenate([grams[keep], np.zeros(len(short), np.uint64)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners)), pa.array(signed(values))], names=["line", "gram"])
+
+    picks = held.mapInArrow(picked, "line long, gram long")
+    split = members.join(picks, F.col("h").bitwiseAND(F.lit(-2).cast("long")) == F.col("line"))
+    return split.select(F.xxhash64("key", "gram").alias("key"), "h", "sketch")
+
+
 def candidates(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
     """Distinct pairs (a, b) of line hashes that share a segment and whose sketches allow ``edits``; written to ``scratch``."""
 
@@ -239,16 +303,25 @@ def candidates(docs: DataFrame, scratch: Scratch, *, edits: int = EDITS, least:
     members = met.filter("key IS NOT NULL").select("key", F.col("a").alias("h"), "sketch").distinct()
     if members.isEmpty():
         return kept(pairs)
-    counts = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    blocks = members.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    placed = members.join(sizes, "key")
+    crowded, seen = scratch.counted(placed.filter(F.col("n") > BLOCK).select("key", "h", "sketch"), n=F.count(F.lit(1)))
+    rows = placed.filter(F.col("n") <= BLOCK).select("key", "h", "sketch")
+    if seen["n"]:
+        rows = rows.unionByName(scratch.cut(_by_rare_grams(docs, crowded, scratch, edits, least)))
+    counts = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = rows.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
     held = blocks.select("key", F.explode(meets).alias("m"), "h", "sketch").groupBy("key", "m").agg(F.collect_list("h").alias("h"), F.collect_list("sketch").alias("sketch")).select("h", "sketch")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                h, sketch = (_unsigned(batch.column(c)[r].values) for c in (0, 1))
-                a, b = _pairs(np.zeros(len(h), np.uint64), h, sketch, edits)
+            sizes = np.asarray(batch.column(0).value_lengths(), np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            h, sketch = (_unsigned(batch.column(c).flatten()) for c in (0, 1))
+            for i, j in row_slices(ends, TOGETHER):  # many small groups at once
+                part = slice(ends[i], ends[j])
+                a, b = _pairs(np.repeat(np.arange(i, j), sizes[i:j]), h[part], sketch[part], edits)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b))], names=["a", "b"])
 
     return kept(pairs.unionByName(held.mapInArrow(compare, "a long, b long")))
