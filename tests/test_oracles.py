@@ -41,8 +41,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_queries_without_sql_are_those_tested_elsewhere(spark):
-    """``j10_fuzzy_match`` is held against a plain pass in test_whole and test_gold; of the listing the files are known."""
-    assert set(plans.queries()) - set(plans.oracle_sql()) == {"j10_fuzzy_match", "s11_listing"}
+    """Of the listing the files are known."""
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"s11_listing"}
     listed = plans.queries()["s11_listing"](spark, DATA).collect()
     assert [(r.key.rsplit("/", 1)[1], r["size"]) for r in listed] == [("events.parquet", os.path.getsize(f"{DATA}/events.parquet"))]
 
