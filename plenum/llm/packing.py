@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.bytetext import span_hashes, text_slices
+from plenum.llm.bytetext import release, span_hashes, text_slices
 
 WINDOW = 2048
 END_ID = 1
@@ -268,6 +268,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = WINDOW, end_id:
         rows += levels.drain(True)
         if rows:
             yield _batch(rows)
+        del encoder, levels, rows
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
