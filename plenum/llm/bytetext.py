@@ -7,7 +7,6 @@ follow its partition.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -131,11 +130,3 @@ def gram_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
-
-
-def release() -> None:
-    """Gives back to the system what a task has freed: its Python process lives on, idle or in other work."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere freed memory goes back by itself or not at all
-    if trim is not None:
-        trim(0)
