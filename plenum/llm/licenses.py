@@ -64,6 +64,43 @@ NAMES = (
     ("python-2.0", " python software", "python software foundation licen[cs]e"),
     ("eupl-1.2", " eupl; european union public", "(?:eupl|european union public licen[cs]e)(?: version| v)? ?v?(?:1 2)?"),
     ("ms-pl", " ms pl; microsoft public", "(?:ms pl|microsoft public licen[cs]e)"),
+    ("sspl-1.0", " server side public; sspl", "(?:server side public licen[cs]e|sspl)(?: version| v)?(?: ?v?1(?: 0)?)?"),
+    ("busl-1.1", " business source", "business source licen[cs]e(?: version)?(?: 1 1)?"),
+    ("elastic-2.0", " elastic licen", "elastic licen[cs]e(?: version)?(?: v?2(?: 0)?)?"),
+    ("postgresql", " postgresql licen", "postgresql licen[cs]e"),
+    ("ncsa", " university of illinois; uiuc; ncsa", "(?:university of illinois|uiuc)(?: ncsa)? open source licen[cs]e"),
+    ("osl-3.0", " open software licen", "open software licen[cs]e(?: version| v)?(?: ?v?3(?: 0)?)?"),
+    ("afl-3.0", " academic free", "academic free licen[cs]e(?: version| v)?(?: ?v?3(?: 0)?)?"),
+    ("cecill-b", " cecill", "cecill b"),
+    ("cecill-c", " cecill", "cecill c"),
+    ("cecill-2.1", " cecill", "cecill(?: free software)?(?: licen[cs]e)?(?: agreement)?(?: version)? 2(?: [01])?"),
+    ("upl-1.0", " universal permissive", "universal permissive licen[cs]e(?: upl)?(?: version| v)?(?: 1 0)?"),
+    ("mulanpsl-2.0", " mulan; mulanpsl", "(?:mulan permissive software licen[cs]e|mulan ?psl)(?: version)?(?: ?v2)?"),
+    ("php-3.01", " php licen; php software", "php (?:software )?licen[cs]e(?: version)?(?: 3 0?1)?"),
+    ("w3c", " w3c", "w3c software(?: notice)?(?: and(?: document)?(?: notice)?)?(?: and)? licen[cs]e"),
+    ("lppl-1.3c", " latex project; lppl", "(?:latex project public licen[cs]e|lppl)(?: version)?(?: 1 3[ac]?)?"),
+    ("ijg", " independent jpeg", "independent jpeg group licen[cs]e"),
+    ("apsl-2.0", " apple public", "apple public source licen[cs]e(?: version)?(?: 2 0)?"),
+    ("ms-rl", " ms rl; microsoft reciprocal", "(?:ms rl|microsoft reciprocal licen[cs]e)"),
+    ("qpl-1.0", " q public", "q public licen[cs]e(?: version)?(?: 1 0)?"),
+    ("sleepycat", " sleepycat", "sleepycat(?: public)? licen[cs]e"),
+    ("nposl-3.0", " non profit open", "non profit open software licen[cs]e(?: version)?(?: 3 0)?"),
+    ("rpl-1.5", " reciprocal public", "reciprocal public licen[cs]e(?: version)?(?: 1 5)?"),
+    ("ecl-2.0", " educational community", "educational community licen[cs]e(?: version)?(?: 2 0)?"),
+    ("ipl-1.0", " ibm public", "ibm public licen[cs]e(?: version)?(?: 1 0)?"),
+    ("ruby", " ruby licen; ruby s licen", "ruby(?: s)? licen[cs]e"),
+    ("vim", " vim licen", "vim licen[cs]e"),
+    ("openssl", " openssl licen", "openssl licen[cs]e"),
+    ("zpl-2.1", " zope public", "zope public licen[cs]e(?: version| v)?(?: 2 [01])?"),
+    ("blueoak-1.0.0", " blue oak", "blue oak model licen[cs]e(?: 1 0 0)?"),
+    ("0bsd", " 0bsd; zero clause", "(?:0bsd|(?:bsd )?zero clause(?: bsd)?(?: licen[cs]e)?)"),
+    ("mit-0", " mit no attribution", "mit no attribution(?: licen[cs]e)?"),
+    ("polyform-noncommercial", " polyform", "polyform noncommercial(?: licen[cs]e)?(?: 1 0 0)?"),
+    ("commons-clause", " commons clause", "commons clause(?: licen[cs]e)?(?: condition)?(?: v?1 0)?"),
+    ("pddl-1.0", " pddl; public domain dedication and licen", "(?:pddl|public domain dedication and licen[cs]e)"),
+    ("cc-pdm", " public domain mark", "public domain mark(?: 1 0)?"),
+    ("ogl-3.0", " open government", "open government licen[cs]e(?: version| v)?(?: ?v?3(?: 0)?)?"),
+    ("openrail", " openrail; responsible ai", "(?:(?:creativeml |bigscience |bigcode )?open ?rail(?: m)?|responsible ai licen[cs]e)"),
     ("public-domain", " public domain", "public domain"),
     ("proprietary", " proprietary and confidential", "proprietary and confidential"),
 )
@@ -123,6 +160,66 @@ BODIES = (
     ("python-2.0", " psf is making", "psf is making python available to licensee on an as is basis"),
     ("openssl", " this product includes", "this product includes software developed by the openssl project"),
     ("ms-pl", " if you use the software", "if you use the software you accept this license if you do not accept the license do not use the software"),
+    ("sspl-1.0", " if you make the functionality", "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available"),
+    ("busl-1.1", " the licensor hereby grants", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("busl-1.1", " effective on the change", "effective on the change date or the fourth anniversary of the first publicly available distribution"),
+    ("elastic-2.0", " you may not provide the", "you may not provide the software to third parties as a hosted or managed service"),
+    ("elastic-2.0", " you may not move", "you may not move change disable or circumvent the license key functionality in the software"),
+    ("postgresql", " permission to use", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ncsa", " redistributions of source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("osl-3.0", " licensed under the open", "licensed under the open software license version 3 0"),
+    ("afl-3.0", " licensed under the academic", "licensed under the academic free license version 3 0"),
+    ("cecill", " this software is governed", "this software is governed by the cecill(?: [bc])? license under french law and abiding by the rules of distribution of free software"),
+    ("upl-1.0", " subject to the condition", "subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data"),
+    ("mulanpsl-2.0", " you can use this software", "you can use this software according to the terms and conditions of the mulan psl v2"),
+    ("php-3.01", " products derived from this", "products derived from this software may not be called php nor may php appear in their name"),
+    ("php-3.01", " this product includes", "this product includes php software freely available from"),
+    ("w3c", " by obtaining", "by obtaining(?: using and or copying)? this work you the licensee agree that you have read understood and will comply with the following terms and conditions"),
+    ("lppl-1.3c", " this work may be distributed", "this work may be distributed and or modified under the conditions of the latex project public license"),
+    ("lppl-1.3c", " this work has the lppl", "this work has the lppl maintenance status"),
+    ("ijg", " this software is based in part", "this software is based in part on the work of the independent jpeg group"),
+    ("apsl-2.0", " this file contains original", "this file contains original code and or modifications of original code as defined in and that are subject to the apple public source license"),
+    ("ms-rl", " for any file you distribute", "for any file you distribute that contains code from the software"),
+    ("sleepycat", " redistributions in any form", "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("ecl-2.0", " licensed under the educational", "licensed under the educational community license version 2 0"),
+    ("ruby", " you may make and give", "you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("vim", " there are no restrictions on", "there are no restrictions on distributing unmodified copies of vim"),
+    ("openssl", " the names openssl", "the names openssl toolkit and openssl project must not be used to endorse or promote products"),
+    ("ssleay", " this product includes", "this product includes cryptographic software written by"),
+    ("zpl-2.1", " names of the copyright", "names of the copyright holders must not be used to endorse or promote products derived from this software without prior written permission"),
+    ("blueoak-1.0.0", " this license gives everyone", "this license gives everyone as much permission to work with this software as possible"),
+    ("0bsd", " permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("mit-0", " to permit persons", "to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("polyform-noncommercial", " any noncommercial purpose", "any noncommercial purpose is a permitted purpose"),
+    ("commons-clause", " the grant of rights", "the grant of rights under the license will not include and the license does not grant to you the right to sell the software"),
+    ("pddl-1.0", " made available under the public", "made available under the public domain dedication and license"),
+    ("odbl-1.0", " open database license", "this [a-z0-9]+(?: [a-z0-9]+){0,6} is made available under the open database license"),
+    ("cc-pdm", " this work has been identified", "this work has been identified as being free of known restrictions under copyright law"),
+    ("ogl-3.0", " contains public sector", "contains public sector information licensed under the open government licence"),
+    ("openrail", " use based restrictions", "use based restrictions(?: as referenced in paragraph 5)? (?:must|shall) be included as an enforceable provision"),
+    ("epl-2.0", " this program and the", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cpl-1.0", " the accompanying program", "the accompanying program is provided under the terms of this common public license"),
+    ("epl-1.0", " the accompanying program", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("ipl-1.0", " the accompanying program", "the accompanying program is provided under the terms of this ibm public license"),
+    ("artistic-2.0", " everyone is permitted", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes the terms under which a given free software package"),
+    ("artistic-1.0", " the intent of this document", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("gpl-2.0", " this program is free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3.0", " this program is free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("agpl-3.0", " this program is free", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("lgpl-2.1", " this library is free", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
+    ("lgpl-3.0", " this version of the gnu lesser", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("gpl-linking-exception", " as a special exception", "as a special exception (?:the copyright holders? of this (?:library|program)|you may|if other files) (?:gives? (?:you )?permission to link|link|instantiate)"),
+    ("gcc-runtime-exception", " gcc runtime library", "gcc runtime library exception"),
+    ("classpath-exception", " classpath exception", "(?:with the )?classpath exception"),
+    ("llvm-exception", " llvm exception", "(?:apache 2 0 )?with llvm exceptions?"),
+    ("bsd-3-clause-clear", " no express or implied", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-2-clause-patent", " subject to the terms and conditions", "subject to the terms and conditions of this license each copyright holder and contributor hereby grants to those receiving rights under this license"),
+    ("json", " the software shall be used", "the software shall be used for good not evil"),
+    ("curl", " permission to use", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies except as contained"),
+    ("unicode", " permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy of (?:the unicode data files|data files) and any associated documentation"),
+    ("bzip2", " the origin of this software", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("fsf-unlimited", " the author gives unlimited; the free software foundation gives unlimited", "(?:the author|the free software foundation) gives unlimited permission to copy and or distribute it with or without modifications"),
+    ("naist-2003", " use reproduction and distribution", "use reproduction and distribution of this software is permitted"),
     ("warranty-disclaimer", " in no event shall", "in no event shall the (?:[a-z0-9]+ ){1,12}be liable for any (?:claim|direct)"),
     ("warranty-disclaimer", " in the hope that", "in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
     ("warranty-disclaimer", " the software is provided", "the software is provided as is without warranty of any kind express or implied"),
