@@ -61,8 +61,8 @@ def v5_top_k_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH h AS (" + _TOP.replace("WHERE_", "b.vec_id % 50 = 0") + ") SELECT query_id, rank, vec_id, CASE WHEN length(text) > 120 THEN left(text, 120) || '...' ELSE text END AS excerpt FROM h JOIN documents ON doc_id = vec_id")
 def v6_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = V.top_k(_questions(spark, sf_dir).drop("label"), table(spark, sf_dir, "embeddings"), 5)
-    told = hits.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    return V.citations(told, most=120).select("query_id", "rank", "vec_id", "excerpt")
+    told = V.citations(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), most=120).select("vec_id", "excerpt")
+    return hits.join(told, "vec_id").select("query_id", "rank", "vec_id", "excerpt")
 
 
 @query(r"SELECT doc_id, 256 AS width, CASE WHEN regexp_matches(text, '\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
