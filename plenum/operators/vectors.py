@@ -9,9 +9,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 PAIR_BLOCK = 1024
-#: Rows up to which a query or centroid table is sent to every task; a larger one is dealt in blocks.
+#: Rows and queries that meet in one task of a search.
+ROW_BLOCK, QUERY_BLOCK = 8192, 4096
+#: Rows up to which a centroid table is sent to every task; a larger one is dealt in blocks.
 SMALL = 4096
 
 
@@ -127,23 +130,102 @@ def similar_pairs_of_all(rows: DataFrame, *, id_column: str, vector: str = "embe
     return met.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
 
 
+class _Held:
+    """The vectors of a block as rows of one matrix, with widths, norms as :func:`norm` gives them, and whether they are whole."""
+
+    def __init__(self, lists: pa.ChunkedArray, width: int) -> None:
+        lists = lists.combine_chunks()
+        flat, offsets = lists.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))]).astype(np.int64)
+        self.widths = np.diff(offsets)
+        holes = np.concatenate([[0], np.cumsum(np.asarray(flat.is_null(), bool))])
+        self.whole = np.asarray(lists.is_valid(), bool) & (holes[offsets[1:]] == holes[offsets[:-1]])
+        self.v = np.zeros((len(lists), width))
+        of = np.repeat(np.arange(len(lists)), self.widths)
+        self.v[of, np.arange(len(of)) - offsets[of]] = np.asarray(pc.fill_null(pc.cast(flat, pa.float64()), 0.0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.norms = np.sqrt(_in_order(self.v * self.v))
+        # Those that a product of unit vectors ranks but for rounding.
+        self.plain = self.whole & (self.norms > 1e-100) & (self.norms < 1e100)
+
+
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """Sums of rows from left to right, as ``aggregate`` adds them up."""
+    return np.add.accumulate(x, axis=1)[:, -1] + 0.0 if x.shape[1] else np.zeros(len(x))
+
+
+def _scored(r: _Held, q: _Held, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`cosine` of pairs of rows and queries, to the last bit, and where it is null."""
+    with np.errstate(all="ignore"):
+        n = r.norms[i] * q.norms[j]
+        dots = np.concatenate([_in_order(r.v[i[s : s + 32768]] * q.v[j[s : s + 32768]]) for s in range(0, len(i), 32768)] or [np.zeros(0)])
+        score = np.where(n == 0, 0.0, dots / n)
+    return score, ~(r.whole[i] & q.whole[j] & ((r.widths[i] == q.widths[j]) | (n == 0)))
+
+
+def _candidates(r: _Held, q: _Held, place: np.ndarray, queries: np.ndarray, k: int, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows and queries among which the k best of each query are: by products of unit vectors, with a margin for rounding."""
+    odd = queries[~q.plain[queries]]
+    for j in odd:
+        yield np.arange(len(place)), np.full(len(place), j)
+    for width in np.unique(q.widths[queries[q.plain[queries]]]):
+        own = queries[q.plain[queries] & (q.widths[queries] == width)]
+        fits = r.whole & (r.widths == width)
+        near = np.flatnonzero(fits & r.plain)
+        few = lambda mask: (lambda x: x[np.argsort(place[x])[:k]])(np.flatnonzero(mask))
+        # All rows with a norm of 0 have one score, so have all that can have none; the first k of each will do.
+        zero = r.whole & (r.norms == 0)
+        others = np.concatenate([few(zero), few(~fits & ~zero & (~r.whole | (r.norms > 1e-100))), np.flatnonzero(~r.plain & fits & ~zero), np.flatnonzero(~fits & r.whole & ~zero & ~(r.norms > 1e-100))])
+        yield np.tile(others, len(own)), np.repeat(own, len(others))
+        if len(near):
+            found = (q.v[own] / q.norms[own][:, None]) @ (r.v[near] / r.norms[near][:, None]).T
+            bound = np.partition(found, len(near) - k, axis=1)[:, len(near) - k] if len(near) > k else np.full(len(own), -2.0)
+            if least is not None:
+                bound = np.maximum(bound, least)
+            j, i = np.nonzero(found >= bound[:, None] - 1e-9)
+            yield near[i], own[j]
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, *, query_id: str = "query_id", id_column: str = "vec_id", vector: str = "embedding", on: Sequence[str] = (), least: float | None = None, rank_by: str = "similarity") -> DataFrame:
     """The k rows most similar to each query, among rows equal in the ``on`` columns (filtered before scoring), ties to the smaller id.
 
-    Many questions are one job. Without ``on`` every query meets every row: a table of at most ``SMALL`` queries
-    (counted) goes to each task; more come in blocks, each of which visits every block of rows.
+    Many questions are one job. Rows and queries equal in ``on`` are dealt into blocks by their counts, and every block of
+    rows meets every block of queries under a key of its own. A task finds the k best of two blocks: products of unit
+    vectors leave out what lies below the k-th by more than rounding, the rest is scored as :func:`cosine` does, and only
+    k rows a query and block go on. Each pair of vectors costs a product, all else grows with rows, and a task holds two blocks.
     """
-    q = queries.select(query_id, *on, F.col(vector).alias("_q"), norm(F.col(vector)).alias("_nq"))
-    r = rows.withColumn("_nr", norm(F.col(vector)))
-    if on:
-        met = r.join(q, list(on))
-    elif q.limit(SMALL + 1).count() <= SMALL:
-        packed = q.agg(F.collect_list(F.struct(query_id, "_q", "_nq")).alias("_all"))
-        met = r.join(F.broadcast(packed)).withColumn("_x", F.explode("_all")).select(*r.columns, "_x.*")
-    else:
-        blocks = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-        met = r.withColumn("_b", F.pmod(F.xxhash64(id_column), F.lit(blocks))).join(q.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")), "_b").drop("_b")
-    scored = met.withColumn("score", cosine(F.col(vector), F.col("_q"), F.col("_nr"), F.col("_nq"))).drop("_q", "_nq", "_nr", vector)
+    kept = [c for c in rows.columns if c != vector]
+    known = lambda df: df.filter(F.lit(True) if not on else F.forall(F.array(*(F.col(c).isNotNull() for c in on)), lambda x: x))
+    r, q = known(rows), known(queries).select(F.col(query_id).alias("_query"), *(F.col(c).alias(c) for c in on), F.col(vector).alias("_v"))
+    counted = lambda df, block, name: df.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+    sizes = (counted(r, ROW_BLOCK, "_rows"), counted(q, QUERY_BLOCK, "_queries"))
+    blocks = (sizes[0].join(sizes[1], list(on)) if on else F.broadcast(sizes[0].join(F.broadcast(sizes[1])))).filter("_rows > 0 AND _queries > 0")
+    deal = lambda df, own, by, n, other, m: df.join(blocks, list(on) or None).withColumn(own, F.pmod(F.xxhash64(by), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("_rows", "_queries")
+    keys = (*on, "_x", "_y")
+    dealt = deal(r, "_x", id_column, "_rows", "_y", "_queries").groupBy(*keys), deal(q, "_y", "_query", "_queries", "_x", "_rows").groupBy(*keys)
+
+    def nearest(block: pa.Table, asked: pa.Table) -> pa.Table:
+        width = max((pc.max(pc.list_value_length(t.column(c))).as_py() or 0 for t, c in ((block, vector), (asked, "_v"))), default=0)
+        held, wanted = _Held(block.column(vector), width), _Held(asked.column("_v"), width)
+        place = np.empty(block.num_rows, np.int64)
+        place[np.asarray(pc.array_sort_indices(block.column(id_column).combine_chunks()))] = np.arange(block.num_rows)
+        nulls = np.asarray(block.column(id_column).is_null(), bool)
+        place[nulls] -= block.num_rows
+        best: list[tuple[np.ndarray, ...]] = []
+        for s in range(0, asked.num_rows, 256):
+            of = np.arange(s, min(s + 256, asked.num_rows))
+            if not block.num_rows:
+                break
+            parts = [(i, j, *_scored(held, wanted, i, j)) for i, j in _candidates(held, wanted, place, of, k, least)]
+            i, j, score, none = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((place[i], np.where(none, 0.0, -np.where(np.isnan(score), np.inf, score)), none, j))
+            first = np.searchsorted(j[order], j[order])
+            order = order[np.arange(len(order)) - first < k]
+            best.append((i[order], j[order], score[order], none[order]))
+        i, j, score, none = (np.concatenate(c) for c in zip(*best, strict=True)) if best else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))
+        return block.select(kept).take(pa.array(i)).append_column(query_id, asked.column("_query").take(pa.array(j))).append_column("score", pa.array(score, mask=none, from_pandas=False))
+
+    fields = StructType([*(rows.schema[c] for c in kept), StructField(query_id, queries.schema[query_id].dataType), StructField("score", DoubleType())])
+    scored = dealt[0].cogroup(dealt[1]).applyInArrow(nearest, fields)
     if least is not None:
         scored = scored.filter(F.col("score") >= least)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_column))).filter(F.col("rank") <= k)
