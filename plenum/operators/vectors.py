@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-PAIR_BLOCK = 1024
+PAIR_BLOCK, PAIR_STRIP = 1024, 256
 #: Rows and queries that meet in one task of a search.
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 #: Rows up to which a centroid table is sent to every task; a larger one is dealt in blocks.
@@ -32,37 +32,49 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(n == 0, 0.0).otherwise(dot(a, b) / n)
 
 
+def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Vectors of one width as rows; null components are NaN."""
+    return np.concatenate([np.asarray(c.flatten().fill_null(np.nan), np.float64) for c in lists.chunks]).reshape(len(lists), width)
+
+
+def _over(v: np.ndarray, ids: pa.ChunkedArray, left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> pa.Table:
+    """(a, b, similarity) over the threshold of two blocks, or of one with itself, in strips, so that only pairs over it are held."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for s in range(0, len(left), PAIR_STRIP):
+        strip = v[left[s : s + PAIR_STRIP]] @ v[right].T
+        i, j = np.nonzero(strip > threshold)
+        if same:
+            i, j = i[i + s < j], j[i + s < j]
+        found.append((left[i + s], right[j], strip[i, j]))
+    i, j, similarity = (np.concatenate(c) for c in zip(*found, strict=True))
+    a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+    turned = pc.greater(a, b)
+    return pa.table({"a": pc.if_else(turned, b, a), "b": pc.if_else(turned, a, b), "similarity": pa.array(similarity)})
+
+
 def similar_pairs(rows: DataFrame, *, id_column: str, group: str, vector: str = "embedding", threshold: float = 0.85) -> DataFrame:
     """V2: (a, b, similarity) of a < b in one group with cosine over the threshold. The group (a session) bounds the pairs.
 
     A group is dealt into blocks of about ``PAIR_BLOCK`` rows, by a count; every two blocks meet under a key of their own and
-    are compared as matrices within the task, which gives only pairs over the threshold. Rows without a group or vector,
+    are compared as matrices within the task, which holds one such pair of blocks and gives only pairs over the threshold. Rows without a group or vector,
     and vectors of another width, meet nothing.
     """
     kept = rows.select(F.col(id_column).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL").withColumn("width", F.size("v"))
     counts = kept.groupBy("g", "width").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
     placed = kept.join(counts, ["g", "width"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    met = placed.select("g", "width", F.explode(meets).alias("m"), F.struct("block", "id", "v").alias("r")).groupBy("g", "width", "m").agg(F.collect_list("r").alias("rows")).select("width", "m.x", "m.y", "rows")
+    met = placed.select("g", "width", F.explode(meets).alias("m"), "block", "id", "v").select("g", "width", "m.x", "m.y", "block", "id", "v")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                width, x, y, held = (batch.column(c)[r] for c in range(4))
-                held, width = held.values, width.as_py()
-                block, ids = np.asarray(held.field("block")), held.field("id")
-                v = np.asarray(held.field("v").flatten().fill_null(np.nan), np.float64).reshape(len(ids), width)
-                norms = np.sqrt((v * v).sum(axis=1))
-                unit = v / np.where(norms == 0, 1, norms)[:, None]
-                left, right = np.flatnonzero(block == x.as_py()), np.flatnonzero(block == y.as_py())
-                found = unit[left] @ unit[right].T
-                i, j = np.nonzero((found > threshold) & (x.as_py() != y.as_py() or np.triu(np.ones(found.shape, bool), 1)))
-                a, b = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
-                turned = pc.greater(a, b)
-                yield pa.RecordBatch.from_arrays([pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(found[i, j])], names=["a", "b", "similarity"])
+    def compare(held: pa.Table) -> pa.Table:
+        width, x, y = (held.column(c)[0].as_py() for c in ("width", "x", "y"))
+        block, ids = held.column("block").to_numpy(), held.column("id")
+        v = _matrix(held.column("v"), width)
+        norms = np.sqrt((v * v).sum(axis=1))
+        v /= np.where(norms == 0, 1, norms)[:, None]
+        return _over(v, ids, np.flatnonzero(block == x), np.flatnonzero(block == y), threshold, x == y)
 
     kind = dict(kept.dtypes)["id"]
-    return met.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
+    return met.groupBy("g", "width", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
 
 
 def similar_pairs_of_all(rows: DataFrame, *, id_column: str, vector: str = "embedding", threshold: float = 0.85, pivots: int = 64) -> DataFrame:
@@ -71,7 +83,7 @@ def similar_pairs_of_all(rows: DataFrame, *, id_column: str, vector: str = "embe
     Unit vectors go to the cell of the nearest of some rows taken as pivots. Two of a similarity over the threshold lie
     within a known distance, so a vector can only have partners beyond the plane between its own pivot and another if it
     is as near to that plane; it visits those cells. Of two cells the vectors of the later visit the earlier. Cells are
-    dealt into blocks, and every two blocks that can hold pairs are compared as matrices in tasks, which give only pairs.
+    dealt into blocks, and every two blocks that can hold pairs are compared as matrices in tasks, which hold two blocks and give only pairs.
     Rows without an id, and vectors that are null, zero or hold components null or not finite, meet nothing.
     """
     kind = dict(rows.select(F.col(id_column).alias("id")).dtypes)["id"]
@@ -110,24 +122,16 @@ def similar_pairs_of_all(rows: DataFrame, *, id_column: str, vector: str = "embe
     meet = lambda x, y, within: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(within).alias("within"))
     at = F.col("block")
     keys = F.when(F.col("own"), F.concat(each("homes", lambda o: meet(F.least(o, at), F.greatest(o, at), True)), each("guests", lambda g: meet(at, g, False)))).otherwise(each("homes", lambda h: meet(h, at, False)))
-    met = dealt.select("cell", "width", F.explode(keys).alias("m"), F.struct("own", "block", "id", "v").alias("r")).groupBy("cell", "width", "m").agg(F.collect_list("r").alias("rows")).select("width", "m.x", "m.y", "m.within", "rows")
+    met = dealt.select("cell", "width", F.explode(keys).alias("m"), "own", "block", "id", "v").select("cell", "width", "m.x", "m.y", "m.within", "own", "block", "id", "v")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                width, x, y, within = (batch.column(c)[r].as_py() for c in range(4))
-                held = batch.column(4)[r].values
-                home, block, ids = np.asarray(held.field("own").to_pylist(), bool), np.asarray(held.field("block")), held.field("id")
-                v = np.asarray(held.field("v").flatten(), np.float64).reshape(len(ids), width)
-                left = np.flatnonzero(home & (block == x))
-                right = np.flatnonzero(home & (block == y)) if within else np.flatnonzero(~home & (block == y))
-                found = v[left] @ v[right].T
-                i, j = np.nonzero((found > threshold) & (not within or x != y or np.triu(np.ones(found.shape, bool), 1)))
-                a, b = ids.take(pa.array(left[i])), ids.take(pa.array(right[j]))
-                turned = pc.greater(a, b)
-                yield pa.RecordBatch.from_arrays([pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(found[i, j])], names=["a", "b", "similarity"])
-
-    return met.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
+    def compare(held: pa.Table) -> pa.Table:
+        width, x, y, within = (held.column(c)[0].as_py() for c in ("width", "x", "y", "within"))
+        home, block = np.asarray(held.column("own"), bool), held.column("block").to_numpy()
+        left = np.flatnonzero(home & (block == x))
+        right = np.flatnonzero(home & (block == y)) if within else np.flatnonzero(~home & (block == y))
+        return _over(_matrix(held.column("v"), width), held.column("id"), left, right, threshold, within and x == y)
+
+    return met.groupBy("cell", "width", "x", "y", "within").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
 
 
 class _Held:
