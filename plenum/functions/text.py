@@ -129,7 +129,7 @@ def strip_html(c: Column, tag_to: str = "") -> Column:
 
 def match_form(c: Column) -> Column:
     """Lower case, what is no ASCII word character or blank to a blank, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9_\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9_]+", " "))
 
 
 def quote_key(c: Column) -> Column:
