@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-PAIR_BLOCK, PAIR_STRIP = 1024, 256
+#: Rows of a block of a pair search, of a strip of it, and blocks that a task of a meeting holds on one side; components that rows are counted by.
+PAIR_BLOCK, PAIR_STRIP, PAIR_HELD, PAIR_WIDTH = 4096, 256, 32, 64
 #: Rows and queries that meet in one task of a search.
 ROW_BLOCK, QUERY_BLOCK = 8192, 4096
 #: Rows up to which a centroid table is sent to every task; a larger one is dealt in blocks.
@@ -37,44 +39,88 @@ def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.concatenate([np.asarray(c.flatten().fill_null(np.nan), np.float64) for c in lists.chunks]).reshape(len(lists), width)
 
 
-def _over(v: np.ndarray, ids: pa.ChunkedArray, left: np.ndarray, right: np.ndarray, threshold: float, same: bool) -> pa.Table:
-    """(a, b, similarity) over the threshold of two blocks, or of one with itself, in strips, so that only pairs over it are held."""
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-    for s in range(0, len(left), PAIR_STRIP):
-        strip = v[left[s : s + PAIR_STRIP]] @ v[right].T
+def _over(left: tuple[np.ndarray, pa.Array], right: tuple[np.ndarray, pa.Array], threshold: float, same: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, similarity) over the threshold of two blocks, or of one with itself, in strips, so that only pairs of one strip are held."""
+    (v, own), (w, other) = left, right
+    for s in range(0, len(v), PAIR_STRIP):
+        strip = v[s : s + PAIR_STRIP] @ w.T
         i, j = np.nonzero(strip > threshold)
         if same:
             i, j = i[i + s < j], j[i + s < j]
-        found.append((left[i + s], right[j], strip[i, j]))
-    i, j, similarity = (np.concatenate(c) for c in zip(*found, strict=True))
-    a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
-    turned = pc.greater(a, b)
-    return pa.table({"a": pc.if_else(turned, b, a), "b": pc.if_else(turned, a, b), "similarity": pa.array(similarity)})
+        if len(i):
+            a, b = own.take(pa.array(i + s)), other.take(pa.array(j))
+            turned = pc.greater(a, b)
+            yield pa.RecordBatch.from_arrays([pc.if_else(turned, b, a), pc.if_else(turned, a, b), pa.array(strip[i, j])], names=["a", "b", "similarity"])
+
+
+def _blocks(rows: DataFrame, on: Sequence[str], units: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, list[int]]]) -> DataFrame:
+    """Rows (``on``, width, id, v), equal in ``on`` and width, as few rows of about ``PAIR_BLOCK`` ids and one matrix, which is all that meets.
+
+    (``on``, width, block, blocks, ids, v, visits): ``units`` gives the unit vectors of a block and what cells it visits.
+    """
+    kinds = dict(rows.dtypes)
+    weight = F.sum(F.greatest("width", F.lit(PAIR_WIDTH)).cast("long"))
+    counts = rows.groupBy(*on, "width").agg(F.ceil(weight / (PAIR_BLOCK * PAIR_WIDTH)).cast("int").alias("blocks"))
+    dealt = rows.join(counts, [*on, "width"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    keys = [*on, "width", "block", "blocks"]
+
+    def pack(held: pa.Table) -> pa.Table:
+        ids = held.column("id").combine_chunks()
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        v, visits = units(held, _matrix(held.column("v"), held.column("width")[0].as_py()))
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        return held.select(keys).slice(0, 1).append_column("ids", listed).append_column("v", pa.array([v.tobytes()], pa.binary())).append_column("visits", pa.array([visits], pa.list_(pa.int32())))
+
+    told = ", ".join(f"{k} {kinds[k]}" for k in (*on, "width"))
+    return dealt.groupBy(*keys).applyInArrow(pack, f"{told}, block int, blocks int, ids array<{kinds['id']}>, v binary, visits array<int>")
+
+
+def _sides(packed: DataFrame, extra: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """A table of blocks as the two sides of a meeting; both read one shuffle."""
+    return tuple(packed.select(*(F.col(c).alias(f"{side}_{c}") for c in (*extra, "width", "block", "ids", "v"))) for side in "xy")
+
+
+def _compared(met: DataFrame, kind: str, threshold: float, toward: Callable[[np.ndarray, int, int], np.ndarray] | None = None) -> DataFrame:
+    """(a, b, similarity) of blocks that met, pair by pair of blocks. ``toward`` leaves rows of a cell out that have no partner in another."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                width, same = (batch.column(c)[r].as_py() for c in ("x_width", "same"))
+                sides = []
+                for own, other in ("xy", "yx"):
+                    ids = batch.column(f"{own}_ids")[r].values
+                    v = np.frombuffer(batch.column(f"{own}_v")[r].as_buffer() or b"", np.float64).reshape(len(ids), width)
+                    if toward is not None:
+                        near = toward(v, *(batch.column(f"{c}_home")[r].as_py() for c in (own, other)))
+                        v, ids = v[near], ids.filter(pa.array(near))
+                    sides.append((v, ids))
+                yield from _over(*sides, threshold, same)
+
+    return met.mapInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
 
 
 def similar_pairs(rows: DataFrame, *, id_column: str, group: str, vector: str = "embedding", threshold: float = 0.85) -> DataFrame:
     """V2: (a, b, similarity) of a < b in one group with cosine over the threshold. The group (a session) bounds the pairs.
 
-    A group is dealt into blocks of about ``PAIR_BLOCK`` rows, by a count; every two blocks meet under a key of their own and
-    are compared as matrices within the task, which holds one such pair of blocks and gives only pairs over the threshold. Rows without a group or vector,
-    and vectors of another width, meet nothing.
+    A group is dealt into blocks of about ``PAIR_BLOCK`` rows, by a count, each of which becomes one row. Blocks of one group
+    meet by a join and are compared as matrices within the task, which gives only pairs over the threshold. A group is moved
+    once for each ``PAIR_HELD`` blocks that it has, so a task holds no more of them. Rows without a group or vector, and
+    vectors of another width, meet nothing.
     """
-    kept = rows.select(F.col(id_column).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL").withColumn("width", F.size("v"))
-    counts = kept.groupBy("g", "width").agg(F.ceil(F.count(F.lit(1)) / PAIR_BLOCK).cast("int").alias("blocks"))
-    placed = kept.join(counts, ["g", "width"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("x"), F.greatest(o, F.col("block")).alias("y")))
-    met = placed.select("g", "width", F.explode(meets).alias("m"), "block", "id", "v").select("g", "width", "m.x", "m.y", "block", "id", "v")
-
-    def compare(held: pa.Table) -> pa.Table:
-        width, x, y = (held.column(c)[0].as_py() for c in ("width", "x", "y"))
-        block, ids = held.column("block").to_numpy(), held.column("id")
-        v = _matrix(held.column("v"), width)
+    kept = rows.select(F.col(id_column).alias("id"), F.col(group).alias("g"), F.col(vector).cast("array<double>").alias("v")).filter("id IS NOT NULL AND g IS NOT NULL AND v IS NOT NULL").withColumn("width", F.size("v"))
+
+    def units(held: pa.Table, v: np.ndarray) -> tuple[np.ndarray, list[int]]:
         norms = np.sqrt((v * v).sum(axis=1))
-        v /= np.where(norms == 0, 1, norms)[:, None]
-        return _over(v, ids, np.flatnonzero(block == x), np.flatnonzero(block == y), threshold, x == y)
+        return v / np.where(norms == 0, 1, norms)[:, None], []
 
-    kind = dict(kept.dtypes)["id"]
-    return met.groupBy("g", "width", "x", "y").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
+    packed = _blocks(kept, ["g"], units).withColumn("part", F.floor(F.col("block") / PAIR_HELD)).withColumn("parts", F.ceil(F.col("blocks") / PAIR_HELD))
+    x, y = _sides(packed, ["g", "part", "parts"])
+    x = x.withColumn("with", F.explode(F.sequence("x_part", F.col("x_parts") - 1)))
+    y = y.withColumn("of", F.explode(F.sequence(F.lit(0), "y_part")))
+    meet = [F.col("x_g") == F.col("y_g"), F.col("x_width") == F.col("y_width"), F.col("x_part") == F.col("of"), F.col("with") == F.col("y_part"), F.col("x_block") <= F.col("y_block")]
+    met = x.join(y, meet).select("x_width", (F.col("x_block") == F.col("y_block")).alias("same"), "x_ids", "x_v", "y_ids", "y_v")
+    return _compared(met, dict(kept.dtypes)["id"], threshold)
 
 
 def similar_pairs_of_all(rows: DataFrame, *, id_column: str, vector: str = "embedding", threshold: float = 0.85, pivots: int = 64) -> DataFrame:
@@ -82,56 +128,55 @@ def similar_pairs_of_all(rows: DataFrame, *, id_column: str, vector: str = "embe
 
     Unit vectors go to the cell of the nearest of some rows taken as pivots. Two of a similarity over the threshold lie
     within a known distance, so a vector can only have partners beyond the plane between its own pivot and another if it
-    is as near to that plane; it visits those cells. Of two cells the vectors of the later visit the earlier. Cells are
-    dealt into blocks, and every two blocks that can hold pairs are compared as matrices in tasks, which hold two blocks and give only pairs.
+    is as near to that plane. Cells are dealt into blocks, each of which becomes one row, and every two blocks that can hold
+    pairs are compared as matrices in tasks, which give only pairs. Blocks meet in a product of partitions of ``PAIR_HELD``
+    blocks at most: they are written once, however many meet, and only read again; a task holds the blocks of one partition.
     Rows without an id, and vectors that are null, zero or hold components null or not finite, meet nothing.
     """
     kind = dict(rows.select(F.col(id_column).alias("id")).dtypes)["id"]
     finite = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf")))), F.lit(False))
-    size = norm(F.col(vector))
-    unit = rows.filter(finite & F.col(id_column).isNotNull()).filter(size > 0).select(F.col(id_column).alias("id"), F.transform(vector, lambda x: x.cast("double") / size).alias("v"))
-    chosen = [np.array(r.v) for r in unit.orderBy(F.xxhash64("id"), "v").limit(pivots).select("v").collect()]
+    whole = rows.filter(finite & F.col(id_column).isNotNull()).filter(norm(F.col(vector)) > 0).select(F.col(id_column).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    to_unit = lambda v: v / np.sqrt((v * v).sum(axis=-1, keepdims=True))
+    chosen = [to_unit(np.array(r.v)) for r in whole.orderBy(F.xxhash64("id"), "v").limit(pivots).select("v").collect()]
     far = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            homes, visits = [], []
-            for v in (np.asarray(x.values, np.float64) for x in batch.column(1)):
+            v = batch.column(1)
+            widths, flat, offsets = np.asarray(pc.list_value_length(v)), np.array(v.values, np.float64), np.asarray(v.offsets)
+            homes = np.full(len(v), -1, np.int32)
+            for width in np.unique(widths):
                 # Pivots of another width are of no use to a vector; without any, all of a width are one cell.
-                same = [k for k, p in enumerate(chosen) if len(p) == len(v)]
-                if not same:
-                    homes.append(-1)
-                    visits.append([])
-                    continue
-                points = np.array([chosen[k] for k in same])
-                d = ((points - v) ** 2).sum(axis=1)
-                own = int(d.argmin())
-                apart = np.sqrt(((points - points[own]) ** 2).sum(axis=1))
-                near = (d - d[own]) <= 2 * far * apart
-                homes.append(same[own])
-                visits.append([same[k] for k in np.flatnonzero(near) if k < own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(homes, pa.int32()), pa.array(visits, pa.list_(pa.int32()))], names=["id", "v", "home", "visits"])
-
-    placed = unit.mapInArrow(place, f"id {kind}, v array<double>, home int, visits array<int>").withColumn("width", F.size("v"))
-    own = placed.select(F.col("home").alias("cell"), "width", "id", "v", F.lit(True).alias("own"))
-    both = own.unionByName(placed.select(F.explode("visits").alias("cell"), "width", "id", "v", F.lit(False).alias("own")))
-    blocks = lambda of: F.ceil(F.count_if(of) / PAIR_BLOCK).cast("int")
-    counts = both.groupBy("cell", "width").agg(blocks(F.col("own")).alias("homes"), blocks(~F.col("own")).alias("guests"))
-    dealt = both.join(counts, ["cell", "width"]).withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("own"), F.col("homes")).otherwise(F.col("guests"))).cast("int"))
-    each = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)).otherwise(F.array().cast("array<struct<x:int,y:int,within:boolean>>"))
-    meet = lambda x, y, within: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(within).alias("within"))
-    at = F.col("block")
-    keys = F.when(F.col("own"), F.concat(each("homes", lambda o: meet(F.least(o, at), F.greatest(o, at), True)), each("guests", lambda g: meet(at, g, False)))).otherwise(each("homes", lambda h: meet(h, at, False)))
-    met = dealt.select("cell", "width", F.explode(keys).alias("m"), "own", "block", "id", "v").select("cell", "width", "m.x", "m.y", "m.within", "own", "block", "id", "v")
-
-    def compare(held: pa.Table) -> pa.Table:
-        width, x, y, within = (held.column(c)[0].as_py() for c in ("width", "x", "y", "within"))
-        home, block = np.asarray(held.column("own"), bool), held.column("block").to_numpy()
-        left = np.flatnonzero(home & (block == x))
-        right = np.flatnonzero(home & (block == y)) if within else np.flatnonzero(~home & (block == y))
-        return _over(_matrix(held.column("v"), width), held.column("id"), left, right, threshold, within and x == y)
-
-    return met.groupBy("cell", "width", "x", "y", "within").applyInArrow(compare, f"a {kind}, b {kind}, similarity double").filter("a < b")
+                same, own = np.flatnonzero([len(p) == width for p in chosen]), np.flatnonzero(widths == width)
+                at = offsets[:-1][own][:, None] + np.arange(width)
+                flat[at] = to_unit(flat[at])
+                if len(same):
+                    points = np.array([chosen[k] for k in same])
+                    homes[own] = same[((points**2).sum(axis=1) - 2 * flat[at] @ points.T).argmin(axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(homes)], names=["id", "v", "home"])
+
+    def toward(v: np.ndarray, own: int, other: int) -> np.ndarray:
+        """Which vectors of a cell are near enough to the plane between its pivot and another."""
+        if own == other:
+            return np.ones(len(v), bool)
+        p, q = chosen[own], chosen[other]
+        return ((v - q) ** 2).sum(axis=1) - ((v - p) ** 2).sum(axis=1) <= 2 * far * np.sqrt(((p - q) ** 2).sum()) + 1e-12
+
+    def units(held: pa.Table, v: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        own = held.column("home")[0].as_py()
+        return v, [k for k, p in enumerate(chosen) if own >= 0 and len(p) == v.shape[1] and toward(v, own, k).any()]
+
+    placed = whole.mapInArrow(place, f"id {kind}, v array<double>, home int").withColumn("width", F.size("v"))
+    weight = rows.agg(F.sum(F.greatest(F.size(vector), F.lit(PAIR_WIDTH)).cast("long"))).first()[0] or 0
+    # As many partitions as hold few blocks each, and as many as keep all cores busy; without a key, so that blocks are dealt evenly.
+    busy = math.ceil(math.sqrt(4 * rows.sparkSession.sparkContext.defaultParallelism))
+    parts = max(1, min(busy, math.ceil(weight / PAIR_WIDTH)), math.ceil(2 * weight / (PAIR_BLOCK * PAIR_WIDTH * PAIR_HELD)))
+    x, y = _sides(_blocks(placed, ["home"], units).repartition(parts), ["home", "visits"])
+    earlier = F.struct("x_home", "x_block") <= F.struct(F.col("y_home").alias("x_home"), F.col("y_block").alias("x_block"))
+    can = (F.col("x_home") == F.col("y_home")) | (F.array_contains("x_visits", F.col("y_home")) & F.array_contains("y_visits", F.col("x_home")))
+    met = x.join(y.hint("shuffle_replicate_nl"), (F.col("x_width") == F.col("y_width")) & earlier & can)
+    same = (F.col("x_home") == F.col("y_home")) & (F.col("x_block") == F.col("y_block"))
+    return _compared(met.select("x_width", same.alias("same"), "x_home", "x_ids", "x_v", "y_home", "y_ids", "y_v"), kind, threshold, toward)
 
 
 class _Held:
